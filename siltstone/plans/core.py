@@ -1,0 +1,22 @@
+"""Core query of problem 3."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions.keys import norm_key
+from siltstone.operators.orphans import millis, orphan_references
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """References of both logs to records that are missing, deleted or were made only later."""
+    jobs = spark.read.parquet(f"{folder}/indexing_jobs.parquet").select(
+        F.lit("indexing_jobs").alias("src_table"), F.col("id").alias("row_id"), norm_key(F.col("doc_id")).alias("key"), millis(F.col("created_at")).alias("at")
+    )
+    log = spark.read.parquet(f"{folder}/supersede_log.parquet")
+    moves = log.select(
+        F.lit("supersede_log").alias("src_table"), F.col("id").cast("string").alias("row_id"), norm_key(F.col("new_id")).alias("key"), millis(F.col("superseded_at")).alias("at")
+    )
+    parents = spark.read.parquet(f"{folder}/oracle_documents.parquet").select(norm_key(F.col("id")).alias("key"), millis(F.col("created_at")).alias("created"))
+    return orphan_references(jobs.unionByName(moves), parents, log.select(norm_key(F.col("old_id")).alias("key")))
