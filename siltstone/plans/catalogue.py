@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from siltstone.plans import core
+from siltstone.plans import documents, graphs, registry, retrieval
+
+_MODULES = (documents, retrieval, graphs)
 
 
 def queries() -> dict:
-    return {"p3_found": core.p3_found}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
