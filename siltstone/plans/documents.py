@@ -98,9 +98,9 @@ def identity_rollup_union(t: Tables):
     ])
 
 
-@query(f"""SELECT (SELECT count(*) FROM oracle_documents WHERE created_at > {NOW} - 30 * 86400000) AS docs,
-    (SELECT count(*) FROM learn_inputs WHERE created_at > {NOW} - 30 * 86400000) AS learned,
-    (SELECT count(*) FROM supersede_log WHERE superseded_at > {NOW} - 30 * 86400000) AS superseded""")
+@query(f"""SELECT (SELECT count(*) FROM oracle_documents WHERE created_at > {NOW} - 2592000000) AS docs,
+    (SELECT count(*) FROM learn_inputs WHERE created_at > {NOW} - 2592000000) AS learned,
+    (SELECT count(*) FROM supersede_log WHERE superseded_at > {NOW} - 2592000000) AS superseded""")
 def activity_since(t: Tables):
     since = NOW - 30 * rel.DAY_MS
     count = lambda df, c, n: rel.after(df, c, since).agg(F.count("*").alias(n))
@@ -116,16 +116,16 @@ def session_counts(t: Tables):
     )
 
 
-@query(f"""SELECT CAST(b.bucket AS INT) AS bucket, strftime(make_timestamp(({EVENTS_NOW} - (30 - b.bucket) * 86400000) * 1000), '%Y-%m-%d') AS day, coalesce(c.n, 0) AS n
-    FROM range(30) b(bucket) LEFT JOIN (SELECT CAST(floor((epoch_ms(ts) - ({EVENTS_NOW} - 30 * 86400000)) / 86400000) AS BIGINT) AS bucket, count(*) AS n FROM events
-        WHERE epoch_ms(ts) >= {EVENTS_NOW} - 30 * 86400000 AND epoch_ms(ts) < {EVENTS_NOW} GROUP BY 1) c ON b.bucket = c.bucket""")
+@query(f"""SELECT CAST(b.bucket AS INT) AS bucket, strftime(make_timestamp(({EVENTS_NOW} - (30 - b.bucket) * 86400000::BIGINT) * 1000), '%Y-%m-%d') AS day, coalesce(c.n, 0) AS n
+    FROM range(30) b(bucket) LEFT JOIN (SELECT CAST(floor((epoch_ms(ts) - ({EVENTS_NOW} - 2592000000)) / 86400000) AS BIGINT) AS bucket, count(*) AS n FROM events
+        WHERE epoch_ms(ts) >= {EVENTS_NOW} - 2592000000 AND epoch_ms(ts) < {EVENTS_NOW} GROUP BY 1) c ON b.bucket = c.bucket""")
 def growth_daily_buckets(t: Tables):
     return rel.growth(t.events, F.unix_millis(F.col("ts").cast("timestamp")), EVENTS_NOW, 30)
 
 
-@query(f"""SELECT CAST(b.bucket AS INT) AS bucket, strftime(make_timestamp(({NOW} - (400 - b.bucket) * 86400000) * 1000), '%Y-%m-%d') AS day, coalesce(c.n, 0) AS n
-    FROM range(400) b(bucket) LEFT JOIN (SELECT CAST(floor((created_at - ({NOW} - 400 * 86400000)) / 86400000) AS BIGINT) AS bucket, count(*) AS n FROM oracle_documents
-        WHERE created_at >= {NOW} - 400 * 86400000 AND created_at < {NOW} GROUP BY 1) c ON b.bucket = c.bucket""")
+@query(f"""SELECT CAST(b.bucket AS INT) AS bucket, strftime(make_timestamp(({NOW} - (400 - b.bucket) * 86400000::BIGINT) * 1000), '%Y-%m-%d') AS day, coalesce(c.n, 0) AS n
+    FROM range(400) b(bucket) LEFT JOIN (SELECT CAST(floor((created_at - ({NOW} - 34560000000)) / 86400000) AS BIGINT) AS bucket, count(*) AS n FROM oracle_documents
+        WHERE created_at >= {NOW} - 34560000000 AND created_at < {NOW} GROUP BY 1) c ON b.bucket = c.bucket""")
 def growth_documents(t: Tables):
     return rel.growth(t.oracle_documents, F.col("created_at"), NOW, 400)
 
@@ -177,7 +177,7 @@ def docs_project_glob(t: Tables):
     return t.oracle_documents.where(F.lower("project").rlike(text.glob_regex("forge.example/quillmoor/*n"))).select("id", "project")
 
 
-@query("""SELECT DISTINCT d.id, d.type FROM oracle_documents d WHERE d.id IN (SELECT lower(trim(new_id)) FROM supersede_log)""")
+@query(r"""SELECT DISTINCT d.id, d.type FROM oracle_documents d WHERE d.id IN (SELECT lower(regexp_replace(new_id, '^\s+|\s+$', '', 'g')) FROM supersede_log)""")
 def docs_with_ids(t: Tables):
     ids = t.supersede_log.select(norm_key(F.col("new_id")).alias("id"))
     return rel.with_ids(t.oracle_documents.select("id", "type"), ids, "id").distinct()
@@ -279,10 +279,10 @@ def date_parse(t: Tables):
     return t.api_docs.where("created_at is not null").select("id", dates.parsed_date(F.col("created_at"), TODAY).alias("day"))
 
 
-@query("""SELECT id, CAST(left(created_at, 10) AS DATE) AS day FROM api_docs WHERE CAST(left(created_at, 10) AS DATE) BETWEEN DATE '2025-01-01' AND DATE '2025-01-15' ORDER BY day, id""")
+@query("""SELECT id, left(created_at, 10) AS day FROM api_docs WHERE CAST(left(created_at, 10) AS DATE) BETWEEN DATE '2025-01-01' AND DATE '2025-01-15' ORDER BY day, id""")
 def range_window(t: Tables):
     d = t.api_docs.select("id", F.try_to_timestamp(F.substring("created_at", 1, 10), F.lit("yyyy-MM-dd")).cast("date").alias("day"))
-    return d.where(F.col("day").between("2025-01-01", "2025-01-15")).orderBy("day", "id")
+    return d.where(F.col("day").between("2025-01-01", "2025-01-15")).orderBy("day", "id").select("id", F.col("day").cast("string").alias("day"))
 
 
 @query("SELECT id, strftime(make_timestamp(created_at * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created FROM (SELECT DISTINCT id, created_at FROM oracle_documents)")
@@ -293,16 +293,16 @@ def iso_times(t: Tables):
 # ingestion
 
 _LINES = r"regexp_replace(regexp_replace(s, '^[^\n]*\n', ''), '^\s+|\s+$', '', 'g')"
-_SECTIONS = rf"""(SELECT doc_id, i - 1 AS at, trim(split_part(s, chr(10), 1)) AS title, CASE WHEN contains(s, chr(10)) THEN {_LINES} ELSE '' END AS body FROM (
+_SECTIONS = rf"""(SELECT doc_id, i - 1 AS place, trim(split_part(s, chr(10), 1)) AS title, CASE WHEN contains(s, chr(10)) THEN {_LINES} ELSE '' END AS body FROM (
     SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS s FROM (SELECT doc_id, list_filter(string_split_regex(text, '(?m)^##\s+'), lambda x: trim(x) <> '') AS ss FROM documents WHERE text IS NOT NULL)))"""
 
 
-@query(f"SELECT doc_id, CAST(at AS INT) AS at, title, body FROM {_SECTIONS} WHERE body <> ''")
+@query(f"SELECT doc_id, CAST(place AS INT) AS place, title, body FROM {_SECTIONS} WHERE body <> ''")
 def chunk_sections(t: Tables):
-    return ingest.sections(t.documents.where("text is not null"), "doc_id", "text", "##").withColumnRenamed("path", "doc_id")
+    return ingest.sections(t.documents.where("text is not null"), "doc_id", "text", "##").withColumnsRenamed({"path": "doc_id", "at": "place"})
 
 
-@query(f"SELECT concat_ws('_', 'retro', CAST(doc_id AS VARCHAR), CAST(at AS VARCHAR)) AS id, 'retro' AS type, title || ': ' || body AS content FROM {_SECTIONS} WHERE length(body) >= 50")
+@query(f"SELECT concat_ws('_', 'retro', CAST(doc_id AS VARCHAR), CAST(place AS VARCHAR)) AS id, 'retro' AS type, title || ': ' || body AS content FROM {_SECTIONS} WHERE length(body) >= 50")
 def chunk_min_length(t: Tables):
     return ingest.retrospectives(t.documents.where("text is not null").withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "text")
 
@@ -378,14 +378,14 @@ def export_concept_hubs(t: Tables):
     return each.join(hubs, "concept").groupBy("concept").agg(F.transform(rows, lambda s: s["b"]).alias("ids"))
 
 
-@query("""SELECT row_id, src_table, kind, period FROM (
-    SELECT CAST(id AS VARCHAR) AS row_id, tab AS src_table, strftime(make_timestamp(at * 1000), '%Y-%m') AS period,
-        CASE WHEN c.k IS NOT NULL THEN CASE WHEN c.created > at THEN 'late' END WHEN o.k IS NOT NULL THEN 'deleted' ELSE 'missing' END AS kind
-    FROM (SELECT DISTINCT 'indexing_jobs' AS tab, id, lower(regexp_replace(doc_id, '^\\s+|\\s+$', '', 'g')) AS ref, CASE WHEN created_at < 100000000000 THEN created_at * 1000 ELSE created_at END AS at FROM indexing_jobs
-        UNION ALL SELECT DISTINCT 'supersede_log', CAST(id AS VARCHAR), lower(regexp_replace(new_id, '^\\s+|\\s+$', '', 'g')), superseded_at FROM supersede_log) r
+@query(r"""SELECT row_id, src_table, kind, period FROM (
+    SELECT CAST(id AS VARCHAR) AS row_id, tab AS src_table, strftime(make_timestamp(ms * 1000), '%Y-%m') AS period,
+        CASE WHEN c.k IS NOT NULL THEN CASE WHEN c.created > ms THEN 'late' END WHEN o.k IS NOT NULL THEN 'deleted' ELSE 'missing' END AS kind
+    FROM (SELECT DISTINCT 'indexing_jobs' AS tab, id, lower(regexp_replace(doc_id, '^\s+|\s+$', '', 'g')) AS ref, CASE WHEN created_at < 100000000000 THEN created_at * 1000 ELSE created_at END AS ms FROM indexing_jobs
+        UNION ALL SELECT DISTINCT 'supersede_log', CAST(id AS VARCHAR), lower(regexp_replace(new_id, '^\s+|\s+$', '', 'g')), superseded_at FROM supersede_log) r
     LEFT JOIN (SELECT lower(trim(id)) AS k, min(created_at) AS created FROM oracle_documents GROUP BY 1) c ON r.ref = c.k
-    LEFT JOIN (SELECT DISTINCT lower(regexp_replace(old_id, '^\\s+|\\s+$', '', 'g')) AS k FROM supersede_log WHERE old_id IS NOT NULL) o ON r.ref = o.k
-    WHERE ref IS NOT NULL AND ref <> '') WHERE kind IS NOT NULL""".replace("\\\\", "\\"))
+    LEFT JOIN (SELECT DISTINCT lower(regexp_replace(old_id, '^\s+|\s+$', '', 'g')) AS k FROM supersede_log WHERE old_id IS NOT NULL) o ON r.ref = o.k
+    WHERE ref IS NOT NULL AND ref <> '') WHERE kind IS NOT NULL""")
 def p3_found(t: Tables):
     """References of both logs to records that are missing, deleted or were made only later."""
     from siltstone.operators.orphans import orphan_references

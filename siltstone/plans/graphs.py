@@ -93,10 +93,10 @@ def map3d_pca(t: Tables):
     return layout.map_3d(t.embeddings, "vec_id", "embedding")
 
 
-@query("""SELECT label, at, round(avg(x), 5) AS m FROM (SELECT label, unnest(range(0, len(embedding))) AS at, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, at""")
+@query("""SELECT label, place, round(avg(x), 5) AS m FROM (SELECT label, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, place""")
 def mean_vectors(t: Tables):
     means = layout.mean_vectors(t.embeddings, "label", "embedding")
-    return means.select("label", F.posexplode("embedding").alias("at", "m")).select("label", F.col("at").cast("long").alias("at"), F.round("m", 5).alias("m"))
+    return means.select("label", F.posexplode("embedding").alias("at", "m")).select("label", F.col("at").cast("long").alias("place"), F.round("m", 5).alias("m"))
 
 
 @query()
