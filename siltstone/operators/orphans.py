@@ -46,15 +46,15 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """The orphan references of one key range."""
     number, role = pdf["number"].to_numpy(), pdf["role"].to_numpy()
     keys = np.empty(int(number.max()) + 1, object)
-    keys[number] = pdf["key"].to_numpy()
+    keys[number] = pdf["key"].to_numpy(object)
     month = pdf["month"].to_numpy()
     parent = role == _PARENT
     created = np.full(len(keys), -1, np.int64)
     created[number[parent]] = pdf["created"].to_numpy()[parent]
     made_in = {int(m): Bitmap.of(number[parent & (month == m)]) for m in np.unique(month[parent])}
     parents, deleted = Bitmap.of(number[parent]), Bitmap.of(number[role == _DELETED])
-    table = pdf["src_table"].to_numpy()
-    out: list[pd.DataFrame] = []
+    table = pdf["src_table"].to_numpy(object)
+    out: list[tuple] = []
     reference = role == _REFERENCE
     for name in pd.unique(table[reference]):
         own = reference & (table == name)
@@ -71,10 +71,8 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
             for kind, bits in found:
                 hit = bits.numbers()
                 if len(hit):
-                    out.append(pd.DataFrame({"src_table": name, "month": m, "key": keys[hit], "kind": kind, "created": created[hit]}))
-    if not out:
-        return pd.DataFrame({"src_table": [], "month": [], "key": [], "kind": [], "created": []})
-    return pd.concat(out)
+                    out.extend((name, m, keys[i], kind, created[i]) for i in hit.tolist())
+    return pd.DataFrame(out, columns=["src_table", "month", "key", "kind", "created"])
 
 
 def _by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
