@@ -82,7 +82,7 @@ def _rounds(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def components(edges: DataFrame, *, max_edges: int = 4_000_000, fan_in: int = 8) -> DataFrame:
+def components(edges: DataFrame, *, max_edges: int = 2_000_000, fan_in: int = 8) -> DataFrame:
     """``ties(u, v)``: every node that is not its component's smallest, tied to that smallest.
 
     ``edges`` has two long columns u and v, u = v allowed.  ``max_edges`` bounds what one

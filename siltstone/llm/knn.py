@@ -164,7 +164,7 @@ def most_similar(
     scores the smaller id comes first.  Neighbours below ``min_score`` are left out.  The search is
     approximate in that only the ``probes`` nearest cells are looked at (and by the error bound, which
     holds but for about one in a hundred); with 4 * sqrt(n) cells, at most ``max_cells``.  ``sample`` bounds the
-    vectors on which the cells are fitted (they come to the driver); all are indexed.
+    vectors on which the cells are fitted (they come to the driver, at most twice as many); all are indexed.
     An id with several vectors of a model is asked for and found by each of them, at its best score.
     """
     spark = vectors.sparkSession
@@ -187,21 +187,27 @@ def most_similar(
     def placed(n: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for model, part in pdf.groupby("model"):
-                    cells = shipped.value.cells(model, unit(np.stack(part["vector"].to_numpy())), n)
-                    yield part.loc[part.index.repeat(cells.shape[1])].assign(cell=cells.ravel())
+                models = pdf["model"].to_numpy(object)
+                for model in sorted(set(models)):
+                    part = pdf[models == model]
+                    vectors = part["vector"].to_numpy()
+                    cells = shipped.value.cells(model, unit(np.stack(vectors)), n)
+                    row = np.repeat(np.arange(len(part)), cells.shape[1])
+                    yield pd.DataFrame({"class_id": part["class_id"].to_numpy()[row], "model": model, "vector": vectors[row], "cell": cells.ravel()})
 
         return run
 
     schema = "class_id long, model string, vector array<float>, cell int"
     homes = stored(index.mapInPandas(placed(1), schema), "p6-index")
-    trips = asked_classes.mapInPandas(placed(probes), schema)
-    # at most max_cells rows a model: how many blocks a cell's vectors and queries make
+    trips = stored(asked_classes.mapInPandas(placed(probes), schema).select("class_id", "model", "cell"), "p6-trips")
+    # one row a model and cell: how many blocks its vectors and the queries that probe it make
     load = homes.groupBy("model", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("v_blocks"))
-    load = load.withColumn("q_blocks", F.col("v_blocks"))  # queries crowd where vectors do
+    asks = trips.groupBy("model", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("q_blocks"))
+    load = load.join(asks, ["model", "cell"])
     salt = F.xxhash64(F.lit(3), "class_id")
     left = homes.join(F.broadcast(load), ["model", "cell"]).withColumn("v", F.pmod(salt, F.col("v_blocks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
     right = trips.join(F.broadcast(load), ["model", "cell"]).withColumn("q", F.pmod(salt, F.col("q_blocks")).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)))
+    right = right.join(homes.select("class_id", "vector"), "class_id")
     keys = ["model", "cell", "v", "q"]
 
     def meet(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:

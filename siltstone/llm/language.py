@@ -144,24 +144,27 @@ def fit(texts: list[str], labels: list[str], *, steps: int = 260) -> Params:
     return params
 
 
-def fit_sample(docs: DataFrame, id_col: str, text: str, label: str, *, per_language: int = 300, most_chars: int = 20_000) -> Params:
+def fit_sample(docs: DataFrame, id_col: str, text: str, label: str, *, per_language: int = 300, most_chars: int = 20_000) -> Params | None:
     """Fits on about ``per_language`` rows of each named language, drawn by a hash of their ids.
 
+    Without a label that names a language there is nothing to learn from: None, with which no text gets a language.
     At most twice that many texts come to the driver; training texts over ``most_chars`` are left out of the draw.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), label_language(F.col(label)).alias("lang"))
     counts = {r["lang"]: r["n"] for r in docs.select(label_language(F.col(label)).alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no row has a label that names a known language")
+        return None
     draw = F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(1_000_000))
     wanted = F.lit(False)
     for code, n in counts.items():
         wanted = wanted | ((F.col("lang") == code) & (draw < int(1_000_000 * min(1.0, per_language / n)) + 1))
-    drawn = named.where(wanted & F.length("text").between(80, most_chars)).select("id", "text", "lang").limit(2 * per_language * len(LANGUAGES)).toPandas().sort_values("id")
+    drawn = named.where(wanted & F.length("text").between(80, most_chars)).select("id", "text", "lang").limit(2 * per_language * len(LANGUAGES)).toPandas().sort_values(["id", "text", "lang"])
+    if drawn.empty:
+        return None
     return fit(drawn["text"].tolist(), drawn["lang"].tolist())
 
 
-def stretches(docs: DataFrame, ids: list[str], text: str, params: Params) -> DataFrame:
+def stretches(docs: DataFrame, ids: list[str], text: str, params: Params | None) -> DataFrame:
     """``(*ids, start, end, letters, lang, confidence)``: neighbouring sentences or lines of one language.
 
     ``start`` and ``end`` are places in the text without its fenced code.  Null texts and texts without letters have no stretches; stretches
@@ -170,7 +173,7 @@ def stretches(docs: DataFrame, ids: list[str], text: str, params: Params) -> Dat
     return _labelled(docs, ids, text, params, "start int, end int, letters long, lang string, confidence double", _stretch_rows)
 
 
-def document_languages(docs: DataFrame, ids: list[str], text: str, params: Params, *, share: float = 0.2, min_letters: int = 80) -> DataFrame:
+def document_languages(docs: DataFrame, ids: list[str], text: str, params: Params | None, *, share: float = 0.2, min_letters: int = 80) -> DataFrame:
     """``(*ids, letters, languages, lang, share, confidence)``: one row for each language with at least ``share`` of a text's letters.
 
     ``languages`` is the number of the text's rows.
@@ -195,7 +198,7 @@ def _stretch_rows(units: pd.DataFrame) -> pd.DataFrame:
     return out.assign(confidence=out["mass"] / out["letters"])[["text", "start", "end", "letters", "lang", "confidence"]]
 
 
-def _labelled(docs: DataFrame, ids: list[str], text: str, params: Params, fields: str, rows) -> DataFrame:
+def _labelled(docs: DataFrame, ids: list[str], text: str, params: Params | None, fields: str, rows) -> DataFrame:
     kept = docs.select(*ids, F.col(text).alias("__text")).where("__text is not null and __text <> ''")
     shipped = docs.sparkSession.sparkContext.broadcast(params)  # about half a megabyte
 
@@ -206,8 +209,11 @@ def _labelled(docs: DataFrame, ids: list[str], text: str, params: Params, fields
                 part = pdf.iloc[lo : lo + 256].reset_index(drop=True)
                 out = rows(units_of(shipped.value, Layout([without_fences(t) for t in part["__text"]], letters)))
                 out["lang"] = np.array(LANGUAGES, object)[out["lang"].to_numpy().astype(np.int64)]
-                own = part[ids].iloc[out["text"].to_numpy().astype(np.int64)].reset_index(drop=True)
+                owner = out["text"].to_numpy().astype(np.int64)
+                own = pd.DataFrame({c: part[c].to_numpy()[owner] for c in ids})
                 yield pd.concat([own, out.drop(columns="text").reset_index(drop=True)], axis=1)
 
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in ids)
+    if params is None:
+        return docs.sparkSession.createDataFrame([], f"{schema}, {fields}")
     return kept.mapInPandas(run, f"{schema}, {fields}")
