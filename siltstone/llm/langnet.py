@@ -119,10 +119,10 @@ def gradients(p: Params, rows: np.ndarray, labels: np.ndarray, weights: np.ndarr
     return loss, g
 
 
-def train(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes: int, *, steps: int = 300, batch: int = 64, rate: float = 0.01, seed: int = 5, start: Params | None = None) -> Params:
+def train(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes: int, *, steps: int = 300, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Params:
     """Parameters after ``steps`` Adam steps; most windows are joined from several, to show changes of language."""
     rng = np.random.default_rng(seed)
-    p = start or new_params(classes)
+    p = new_params(classes)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         a = rng.integers(0, len(rows), batch)

@@ -1,7 +1,7 @@
 """Languages of documents and of their stretches, from a recurrent network trained on the labels at hand.
 
 The network (:mod:`siltstone.llm.langnet`) is fitted on a bounded sample of labelled rows; as labels can be wrong, it is
-fitted once, rows whose label it contradicts are set aside, and it is fitted on.  Then one pass over
+first fitted on halves, and rows whose label the other half's network contradicts are set aside.  Then one pass over
 all whole texts labels every position, and the letters of each sentence or line choose its language
 together.  No shuffle: a document is scored where it is read.
 """
@@ -124,8 +124,13 @@ def units_of(params: Params, layout: Layout) -> pd.DataFrame:
     )
 
 
-def fit(texts: list[str], labels: list[str], *, steps: int = 260) -> Params:
-    """The network fitted on texts with labels that can be wrong."""
+def fit(texts: list[str], labels: list[str], *, steps: int = 480) -> Params:
+    """The network fitted on texts with labels that can be wrong, or name one language of several.
+
+    Each half of the texts is judged by a network fitted on the other half, which cannot have learned its mistakes by
+    heart; the network that counts is fitted on texts of which four fifths are found to be in their label's language (or on the
+    better half of a language's texts, if fewer than that are).
+    """
     layout = Layout([without_fences(t) for t in texts], letter_points())
     windows = len(layout.rows)
     weights = np.bincount(layout.cell, layout.letter, windows * STEPS).reshape(windows, STEPS)
@@ -134,14 +139,18 @@ def fit(texts: list[str], labels: list[str], *, steps: int = 260) -> Params:
     y = np.array([LANGUAGES.index(x) for x in labels])
     label = np.repeat(y[owner][:, None], STEPS, axis=1)
     full = weights.sum(1) > 0
-    params = train(layout.rows[full], label[full], weights[full], len(LANGUAGES), steps=steps)
-    mean = cell_log_probs(params, layout.rows).reshape(windows, STEPS, -1)
-    says = (np.exp(mean) * weights[..., None]).sum(1)
-    agrees = np.take_along_axis(says, y[owner][:, None], 1)[:, 0] >= 0.8 * weights.sum(1)
-    clean = full & agrees
-    if clean.sum() >= 0.3 * full.sum():
-        params = train(layout.rows[clean], label[clean], weights[clean], len(LANGUAGES), steps=steps, seed=6, start=params, rate=0.005)
-    return params
+    agreed, total = np.zeros(len(texts)), np.zeros(len(texts))
+    for half in (0, 1):
+        learn, judge = full & (owner % 2 == half), full & (owner % 2 != half)
+        if learn.any() and judge.any():
+            params = train(layout.rows[learn], label[learn], weights[learn], len(LANGUAGES), steps=steps // 3, seed=half)
+            said = cell_log_probs(params, layout.rows[judge]).reshape(-1, STEPS, len(LANGUAGES)).argmax(2)
+            np.add.at(agreed, owner[judge], ((said == label[judge]) * weights[judge]).sum(1))
+            np.add.at(total, owner[judge], weights[judge].sum(1))
+    share = agreed / np.maximum(total, 1)
+    least = np.array([min(0.8, np.median(share[y == k])) if (y == k).any() else 0.0 for k in range(len(LANGUAGES))])
+    clean = full & (share >= least[y])[owner]
+    return train(layout.rows[clean], label[clean], weights[clean], len(LANGUAGES), steps=steps, seed=6)
 
 
 def fit_sample(docs: DataFrame, id_col: str, text: str, label: str, *, per_language: int = 300, most_chars: int = 20_000) -> Params | None:
@@ -185,7 +194,7 @@ Texts (without fenced code) of fewer than ``min_letters`` letters, nulls and emp
         total = units.groupby("text")["letters"].transform("sum")
         by = units.assign(total=total).groupby(["text", "lang"], as_index=False).agg(part=("letters", "sum"), mass=("mass", "sum"), letters=("total", "first"))
         by = by[(by["letters"] >= min_letters) & (by["part"] >= share * by["letters"])]
-        by = by.assign(share=by["part"] / by["letters"], confidence=by["mass"] / by["part"], languages=by.groupby("text")["lang"].transform("size"))
+        by = by.assign(share=by["part"] / by["letters"], confidence=np.minimum(1.0, by["mass"] / by["part"]), languages=by.groupby("text")["lang"].transform("size"))
         return by[["text", "letters", "languages", "lang", "share", "confidence"]]
 
     return _labelled(docs, ids, text, params, "letters long, languages int, lang string, share double, confidence double", rows)
@@ -195,7 +204,7 @@ def _stretch_rows(units: pd.DataFrame) -> pd.DataFrame:
     held = units[units["letters"] > 0]
     new = (held["text"] != held["text"].shift()) | (held["lang"] != held["lang"].shift())
     out = held.groupby(new.cumsum()).agg(text=("text", "first"), start=("start", "first"), end=("end", "last"), letters=("letters", "sum"), lang=("lang", "first"), mass=("mass", "sum"))
-    return out.assign(confidence=out["mass"] / out["letters"])[["text", "start", "end", "letters", "lang", "confidence"]]
+    return out.assign(confidence=np.minimum(1.0, out["mass"] / out["letters"]))[["text", "start", "end", "letters", "lang", "confidence"]]
 
 
 def _labelled(docs: DataFrame, ids: list[str], text: str, params: Params | None, fields: str, rows) -> DataFrame:
