@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import documents, graphs, registry, retrieval
+from siltstone.plans import documents, exporting, graphs, registry, retrieval
 
-_MODULES = (documents, retrieval, graphs)
+_MODULES = (documents, retrieval, graphs, exporting)
 
 
 def queries() -> dict:
