@@ -27,21 +27,23 @@ def write_snapshot(df: DataFrame, root: str, *, partition_by: list[str] | None =
     name = f"v{number:08d}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{name}")
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
-    staged = jvm.org.apache.hadoop.fs.Path(f"{root}/_current.{uuid.uuid4().hex}")
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/current.txt")
+    staged = jvm.org.apache.hadoop.fs.Path(f"{root}/_staged.{uuid.uuid4().hex}")
     out = fs.create(staged, True)
     out.write(bytearray(name, "ascii"))
     out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(staged, pointer)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    full = fs.makeQualified(staged)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(full, fs.makeQualified(pointer), how)
     for old in sorted(s.getPath().getName() for s in fs.listStatus(top) if s.getPath().getName().startswith("v"))[:-keep]:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{old}"), True)
     return name
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    name = spark.read.text(f"{root}/_current").first()[0].strip()
+    name = spark.read.text(f"{root}/current.txt").first()[0].strip()
     return spark.read.parquet(f"{root}/{name}")
 
 
