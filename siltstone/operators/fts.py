@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import spread
+
 #: BM25's saturation and length parameters.
 K1, B = 1.2, 0.75
 _NOT_TOKEN = r"[^\p{L}\p{N}\p{M}]+"
@@ -23,7 +25,7 @@ def postings(docs: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """``(term, doc_id, col, tf)`` of the given text columns: the inverted index."""
     tagged = lambda c: F.transform(tokens(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(c).alias("col")))
     parts = F.flatten(F.array(*map(tagged, cols)))
-    exploded = docs.select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.term", "p.col")
+    exploded = spread(docs.select(id_col, *cols)).select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.term", "p.col")
     return exploded.groupBy("term", "doc_id", "col").agg(F.count("*").alias("tf"))
 
 
@@ -42,7 +44,7 @@ def read_terms(spark, path: str, terms: list[str], buckets: int) -> DataFrame:
 
 def _term_counts(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFrame:
     """Length of every document and how often it has each term; one pass, nothing shuffled."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("__t"))
+    toks = spread(docs.select(F.col(id_col), text.alias("__text"))).select(F.col(id_col).alias("doc_id"), tokens(F.col("__text")).alias("__t"))
     count = lambda t: F.size(F.filter("__t", lambda x: x == F.lit(t)))
     tf = [count(t).alias(f"tf_{i}") for i, t in enumerate(terms)]
     return toks.select("doc_id", F.size("__t").alias("dl"), *tf)

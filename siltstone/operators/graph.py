@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import stored
+
 
 def concept_edges(nodes: DataFrame, id_col: str, concepts: str, *, least: int = 1, most: int | None = 5000) -> DataFrame:
     """``(id_a, id_b, weight)``: nodes sharing at least ``least`` concepts.
@@ -24,8 +26,9 @@ def walk(edges: DataFrame, start: DataFrame, *, depth: int = 50) -> DataFrame:
     A recursive query with the path kept, so cycles end; the smallest depth of a node counts.
     """
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("__walk_edges")
-    start.createOrReplaceTempView("__walk_start")
+    # stored first, or every level of the recursion would make them again
+    stored(edges.select("src", "dst").distinct(), "edges").createOrReplaceTempView("__walk_edges")
+    stored(start.select("id").distinct(), "start").createOrReplaceTempView("__walk_start")
     return spark.sql(f"""
         WITH RECURSIVE reach(root, id, depth, path) MAX RECURSION LEVEL {depth + 5} AS (
             SELECT id, id, 0, array(id) FROM __walk_start

@@ -38,11 +38,13 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the folder behind a scan returned by :func:`stored` that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        _delete(spark, file.rsplit("/", 1)[0])
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer pieces than there are cores, as with one small file.
+
+    For work that costs far more than moving the rows.  A scan of many files or row groups stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
