@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.langnet import CELL, STEPS, Params, forward, train, trigram_rows
+from siltstone.storage import spread
 
 LANGUAGES = ("en", "th", "de", "fr", "es", "pt")
 #: Names under which a label can stand for each language (code, three-letter codes, English name).
@@ -208,7 +209,7 @@ def _stretch_rows(units: pd.DataFrame) -> pd.DataFrame:
 
 
 def _labelled(docs: DataFrame, ids: list[str], text: str, params: Params | None, fields: str, rows) -> DataFrame:
-    kept = docs.select(*ids, F.col(text).alias("__text")).where("__text is not null and __text <> ''")
+    kept = spread(docs.select(*ids, F.col(text).alias("__text")).where("__text is not null and __text <> ''"))
     shipped = docs.sparkSession.sparkContext.broadcast(params)  # about half a megabyte
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

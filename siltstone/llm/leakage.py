@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.textprep import code_points, window_hashes
+from siltstone.storage import spread
 
 _kept: list[np.ndarray] = []
 
@@ -114,7 +115,7 @@ def leaks(
     """
     spark = corpus.sparkSession
     w = span - k + 1
-    docs = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    docs = spread(corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"))
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
     # a character takes four bytes, its share of fingerprints and their places about four more
     size = items.agg(F.sum(F.length("text") * 8 + 200)).first()[0] or 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.keys import norm_key
-from siltstone.storage import stored
+from siltstone.storage import spread, stored
 
 #: The pre-tokenizer of byte-level BPE; a fixed pattern that belongs to the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,7 +113,7 @@ def mix(records: DataFrame, id_col: str, text: str, source: str, targets: DataFr
     every target above zero is short.
     """
     spark = records.sparkSession
-    counted = token_counts(records.select(F.col(id_col).alias("doc_id"), norm_key(F.col(source)).alias("source"), F.col(text).alias("text")), "text", "tokens", vocabulary)
+    counted = token_counts(spread(records.select(F.col(id_col).alias("doc_id"), norm_key(F.col(source)).alias("source"), F.col(text).alias("text"))), "text", "tokens", vocabulary)
     sized = stored(
         counted.select("doc_id", "source", "tokens", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 2).alias("place")),
         "p9-sizes",
