@@ -16,7 +16,7 @@ task holds more than two blocks, whatever share of the rows a cell has.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -113,21 +113,14 @@ def nearest_in_cell(queries: np.ndarray, vectors: np.ndarray, centre: np.ndarray
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
-@dataclass
-class Quantizer:
-    """Centroids of every model."""
-
-    centres: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def cells(self, model: str, x: np.ndarray, n: int) -> np.ndarray:
-        """Numbers of the ``n`` nearest cells of each row."""
-        centre = self.centres[model]
-        n = min(n, len(centre))
-        out = np.empty((len(x), n), np.int32)
-        for i in range(0, len(x), 4096):
-            near = x[i : i + 4096].astype(np.float32) @ centre.T
-            out[i : i + 4096] = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(centre) else np.arange(n)
-        return out
+def nearest_cells(centre: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the ``n`` nearest cells of each row."""
+    n = min(n, len(centre))
+    out = np.empty((len(x), n), np.int32)
+    for i in range(0, len(x), 4096):
+        near = x[i : i + 4096].astype(np.float32) @ centre.T
+        out[i : i + 4096] = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(centre) else np.arange(n)
+    return out
 
 
 def usable_vectors(df: DataFrame, model: Column, id_: Column, vector: Column) -> DataFrame:
@@ -177,12 +170,12 @@ def most_similar(
     index = members.groupBy("class_id").agg(F.first("model").alias("model"), F.first("vector").alias("vector"))
 
     counts = {r["model"]: r["n"] for r in members.groupBy("model").agg(F.count("*").alias("n")).collect()}
-    quantizer = Quantizer()
+    centres: dict[str, np.ndarray] = {}
     for model, n in sorted(counts.items()):
         share = min(1.0, sample / n)
         drawn = members.where((F.col("model") == model) & (F.pmod(F.xxhash64(F.lit(5), "class_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("vector").limit(2 * sample).toPandas()
-        quantizer.centres[model] = train_cells(unit(np.stack(drawn["vector"].to_numpy())), min(max_cells, ceil(4 * n**0.5)))
-    shipped = spark.sparkContext.broadcast(quantizer)
+        centres[model] = train_cells(unit(np.stack(drawn["vector"].to_numpy())), min(max_cells, ceil(4 * n**0.5)))
+    shipped = spark.sparkContext.broadcast(centres)  # plain arrays: a broadcast is not pickled by value
 
     def placed(n: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +184,7 @@ def most_similar(
                 for model in sorted(set(models)):
                     part = pdf[models == model]
                     vectors = part["vector"].to_numpy()
-                    cells = shipped.value.cells(model, unit(np.stack(vectors)), n)
+                    cells = nearest_cells(shipped.value[model], unit(np.stack(vectors)), n)
                     row = np.repeat(np.arange(len(part)), cells.shape[1])
                     yield pd.DataFrame({"class_id": part["class_id"].to_numpy()[row], "model": model, "vector": vectors[row], "cell": cells.ravel()})
 
@@ -213,7 +206,7 @@ def most_similar(
     def meet(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asking):
             return pd.DataFrame({"class_id": [], "near": [], "score": []})
-        centre = shipped.value.centres[own["model"].iat[0]][own["cell"].iat[0]]
+        centre = shipped.value[own["model"].iat[0]][own["cell"].iat[0]]
         x, q = unit(np.stack(own["vector"].to_numpy())), unit(np.stack(asking["vector"].to_numpy()))
         r, c, score = nearest_in_cell(q, x, centre, rotation(len(centre)), k + 1, min_score)
         return pd.DataFrame({"class_id": asking["class_id"].to_numpy()[r], "near": own["class_id"].to_numpy()[c], "score": score})
