@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import glob_regex
 
 
-def joined_lines(rows: DataFrame, keys: list[str], line: Column, order: list[str]) -> DataFrame:
-    """One text a group: its lines in order, joined by line ends."""
-    items = F.array_sort(F.collect_list(F.struct(*order, line.alias("__line"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(items, lambda s: s["__line"]), "\n").alias("body"))
+#: Lines of one rendered page; a larger group becomes several pages, so no task builds an unbounded text.
+PAGE = 1000
+
+
+def joined_lines(rows: DataFrame, key: str, line: Column, order: list[str]) -> DataFrame:
+    """``(key, page, n, body)``: a group's lines in order, joined by line ends, in pages of about ``PAGE``; n is the group's size."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    page = F.pmod(F.xxhash64(*order), F.ceil(F.col("n") / PAGE)).cast("int")
+    placed = rows.withColumn("__line", line).join(sizes, key).withColumn("page", page)
+    items = F.array_sort(F.collect_list(F.struct(*order, "__line")))
+    return placed.groupBy(key, "page").agg(F.first("n").alias("n"), F.array_join(F.transform(items, lambda s: s["__line"]), "\n").alias("body"))
 
 
 def schedule_markdown(events: DataFrame, day: str, what: str) -> DataFrame:
     """A month's heading and its events, one line each."""
-    month = F.substring(day, 1, 7)
-    lines = joined_lines(events.withColumn("month", month), ["month"], F.concat(F.lit("- "), F.col(day), F.lit(": "), F.col(what)), [day, what])
-    return lines.select("month", F.concat(F.lit("## "), "month", F.lit("\n"), "body").alias("markdown"))
+    lines = joined_lines(events.withColumn("month", F.substring(day, 1, 7)), "month", F.concat(F.lit("- "), F.col(day), F.lit(": "), F.col(what)), [day, what])
+    return lines.select("month", "page", F.concat(F.lit("## "), "month", F.lit("\n"), "body").alias("markdown"))
 
 
 def index_markdown(docs: DataFrame, group: str, title: str, path: str) -> DataFrame:
     """A group's heading with its number of records and a link to each."""
-    lines = joined_lines(docs, [group], F.concat(F.lit("- ["), F.col(title), F.lit("]("), F.col(path), F.lit(")")), [title, path])
-    counts = docs.groupBy(group).agg(F.count("*").alias("n"))
-    return lines.join(counts, group).select(group, F.concat(F.lit("## "), F.col(group), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), "body").alias("markdown"))
+    lines = joined_lines(docs, group, F.concat(F.lit("- ["), F.col(title), F.lit("]("), F.col(path), F.lit(")")), [title, path])
+    return lines.select(group, "page", F.concat(F.lit("## "), F.col(group), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), "body").alias("markdown"))
 
 
 def first_match(names: DataFrame, name: str, patterns: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def last_n(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
 
 def sample_per_group(df: DataFrame, key: str, id_col: str, n: int, seed: int) -> DataFrame:
     """``n`` rows of every group, chosen by a seeded hash of the id: random, but the same on every run."""
-    w = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
+    w = Window.partitionBy(key).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col)
     return df.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= n).drop("__at")
 
 
@@ -126,5 +126,7 @@ def thread_summary(messages: DataFrame, thread: str, order: list[str], text: str
 
 
 def overlaps(df: DataFrame, target: Column, source: str) -> DataFrame:
-    """Targets that several sources map to."""
-    return df.groupBy(F.lower(target).alias("target")).agg(F.array_sort(F.collect_set(source)).alias("sources"), F.countDistinct(source).alias("n")).where("n > 1")
+    """``(target, source, n)``: every source of a target that several sources map to, one row each."""
+    pairs = df.select(F.lower(target).alias("target"), F.col(source).alias("source")).distinct()
+    several = pairs.groupBy("target").agg(F.count("*").alias("n")).where("n > 1")
+    return pairs.join(several, "target").select("target", "source", "n")

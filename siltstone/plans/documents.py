@@ -183,7 +183,8 @@ def docs_with_ids(t: Tables):
     return rel.with_ids(t.oracle_documents.select("id", "type"), ids, "id").distinct()
 
 
-@query("""SELECT target, list_sort(list(DISTINCT id)) AS sources, count(DISTINCT id) AS n FROM (SELECT lower(regexp_extract(source_file, '[^/]+$', 0)) AS target, id FROM oracle_documents WHERE source_file IS NOT NULL) GROUP BY target HAVING count(DISTINCT id) > 1""")
+@query("""WITH p AS (SELECT DISTINCT lower(regexp_extract(source_file, '[^/]+$', 0)) AS target, id AS source FROM oracle_documents WHERE source_file IS NOT NULL)
+    SELECT p.target, p.source, g.n FROM p JOIN (SELECT target, count(*) AS n FROM p GROUP BY target HAVING count(*) > 1) g ON p.target = g.target""")
 def overlap_detection(t: Tables):
     docs = t.oracle_documents.where("source_file is not null")
     return rel.overlaps(docs, F.element_at(F.split("source_file", "/"), -1), "id")
@@ -195,10 +196,11 @@ def rotation_expired(t: Tables):
     return rel.keep_newest(d, "project", "name", 10).select("project", "path", "doc_id")
 
 
-@query("""SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS docs, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents WHERE lang = 'fr' GROUP BY 1""")
+@query("""SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS docs, count(DISTINCT project) AS projects, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents GROUP BY 1""")
 def month_listing(t: Tables):
-    d = t.documents.where("lang = 'fr'").groupBy(F.date_format("created_at", "yyyy-MM").alias("month"))
-    return d.agg(F.count("*").alias("docs"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    return t.documents.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("docs"), F.countDistinct("project").alias("projects"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
+    )
 
 
 @query("""SELECT id, string_agg(content, chr(10) ORDER BY content) AS content FROM (SELECT DISTINCT id, content FROM oracle_documents WHERE content IS NOT NULL) GROUP BY id""")
@@ -216,31 +218,31 @@ def supersede_share(t: Tables):
 
 # text functions
 
-_SAMPLE_SQL = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
+_TEXTS = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 
-@query(rf"""SELECT doc_id, CASE WHEN s = '' THEN line ELSE s END AS q FROM (SELECT doc_id, line, trim(regexp_replace(regexp_replace(line, '[?*+\-()^~"'':./]', ' ', 'g'), '\s+', ' ', 'g')) AS s
-    FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 80) AS line FROM {_SAMPLE_SQL}))""")
+@query(rf"""SELECT doc_id, CASE WHEN s = '' THEN text ELSE s END AS q FROM (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[?*+\-()^~"'':./]', ' ', 'g'), '\s+', ' ', 'g')) AS s
+    FROM {_TEXTS})""")
 def sanitize_tool(t: Tables):
-    return t.documents.where("text is not null").select("doc_id", text.sanitize_query(text.first_line(F.col("text"))).alias("q"))
+    return t.documents.where("text is not null").select("doc_id", text.sanitize_query(F.col("text")).alias("q"))
 
 
-@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[?*+\-()^~"'':;<>{{}}\[\]\\/]', ' ', 'g'), '\s+', ' ', 'g')) AS q FROM {_SAMPLE_SQL}""")
+@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[?*+\-()^~"'':;<>{{}}\[\]\\/]', ' ', 'g'), '\s+', ' ', 'g')) AS q FROM {_TEXTS}""")
 def sanitize_http(t: Tables):
     return t.documents.where("text is not null").select("doc_id", text.sanitize_markup(F.col("text")).alias("q"))
 
 
-@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 50)), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {_SAMPLE_SQL}""")
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 50)), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {_TEXTS}""")
 def slug_a(t: Tables):
     return t.documents.where("text is not null").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query(rf"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug FROM {_SAMPLE_SQL}""")
+@query(rf"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug FROM {_TEXTS}""")
 def slug_b(t: Tables):
-    return t.documents.where("text is not null").select("doc_id", text.slug_runs(F.substring("text", 1, 200)).alias("slug"))
+    return t.documents.where("text is not null").select("doc_id", text.slug_runs(F.col("text")).alias("slug"))
 
 
-@query(f"SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 80) AS title FROM {_SAMPLE_SQL}")
+@query(f"SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 80) AS title FROM {_TEXTS}")
 def title_first_line(t: Tables):
     return t.documents.where("text is not null").select("doc_id", text.first_line(F.col("text")).alias("title"))
 
@@ -368,14 +370,11 @@ def export_csv(t: Tables):
     return d.select("id", F.concat_ws(",", "id", "type", text.csv_field(F.col("content"))).alias("line"))
 
 
-@query(f"""SELECT concept, list_transform(list_sort(list((-created_at, id))), lambda s: s[2]) AS ids FROM (SELECT unnest(list_distinct(terms)) AS concept, id, created_at FROM
-    (SELECT DISTINCT id, created_at, coalesce({_CONCEPTS}, []) AS terms FROM oracle_documents)) GROUP BY concept HAVING count(*) BETWEEN 3 AND 200""")
+@query(f"""SELECT concept, created_at, id FROM (SELECT unnest(list_distinct(terms)) AS concept, id, created_at FROM (SELECT DISTINCT id, created_at, coalesce({_CONCEPTS}, []) AS terms FROM oracle_documents)) ORDER BY concept, created_at DESC, id""")
 def export_concept_hubs(t: Tables):
+    """The lines of every concept's hub, newest first; a range sort, so that a frequent concept spreads over tasks."""
     d = t.oracle_documents.select("id", "created_at", concept_list(F.col("concepts")).alias("terms")).distinct()
-    each = d.select(F.explode(F.array_distinct("terms")).alias("concept"), "id", "created_at")
-    hubs = each.groupBy("concept").agg(F.count("*").alias("n")).where("n between 3 and 200").select("concept")
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("created_at")).alias("a"), F.col("id").alias("b"))))
-    return each.join(hubs, "concept").groupBy("concept").agg(F.transform(rows, lambda s: s["b"]).alias("ids"))
+    return d.select(F.explode(F.array_distinct("terms")).alias("concept"), "created_at", "id").orderBy("concept", F.desc("created_at"), "id")
 
 
 @query(r"""SELECT row_id, src_table, kind, period FROM (

@@ -21,17 +21,17 @@ def feed_round_trip(t: Tables):
     return line.select("event_id", *files.feed_fields(F.col("line"))).select("event_id", "timestamp", "oracle", "event", "session_id", "message")
 
 
-@query("""SELECT substr(day, 1, 7) AS month, '## ' || substr(day, 1, 7) || chr(10) || string_agg('- ' || day || ': ' || id, chr(10) ORDER BY day, id) AS markdown
+@query("""SELECT substr(day, 1, 7) AS month, 0 AS page, '## ' || substr(day, 1, 7) || chr(10) || string_agg('- ' || day || ': ' || id, chr(10) ORDER BY day, id) AS markdown
     FROM (SELECT left(created_at, 10) AS day, id FROM api_docs WHERE created_at IS NOT NULL) GROUP BY substr(day, 1, 7)""")
 def schedule_by_month(t: Tables):
     d = t.api_docs.where("created_at is not null").select(F.substring("created_at", 1, 10).alias("day"), "id")
     return exports.schedule_markdown(d, "day", "id")
 
 
-@query("""SELECT type, '## ' || type || ' (' || count(*) || ')' || chr(10) || string_agg('- [' || id || '](' || source_file || ')', chr(10) ORDER BY id, source_file) AS markdown
-    FROM (SELECT DISTINCT type, id, source_file FROM oracle_documents WHERE source_file IS NOT NULL AND type = 'pattern') GROUP BY type""")
+@query("""SELECT type, 0 AS page, '## ' || type || ' (' || count(*) || ')' || chr(10) || string_agg('- [' || id || '](' || source_file || ')', chr(10) ORDER BY id, source_file) AS markdown
+    FROM (SELECT DISTINCT type, id, source_file FROM oracle_documents WHERE source_file IS NOT NULL) GROUP BY type""")
 def export_index(t: Tables):
-    d = t.oracle_documents.where("source_file is not null and type = 'pattern'").select("type", "id", "source_file").distinct()
+    d = t.oracle_documents.where("source_file is not null").select("type", "id", "source_file").distinct()
     return exports.index_markdown(d, "type", "id", "source_file")
 
 
@@ -82,7 +82,7 @@ def front_matter_fields(t: Tables):
 @query()
 def slug_c(t: Tables):
     """Slugs that keep letters whose accents fall away."""
-    return t.documents.where("text is not null").select("doc_id", markup.ascii_slug(F.substring("text", 1, 120)).alias("slug"))
+    return t.documents.where("text is not null").select("doc_id", markup.ascii_slug(F.col("text")).alias("slug"))
 
 
 @query()

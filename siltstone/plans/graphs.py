@@ -22,11 +22,16 @@ def _recursive(edges: str, start: str, depth: int) -> str:
         FROM reach r JOIN {edges} e ON e.src = r.id WHERE r.depth < {depth} AND NOT list_contains(r.path, e.dst)) SELECT root, id, CAST(min(depth) AS INT) AS depth FROM reach GROUP BY root, id"""
 
 
-@query(f"""WITH nodes AS (SELECT DISTINCT id, coalesce(list_distinct({_CONCEPTS}), []) AS terms FROM oracle_documents WHERE type = 'principle' AND id >= 'resonance_k' AND id < 'resonance_n'),
-    each AS (SELECT id, unnest(terms) AS concept FROM nodes)
+def _sample(n: int, seed: int) -> str:
+    return f"(SELECT id, type FROM (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY md5('{seed}:' || id), id) AS rn FROM (SELECT DISTINCT id, type FROM oracle_documents)) WHERE rn <= {n})"
+
+
+@query(f"""WITH each AS (SELECT id, unnest(terms) AS concept FROM (SELECT DISTINCT id, coalesce(list_distinct({_CONCEPTS}), []) AS terms FROM oracle_documents WHERE id IN (SELECT id FROM {_sample(310, 3)})))
     SELECT a.id AS id_a, b.id AS id_b, count(*) AS weight FROM each a JOIN each b ON a.concept = b.concept AND a.id < b.id GROUP BY ALL ORDER BY id_a, id_b LIMIT 5000""")
 def concept_graph_edges(t: Tables):
-    nodes = t.oracle_documents.where("type = 'principle' and id >= 'resonance_k' and id < 'resonance_n'").select("id", concept_list(F.col("concepts")).alias("terms")).distinct()
+    """The graph view: up to 310 records of every type, and the first 5,000 edges between records sharing a concept."""
+    docs = t.oracle_documents.select("id", "type", concept_list(F.col("concepts")).alias("terms")).distinct()
+    nodes = docs.join(rel.sample_per_group(docs.select("id", "type").distinct(), "type", "id", 310, seed=3).select("id"), "id", "left_semi")
     return graph.concept_edges(nodes, "id", "terms")
 
 
@@ -52,13 +57,13 @@ def trace_tree_up(t: Tables):
     return graph.walk(edges, t.spark.createDataFrame([(777,)], "id long"), depth=20)
 
 
-@query("""SELECT event_id AS id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS INT) AS position FROM events WHERE user_id = 7""")
+@query("""SELECT user_id, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS position FROM events""")
 def linked_chain(t: Tables):
-    """The whole chain of one identity's events and each one's true position, from wherever it is entered."""
+    """The chain of every identity's events with each one's true position, wherever it is entered."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.where("user_id = 7").select(F.col("event_id").alias("id"), (F.row_number().over(w) - 1).alias("position"))
+    return t.events.select("user_id", F.col("event_id").alias("id"), (F.row_number().over(w) - 1).alias("position"))
 
 
 @query("""SELECT o.id, o.type, o.superseded_by, o.superseded_at, n.type AS new_type, n.source_file AS new_file FROM (SELECT DISTINCT id, type, superseded_by, superseded_at FROM oracle_documents WHERE superseded_by IS NOT NULL) o
@@ -99,7 +104,7 @@ def mean_vectors(t: Tables):
     return means.select("label", F.posexplode("embedding").alias("at", "m")).select("label", F.col("at").cast("long").alias("place"), F.round("m", 5).alias("m"))
 
 
-@query()
+@query(f"SELECT id, type FROM {_sample(10, 42)}")
 def reflect_random(t: Tables):
     """Ten records of every type, drawn by a seeded hash."""
     return rel.sample_per_group(t.oracle_documents.select("id", "type").distinct(), "type", "id", 10, seed=42)
