@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.langnet import CELL, STEPS, Params, forward, train, trigram_rows
+from siltstone.llm.textprep import slices
 from siltstone.storage import spread
 
 LANGUAGES = ("en", "th", "de", "fr", "es", "pt")
@@ -215,9 +216,10 @@ def _labelled(docs: DataFrame, ids: list[str], text: str, params: Params | None,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = letter_points()
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256].reset_index(drop=True)
-                out = rows(units_of(shipped.value, Layout([without_fences(t) for t in part["__text"]], letters)))
+            texts = pdf["__text"].tolist()
+            for lo, hi in slices(texts, 256, 1_000_000):
+                part = pdf.iloc[lo:hi]
+                out = rows(units_of(shipped.value, Layout([without_fences(t) for t in texts[lo:hi]], letters)))
                 out["lang"] = np.array(LANGUAGES, object)[out["lang"].to_numpy().astype(np.int64)]
                 owner = out["text"].to_numpy().astype(np.int64)
                 own = pd.DataFrame({c: part[c].to_numpy()[owner] for c in ids})

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.textprep import code_points, window_hashes
+from siltstone.llm.textprep import code_points, slices, window_hashes
 from siltstone.storage import spread
 
 _kept: list[np.ndarray] = []
@@ -130,9 +130,9 @@ def leaks(
             keep = kept_points()
             side = Items(*shipped.value, keep, k, w)
             for pdf in batches if len(side.values) else ():
-                for lo in range(0, len(pdf), 500):
-                    part = pdf.iloc[lo : lo + 500]
-                    yield found(part["doc_id"].to_numpy(), part["text"].tolist(), keep, side)
+                ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
+                for lo, hi in slices(texts, 500):
+                    yield found(ids[lo:hi], texts[lo:hi], keep, side)
 
         def found(ids: np.ndarray, texts: list[str], keep: np.ndarray, side: Items) -> pd.DataFrame:
             points, lengths = reduced(texts, keep)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.textprep import code_points, mix64, window_hashes, windows_of
+from siltstone.llm.textprep import code_points, mix64, slices, window_hashes, windows_of
 from siltstone.storage import stored
 
 #: Low bits kept of a minimum, and how many such values one integer holds.
@@ -111,10 +111,9 @@ def near_duplicates(
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                rows = sketch(part["text"].tolist(), k, bands)
-                yield pd.DataFrame({"class_id": part["class_id"].to_numpy(), "sig": list(rows)})
+            ids, texts = pdf["class_id"].to_numpy(), pdf["text"].tolist()
+            for lo, hi in slices(texts, 1000):
+                yield pd.DataFrame({"class_id": ids[lo:hi], "sig": list(sketch(texts[lo:hi], k, bands))})
 
     sigs = stored(reps.mapInPandas(sketches, "class_id long, sig array<int>"), "p1-sketches")
     banded = sigs.select("class_id", F.posexplode("sig").alias("band", "value"))

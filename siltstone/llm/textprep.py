@@ -70,3 +70,14 @@ def windows_of(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(lengths)), count)
     first = np.cumsum(count) - count
     return np.arange(count.sum()) - np.repeat(first - starts, count), owner
+
+
+def slices(texts: list[str], most_texts: int, most_chars: int = 4_000_000) -> list[tuple[int, int]]:
+    """Stretches of a batch small enough to be laid end to end: bounded in texts and, but for one longer text, in characters."""
+    out, start, size = [], 0, 0
+    for i, text in enumerate(texts):
+        if i > start and (i - start >= most_texts or size + len(text) > most_chars):
+            out.append((start, i))
+            start, size = i, 0
+        size += len(text)
+    return [*out, (start, len(texts))] if len(texts) else []

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltstone.llm import chunking, components, knn, langnet, leakage, minhash, setjoin
-from siltstone.llm.textprep import code_points, window_hashes, windows_of
+from siltstone.llm.textprep import code_points, slices, window_hashes, windows_of
 
 texts = st.lists(st.text(alphabet="abกé\n ", max_size=40), max_size=6)
 
@@ -144,3 +144,11 @@ def test_gradients_match_finite_differences():
         down = langnet.gradients(p, rows, labels, weights)[0]
         p[name][at] = old
         assert g[name][at] == pytest.approx((up - down) / (2 * step), rel=0.03, abs=1e-5)
+
+
+@given(st.lists(st.integers(0, 30), max_size=30), st.integers(1, 6), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_slices_cover_a_batch_within_bounds(sizes, most, chars):
+    got = slices(["x" * n for n in sizes], most, chars)
+    assert [i for lo, hi in got for i in range(lo, hi)] == list(range(len(sizes)))
+    assert all(hi - lo <= most and (hi - lo == 1 or sum(sizes[lo:hi]) <= chars) for lo, hi in got)
