@@ -123,6 +123,44 @@ def nearest_cells(centre: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def probes_needed(asked: DataFrame, homes: DataFrame, centres: dict[str, np.ndarray], counts: dict[str, int], k: int, least: float, recall: float, sample: int = 300) -> dict[str, int]:
+    """Nearest cells a query of each model has to visit to meet the share ``recall`` of its true neighbours.
+
+    Measured: some ``sample`` of the asked vectors are held against every vector in ``homes``, in one pass,
+    and the places of their ``k`` nearest's cells are looked up.  A vector is not counted as its own neighbour.
+    """
+    drawn: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for model in sorted(counts):
+        own = asked.where(F.col("model") == model).select("class_id", "vector").orderBy(F.xxhash64(F.lit(9), "class_id"), "class_id").limit(sample).toPandas()
+        if len(own):
+            drawn[model] = own["class_id"].to_numpy(), unit(np.stack(own["vector"].to_numpy()))
+    shipped = homes.sparkSession.sparkContext.broadcast(drawn)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            models = pdf["model"].to_numpy(object)
+            for model in sorted(set(models) & set(shipped.value)):
+                part = pdf[models == model]
+                score = shipped.value[model][1] @ unit(np.stack(part["vector"].to_numpy())).T
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k] if len(part) > k else np.tile(np.arange(len(part)), (len(score), 1))
+                row, col = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel()
+                yield pd.DataFrame({"model": model, "query": row, "near": part["class_id"].to_numpy()[col], "cell": part["cell"].to_numpy()[col], "score": score[row, col]})
+
+    best = Window.partitionBy("model", "query").orderBy(F.desc("score"), "near")
+    found = homes.mapInPandas(nearest, "model string, query int, near long, cell int, score double").where(F.col("score") >= least)
+    found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).toPandas()
+    needed = {}
+    for model, part in found.groupby("model"):
+        ids, x = drawn[model]
+        part = part[ids[part["query"].to_numpy()] != part["near"].to_numpy()]
+        if len(part):
+            near = x.astype(np.float32) @ centres[model].T
+            query = part["query"].to_numpy()
+            place = np.sort((near[query] >= near[query, part["cell"].to_numpy()][:, None]).sum(1))
+            needed[model] = int(place[ceil(recall * len(place)) - 1])
+    return needed
+
+
 def usable_vectors(df: DataFrame, model: Column, id_: Column, vector: Column) -> DataFrame:
     """``(model, id, vector)`` of the vectors that can be compared, each row once.
 
@@ -146,6 +184,7 @@ def most_similar(
     k: int = 10,
     min_score: float = -1.0,
     probes: int = 12,
+    recall: float | None = None,
     sample: int = 20_000,
     max_cells: int = 2048,
     block: int = 8192,
@@ -158,6 +197,7 @@ def most_similar(
     approximate in that only the ``probes`` nearest cells are looked at (and by the error bound, which
     holds but for about one in a hundred); with 4 * sqrt(n) cells, at most ``max_cells``.  ``sample`` bounds the
     vectors on which the cells are fitted (they come to the driver, at most twice as many); all are indexed.
+    With ``recall`` every model's probes are raised to what :func:`probes_needed` measures for that share.
     An id with several vectors of a model is asked for and found by each of them, at its best score.
     """
     spark = vectors.sparkSession
@@ -177,22 +217,26 @@ def most_similar(
         centres[model] = train_cells(unit(np.stack(drawn["vector"].to_numpy())), min(max_cells, ceil(4 * n**0.5)))
     shipped = spark.sparkContext.broadcast(centres)  # plain arrays: a broadcast is not pickled by value
 
-    def placed(n: int):
+    def placed(probes_of: dict[str, int]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 models = pdf["model"].to_numpy(object)
                 for model in sorted(set(models)):
                     part = pdf[models == model]
                     vectors = part["vector"].to_numpy()
-                    cells = nearest_cells(shipped.value[model], unit(np.stack(vectors)), n)
+                    cells = nearest_cells(shipped.value[model], unit(np.stack(vectors)), probes_of[model])
                     row = np.repeat(np.arange(len(part)), cells.shape[1])
                     yield pd.DataFrame({"class_id": part["class_id"].to_numpy()[row], "model": model, "vector": vectors[row], "cell": cells.ravel()})
 
         return run
 
     schema = "class_id long, model string, vector array<float>, cell int"
-    homes = stored(index.mapInPandas(placed(1), schema), "p6-index")
-    trips = stored(asked_classes.mapInPandas(placed(probes), schema).select("class_id", "model", "cell"), "p6-trips")
+    homes = stored(index.mapInPandas(placed(dict.fromkeys(counts, 1)), schema), "p6-index")
+    probes_of = dict.fromkeys(counts, probes)
+    if recall is not None:
+        for model, needed in probes_needed(asked_classes, homes, centres, counts, k + 1, min_score, recall).items():
+            probes_of[model] = max(probes, needed)
+    trips = stored(asked_classes.mapInPandas(placed(probes_of), schema).select("class_id", "model", "cell"), "p6-trips")
     # one row a model and cell: how many blocks its vectors and the queries that probe it make
     load = homes.groupBy("model", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("v_blocks"))
     asks = trips.groupBy("model", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("q_blocks"))

@@ -101,7 +101,7 @@ def p6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     table = _table(spark, folder, "embeddings")
     vectors = knn.usable_vectors(table, F.lit("embeddings"), F.col("vec_id"), F.col("embedding"))
     asked = table.where(F.col("vec_id") % 20 == 0).select(F.lit("embeddings").alias("model"), F.col("vec_id").alias("id"))
-    return knn.most_similar(vectors, asked, k=10, probes=48).select("id", "neighbour", F.round("score", 6).alias("score"), "rank")
+    return knn.most_similar(vectors, asked, k=10, probes=48, recall=0.97).select("id", "neighbour", F.round("score", 6).alias("score"), "rank")
 
 
 # 7: all similar pairs of sets

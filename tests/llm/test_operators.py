@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chunking, components, knn, language, leakage, minhash, mixing, setjoin, terms
+from siltstone.llm import chunking, components, knn, language, leakage, minhash, mixing, queries, setjoin, terms
 
 WORDS = [f"w{i}x{i * 7 % 31}" for i in range(300)]
 
@@ -164,6 +164,23 @@ def test_most_similar(spark):
     assert [n for _, n in sorted(got["m", "copy00"])] == [f"copy{i:02}" for i in range(1, 11)]
 
 
+def test_embeddings_recall_on_the_table_itself(spark):
+    folder = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = table["vec_id"].to_numpy(), knn.unit(np.stack(table["embedding"].to_numpy()))
+    got = defaultdict(set)
+    for r in queries.p6_embeddings(spark, folder).collect():
+        got[r["id"]].add(r["neighbour"])
+    hits = total = 0
+    for i in np.nonzero(ids % 20 == 0)[0]:
+        score = x @ x[i]
+        score[i] = -2
+        hits += len(got[ids[i]] & set(ids[np.argsort(-score)[:10]]))
+        total += 10
+    print("recall", hits / total)
+    assert total == 1000 and hits / total >= 0.95
+
+
 def test_most_similar_of_nothing(spark):
     df = spark.createDataFrame([], "model string, id string, vector array<float>")
     assert knn.most_similar(knn.usable_vectors(df, F.col("model"), F.col("id"), F.col("vector"))).count() == 0
