@@ -20,24 +20,26 @@ def concept_edges(nodes: DataFrame, id_col: str, concepts: str, *, least: int =
     return edges if most is None else edges.orderBy("id_a", "id_b").limit(most)
 
 
-def walk(edges: DataFrame, start: DataFrame, *, depth: int = 50) -> DataFrame:
-    """``(root, id, depth)``: nodes reached from every start by directed edges (src, dst), breadth first.
+def walk(edges: DataFrame, start: DataFrame, *, depth: int | None = None) -> DataFrame:
+    """``(root, id, depth)``: nodes reached from every start by directed edges (src, dst), with the smallest depth of each.
 
-    A recursive query with the path kept, so cycles end; the smallest depth of a node counts.
+    Round k adds what lies 2^k steps behind anything found so far, by pairs exactly 2^k steps apart, so the number
+    of rounds grows with the log of the depth.  It ends when a round finds no new node, in cycles too; with
+    ``depth``, nodes further away are left out.
     """
-    spark = edges.sparkSession
-    # stored first, or every level of the recursion would make them again
-    stored(edges.select("src", "dst").distinct(), "edges").createOrReplaceTempView("__walk_edges")
-    stored(start.select("id").distinct(), "start").createOrReplaceTempView("__walk_start")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(root, id, depth, path) MAX RECURSION LEVEL {depth + 5} AS (
-            SELECT id, id, 0, array(id) FROM __walk_start
-            UNION ALL
-            SELECT r.root, e.dst, r.depth + 1, array_append(r.path, e.dst)
-            FROM reach r JOIN __walk_edges e ON e.src = r.id
-            WHERE r.depth < {depth} AND NOT array_contains(r.path, e.dst))
-        SELECT root, id, min(depth) AS depth FROM reach GROUP BY root, id
-    """)
+    jumps = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    reach = stored(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct(), "reach")
+    step, known = 1, reach.count()
+    while depth is None or step <= depth:
+        further = reach.join(jumps, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id"), (F.col("depth") + step).alias("depth"))
+        reach = stored(reach.unionByName(further).groupBy("root", "id").agg(F.min("depth").alias("depth")), "reach")
+        before, known = known, reach.count()
+        if known == before:
+            break
+        ahead = jumps.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
+        jumps = stored(jumps.join(ahead, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst")).distinct(), "edges")
+        step *= 2
+    return reach if depth is None else reach.where(F.col("depth") <= depth)
 
 
 def supersede_pairs(docs: DataFrame) -> DataFrame:

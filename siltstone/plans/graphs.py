@@ -37,9 +37,10 @@ def concept_graph_edges(t: Tables):
 
 @query(_recursive(_EDGES, f"SELECT DISTINCT src AS id FROM {_EDGES} WHERE src NOT IN (SELECT dst FROM {_EDGES})", 30))
 def supersede_lineage(t: Tables):
+    """Every record a root leads to, at any depth; the SQL ends at 30 levels and lacks what lies behind."""
     edges = _edges(t)
     roots = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
-    return graph.walk(edges, roots, depth=30)
+    return graph.walk(edges, roots)
 
 
 _TREE = "(SELECT CAST(event_id AS BIGINT) AS dst, CAST((event_id - 1) // 4 AS BIGINT) AS src FROM events WHERE event_id > 0)"

@@ -92,6 +92,29 @@ def test_walk_ends_in_cycles(spark):
     assert rows(graph.walk(edges, spark.createDataFrame([("a",)], "id string"))) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
 
 
+def test_walk_has_no_cap_and_keeps_the_shortest_way(spark):
+    links = [(i, i + 1) for i in range(100)] + [(0, 90), (100, 0), (7, 200), (200, 7)]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    start = spark.createDataFrame([(0,), (50,), (999,)], "id long")
+    want = set()
+    for root in (0, 50, 999):
+        seen, level = {root: 0}, [root]
+        while level:
+            level = sorted({b for a, b in links if a in level} - set(seen))
+            seen.update(dict.fromkeys(level, max(seen.values()) + 1))
+        want |= {(root, i, d) for i, d in seen.items()}
+    assert set(rows(graph.walk(edges, start))) == want and max(d for *_, d in want) > 80
+    assert set(rows(graph.walk(edges, start, depth=10))) == {x for x in want if x[2] <= 10}
+
+
+def test_supersede_lineage_is_whole(spark, tmp_path):
+    from siltstone.plans.catalogue import queries
+
+    log = [(f"n{i}", f"n{i + 1}") for i in range(60)]
+    spark.createDataFrame(log, "old_id string, new_id string").write.parquet(str(tmp_path / "supersede_log.parquet"))
+    assert rows(queries()["supersede_lineage"](spark, str(tmp_path))) == sorted(("n0", f"n{i}", i) for i in range(61))
+
+
 def test_concept_edges(spark):
     assert rows(graph.concept_edges(docs(spark), "id", "concepts")) == [("a", "b", 1), ("b", "c", 1)]
 
