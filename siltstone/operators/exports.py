@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import glob_regex
 
 
-#: Lines of one rendered page; a larger group becomes several pages, so no task builds an unbounded text.
-PAGE = 1000
-
-
 def joined_lines(rows: DataFrame, key: str, line: Column, order: list[str]) -> DataFrame:
-    """``(key, page, n, body)``: a group's lines in order, joined by line ends, in pages of about ``PAGE``; n is the group's size."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
-    page = F.pmod(F.xxhash64(*order), F.ceil(F.col("n") / PAGE)).cast("int")
-    placed = rows.withColumn("__line", line).join(sizes, key).withColumn("page", page)
-    items = F.array_sort(F.collect_list(F.struct(*order, "__line")))
-    return placed.groupBy(key, "page").agg(F.first("n").alias("n"), F.array_join(F.transform(items, lambda s: s["__line"]), "\n").alias("body"))
+    """``(key, page, n, body)``: all of a group's lines in order, joined by line ends; page is always 0, n is the group's size.
+
+    One row a group whatever its size, so a group's text must fit one task.
+    """
+    items = F.array_sort(F.collect_list(F.struct(*order, line.alias("__line"))))
+    body = F.array_join(F.transform(items, lambda s: s["__line"]), "\n")
+    return rows.groupBy(key).agg(F.lit(0).alias("page"), F.count("*").alias("n"), body.alias("body"))
 
 
 def schedule_markdown(events: DataFrame, day: str, what: str) -> DataFrame:

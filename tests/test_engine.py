@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.api import KnowledgeBase
 from siltstone.functions import markup
-from siltstone.operators import embed, fts, graph, ingest, layout, merge, queue, relational as rel, search
+from siltstone.operators import embed, exports, fts, graph, ingest, layout, merge, queue, relational as rel, search
 from siltstone.sources import files, sinks
 from siltstone.streaming import live
 
@@ -115,6 +115,17 @@ def test_supersede_lineage_is_whole(spark, tmp_path):
     assert rows(queries()["supersede_lineage"](spark, str(tmp_path))) == sorted(("n0", f"n{i}", i) for i in range(61))
 
 
+def test_long_groups_render_whole_and_in_order(spark):
+    data = [("t", f"r{i * 7919 % 2500:04}", f"p{i % 3}") for i in range(2500)] + [("u", "b", "q"), ("u", "a", "q")]
+    got = rows(exports.index_markdown(spark.createDataFrame(data, "type string, id string, path string"), "type", "id", "path"))
+    lines = "\n".join(f"- [{i}]({p})" for _, i, p in sorted(data) if _ == "t")
+    assert got == [("t", 0, f"## t (2500)\n{lines}"), ("u", 0, "## u (2)\n- [a](q)\n- [b](q)")]
+    days = spark.createDataFrame([(f"2026-01-{i % 28 + 1:02}", f"e{i:04}") for i in range(2500)] + [("2026-02-01", "x")], "day string, id string")
+    (_, page, text), _ = rows(exports.schedule_markdown(days, "day", "id"))
+    body = text.split("\n")[1:]
+    assert page == 0 and len(body) == 2500 and body == sorted(body)
+
+
 def test_concept_edges(spark):
     assert rows(graph.concept_edges(docs(spark), "id", "concepts")) == [("a", "b", 1), ("b", "c", 1)]
 
