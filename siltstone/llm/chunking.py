@@ -2,10 +2,11 @@
 
 A text is cut into units: blocks between blank lines, where a block is too long its lines, where a
 line is too long its words, where a run without white space is too long equal stretches.  Between
-neighbouring units the similarity of the vocabulary before and after is taken over sliding windows;
-valleys of that curve are topic boundaries.  Each piece ends at the deepest valley within
-reach, coarser boundaries first, and the next piece begins with up to ``overlap`` characters of
-it, from a line's or word's start.  One record at a time: no shuffle, no state.
+neighbouring units, and inside a line that is too long between its sentences or blocks of words, the
+similarity of the vocabulary before and after is taken over sliding windows; valleys of that curve
+are topic boundaries.  Each piece ends at the deepest valley within reach, coarser boundaries
+first, or at the last place where there is no valley, and the next piece begins with up to
+``overlap`` characters of it, from a line's or word's start.  One record at a time: no shuffle, no state.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 LEVELS = ("paragraph", "line", "word", "hard")
 _WORD = re.compile(r"\w+")
 _RUN = re.compile(r"\S+")
+#: Where a sentence ends: a mark before white space, or a full-width one.
+_SENTENCE = re.compile(r"[.!?\u2026\u0964\u061f][\"'\u2019\u201d)\]]*(?=\s)|[\u3002\uff01\uff1f][\u300d\u300f\u201d]*")
+_WORD_START = re.compile(r"(?<=\s)\S")
 
 
 def _blocks(text: str) -> list[tuple[int, int]]:
@@ -62,14 +66,42 @@ def cuts_of(text: str, limit: int) -> list[tuple[int, int]]:
             if at > start:
                 cuts.append((at, 1))
             if len(line) > limit:
+                breaks = breaks_of(line, max(1, limit // 10))
                 for m in _RUN.finditer(line):
                     if m.start():
                         cuts.append((at + m.start(), 2))
-                    cuts.extend((at + p, 3) for p in range(m.start() + limit // 2, m.end(), limit // 2) if m.end() - m.start() > limit)
+                    if m.end() - m.start() > limit:
+                        inner = {*range(m.start() + limit // 2, m.end(), limit // 2), *(p for p in breaks if m.start() < p < m.end())}
+                        cuts.extend((at + p, 3) for p in sorted(inner))
             at += len(line) + 1
     return cuts
 
 
+def breaks_of(line: str, block: int) -> list[int]:
+    """Places inside a long line where vocabulary is compared: before sentences, and in sentences over two blocks about every ``block`` characters."""
+    starts = sorted({m.start() for end in _SENTENCE.finditer(line) if (m := _RUN.search(line, end.end()))})
+    out: list[int] = []
+    for low, high in zip([0, *starts], [*starts, len(line)], strict=True):
+        at = low
+        while high - at > 2 * block:
+            word = _WORD_START.search(line, at + block, at + 2 * block)
+            at = word.start() if word else at + block
+            out.append(at)
+        if high < len(line):
+            out.append(high)
+    return out
+
+
+def candidates_of(text: str, cuts: list[tuple[int, int]], limit: int) -> list[int]:
+    """The cut positions whose valleys are computed: every block and line, and the breaks inside lines that are too long."""
+    fine, at = set(), 0
+    for line in text.split("\n"):
+        if len(line) > limit:
+            fine.update(at + p for p in breaks_of(line, max(1, limit // 10)))
+        at += len(line) + 1
+    return [p for p, level in cuts if level < 2 or p in fine]
+
+
 def _bag(text: str) -> Counter:
     """Vocabulary of a stretch: words, and for words of scripts without spaces their trigrams."""
     bag: Counter = Counter()
@@ -121,8 +153,8 @@ def split_text(text: str, limit: int, overlap: int, window: int = 400) -> list[t
     if len(text) <= limit:
         return [(0, len(text), 0, "end")]
     cuts = [(p, level) for p, level in cuts_of(text, limit) if 0 < p < len(text)]
-    coarse = [p for p, level in cuts if level < 2]
-    depth = dict(zip(coarse, valley_depths(text, coarse, window), strict=True))
+    compared = candidates_of(text, cuts, limit)
+    depth = dict(zip(compared, valley_depths(text, compared, window), strict=True))
     places = np.array([p for p, _ in cuts] or [0])
     pieces, start = [], 0
     while True:
@@ -143,7 +175,7 @@ def split_text(text: str, limit: int, overlap: int, window: int = 400) -> list[t
             near = [p for p, own in reach if own <= level]
             late = [p for p in near if p >= start + limit // 2] or near
             if late:
-                end = max(late, key=lambda p: (depth.get(p, 0.0), p))
+                end = max(late, key=lambda p: (round(depth.get(p, 0.0), 9), p))
                 break
         if end is None:
             end, level = far, 3

@@ -103,6 +103,24 @@ def test_cuts_keep_to_natural_boundaries():
     assert chunking.boundary_of("x" * 41, 40) == "hard"
 
 
+@pytest.mark.parametrize("end", [". ", " "])
+def test_pieces_of_a_long_line_end_at_its_valleys(end):
+    cat, stock = "the cat sat on the mat and the cat slept" + end, "stocks fell while bonds rose in early trade" + end
+    body = (cat * 35 + stock * 60).strip()  # one line; the topic changes in the second half of the first reach
+    pieces = chunking.split_text(body, 2000, 100)
+    assert chunking.boundary_of(body, 2000) == "word" and pieces[0][3] == "word"
+    assert abs(pieces[0][1] - len(cat * 35)) <= (0 if end == ". " else 200)
+    plain = "word " * 900
+    assert chunking.split_text(plain, 2000, 100)[0][1] == 2000  # no valley: the last word in reach
+
+
+def test_long_runs_without_white_space_end_at_their_sentences():
+    a, b = "猫がマットの上に座って眠っていた。", "株価が下がり債券が早くに上がった。"
+    body = a * 70 + b * 70
+    pieces = chunking.split_text(body, 2000, 100)
+    assert chunking.boundary_of(body, 2000) == "hard" and pieces[0][1:] == (len(a * 70), 0, "hard")
+
+
 def test_one_bit_codes_bound_the_inner_product():
     rng = np.random.default_rng(1)
     x, q = knn.unit(rng.standard_normal((500, 64))), knn.unit(rng.standard_normal((50, 64)))
