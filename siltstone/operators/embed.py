@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 class Embedder(Protocol):
-    """Turns a batch of texts into a matrix, one row a text."""
+    """Turns a batch of texts into a matrix, one row a text.
+
+    One with a limit says so in an attribute ``most_chars``; without it whole texts are given.
+    """
 
     def __call__(self, texts: list[str]) -> np.ndarray: ...
 
@@ -42,8 +45,8 @@ def model_or_default(name: str | None) -> str:
     return name if name in REGISTRY else next(iter(REGISTRY))
 
 
-def embedded(docs: DataFrame, id_col: str, text: str, model: str, embedder: Embedder | None = None, most_chars: int = 2000) -> DataFrame:
-    """``(model_key, id, vector)``; texts are cut to ``most_chars``, as embedding services do."""
+def embedded(docs: DataFrame, id_col: str, text: str, model: str, embedder: Embedder | None = None) -> DataFrame:
+    """``(model_key, id, vector)`` of whole texts, or of as many first characters as the embedder's ``most_chars``."""
     model = model_or_default(model)
     run_on = embedder or hashing_embedder(REGISTRY[model])
     kind = docs.schema[id_col].dataType.simpleString()
@@ -54,8 +57,9 @@ def embedded(docs: DataFrame, id_col: str, text: str, model: str, embedder: Embe
                 vectors = np.asarray(run_on(pdf["text"].fillna("").tolist()), np.float32)
                 yield pd.DataFrame({"model_key": model, "id": pdf["id"].to_numpy(), "vector": list(vectors)})
 
-    cut = docs.select(F.col(id_col).alias("id"), F.substring(text, 1, most_chars).alias("text"))
-    return cut.mapInPandas(run, f"model_key string, id {kind}, vector array<float>")
+    most = getattr(run_on, "most_chars", None)
+    given = docs.select(F.col(id_col).alias("id"), (F.col(text) if most is None else F.substring(text, 1, most)).alias("text"))
+    return given.mapInPandas(run, f"model_key string, id {kind}, vector array<float>")
 
 
 def upserted(collection: DataFrame, new: DataFrame) -> DataFrame:

@@ -126,6 +126,15 @@ def test_long_groups_render_whole_and_in_order(spark):
     assert page == 0 and len(body) == 2500 and body == sorted(body)
 
 
+def test_whole_texts_are_embedded_unless_the_embedder_has_a_limit(spark):
+    start, text = "alpha " * 400, "alpha " * 400 + "omega " * 400
+    one = spark.createDataFrame([("x", text)], "id string, content string")
+    own = embed.hashing_embedder(64)
+    assert np.allclose(embed.embedded(one, "id", "content", "small").first()["vector"], own([text])[0])
+    own.most_chars = len(start)
+    assert np.allclose(embed.embedded(one, "id", "content", "small", own).first()["vector"], own([start])[0])
+
+
 def test_concept_edges(spark):
     assert rows(graph.concept_edges(docs(spark), "id", "concepts")) == [("a", "b", 1), ("b", "c", 1)]
 
