@@ -123,7 +123,7 @@ def nearest_cells(centre: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def probes_needed(asked: DataFrame, homes: DataFrame, centres: dict[str, np.ndarray], counts: dict[str, int], k: int, least: float, recall: float, sample: int = 300) -> dict[str, int]:
+def probes_needed(asked: DataFrame, homes: DataFrame, centres: dict[str, np.ndarray], counts: dict[str, int], k: int, least: float, recall: float, sample: int) -> dict[str, int]:
     """Nearest cells a query of each model has to visit to meet the share ``recall`` of its true neighbours.
 
     Measured: some ``sample`` of the asked vectors are held against every vector in ``homes``, in one pass,
@@ -141,10 +141,14 @@ def probes_needed(asked: DataFrame, homes: DataFrame, centres: dict[str, np.ndar
             models = pdf["model"].to_numpy(object)
             for model in sorted(set(models) & set(shipped.value)):
                 part = pdf[models == model]
-                score = shipped.value[model][1] @ unit(np.stack(part["vector"].to_numpy())).T
-                top = np.argpartition(-score, k - 1, axis=1)[:, :k] if len(part) > k else np.tile(np.arange(len(part)), (len(score), 1))
-                row, col = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel()
-                yield pd.DataFrame({"model": model, "query": row, "near": part["class_id"].to_numpy()[col], "cell": part["cell"].to_numpy()[col], "score": score[row, col]})
+                ids, cells, x = part["class_id"].to_numpy(), part["cell"].to_numpy(), unit(np.stack(part["vector"].to_numpy())).astype(np.float32)
+                for lo in range(0, len(x), 2048):
+                    score = shipped.value[model][1].astype(np.float32) @ x[lo : lo + 2048].T
+                    row, col = np.nonzero(score >= least)
+                    if len(row) > len(score) * k:
+                        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                        row, col = np.repeat(np.arange(len(top)), k), top.ravel()
+                    yield pd.DataFrame({"model": model, "query": row, "near": ids[lo + col], "cell": cells[lo + col], "score": score[row, col]})
 
     best = Window.partitionBy("model", "query").orderBy(F.desc("score"), "near")
     found = homes.mapInPandas(nearest, "model string, query int, near long, cell int, score double").where(F.col("score") >= least)
@@ -185,6 +189,7 @@ def most_similar(
     min_score: float = -1.0,
     probes: int = 12,
     recall: float | None = None,
+    recall_sample: int = 300,
     sample: int = 20_000,
     max_cells: int = 2048,
     block: int = 8192,
@@ -197,7 +202,7 @@ def most_similar(
     approximate in that only the ``probes`` nearest cells are looked at (and by the error bound, which
     holds but for about one in a hundred); with 4 * sqrt(n) cells, at most ``max_cells``.  ``sample`` bounds the
     vectors on which the cells are fitted (they come to the driver, at most twice as many); all are indexed.
-    With ``recall`` every model's probes are raised to what :func:`probes_needed` measures for that share.
+    With ``recall`` every model's probes are raised to what :func:`probes_needed` measures for that share on ``recall_sample`` queries.
     An id with several vectors of a model is asked for and found by each of them, at its best score.
     """
     spark = vectors.sparkSession
@@ -234,7 +239,8 @@ def most_similar(
     homes = stored(index.mapInPandas(placed(dict.fromkeys(counts, 1)), schema), "p6-index")
     probes_of = dict.fromkeys(counts, probes)
     if recall is not None:
-        for model, needed in probes_needed(asked_classes, homes, centres, counts, k + 1, min_score, recall).items():
+        asked_classes = stored(asked_classes, "p6-asked")
+        for model, needed in probes_needed(asked_classes, homes, centres, counts, k + 1, min_score, recall, recall_sample).items():
             probes_of[model] = max(probes, needed)
     trips = stored(asked_classes.mapInPandas(placed(probes_of), schema).select("class_id", "model", "cell"), "p6-trips")
     # one row a model and cell: how many blocks its vectors and the queries that probe it make

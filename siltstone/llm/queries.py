@@ -92,7 +92,7 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records of one model of which one is among the ten most similar of the other, at 0.9 and more."""
-    near = knn.most_similar(_vectors(spark, folder), k=10, min_score=0.9)
+    near = knn.most_similar(_vectors(spark, folder), k=10, min_score=0.9, recall=0.99, recall_sample=2000)
     return near.select(F.col("model").alias("model_key"), F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

@@ -181,6 +181,19 @@ def test_embeddings_recall_on_the_table_itself(spark):
     assert total == 1000 and hits / total >= 0.95
 
 
+def test_probes_grow_to_the_recall_asked_for(spark):
+    rng = np.random.default_rng(5)
+    x = knn.unit(rng.standard_normal((1500, 24)))  # no clusters at all
+    x = np.concatenate([x, knn.unit(x[:500] + rng.standard_normal((500, 24)) * 0.13)])  # and near copies at about 0.84
+    df = spark.createDataFrame([("m", i, v.tolist()) for i, v in enumerate(x)], "model string, id long, vector array<float>")
+    score = x @ x.T
+    np.fill_diagonal(score, -2)
+    best = np.argsort(-score, axis=1)[:, :10]
+    true = {(i, int(j)) for i in range(len(x)) for j in best[i] if score[i, j] >= 0.8}
+    found = {k: {(i, j) for _, i, j, *_ in knn.most_similar(df, k=10, min_score=0.8, probes=2, **k_).collect()} for k, k_ in (("fixed", {}), ("measured", {"recall": 0.99, "recall_sample": 2000}))}
+    assert len(true) > 500 and len(true & found["fixed"]) < 0.9 * len(true) and len(true & found["measured"]) >= 0.985 * len(true)
+
+
 def test_most_similar_of_nothing(spark):
     df = spark.createDataFrame([], "model string, id string, vector array<float>")
     assert knn.most_similar(knn.usable_vectors(df, F.col("model"), F.col("id"), F.col("vector"))).count() == 0
