@@ -3,7 +3,7 @@
 Every position of a record's term list gives one suffix, truncated to ``max_terms``.  With it go
 numbers instead of record sets: how often it occurs, and for each of its prefixes whether this is
 the record's first occurrence of that prefix.  These add up, so equal suffixes are combined before
-the shuffle and a term that a third of all records have costs one row a partition.  Suffixes are
+the shuffle (single terms only so, inside each partition) and a term that a third of all records have costs one row a partition.  Suffixes are
 routed by their first term (the suffixes of a hot first term by the second too), sorted in reverse
 lexicographic order, and one pass with a stack gives all prefix counts of a route; a last small
 sum puts the parts of split routes together.
@@ -43,6 +43,31 @@ def _suffixes(max_terms: int):
     return run
 
 
+def _combined(most: int = 200_000):
+    """Adds up equal single terms inside a partition; up to ``most`` are held at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
+
+        def taken() -> pd.DataFrame:
+            frame = pd.DataFrame({"suffix": [[t] for t in held], "occurrences": [n for n, _ in held.values()], "first_1": [f for _, f in held.values()]})
+            held.clear()
+            return frame
+
+        for pdf in batches:
+            sums = pdf.groupby("term", sort=False)["first_1"].agg(["size", "sum"])
+            for term, n, first in zip(sums.index, sums["size"].tolist(), sums["sum"].tolist(), strict=True):
+                own = held.setdefault(term, [0, 0])
+                own[0] += n
+                own[1] += first
+            if len(held) > most:
+                yield taken()
+        if held:
+            yield taken()
+
+    return run
+
+
 def _stacked(max_terms: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path: list[str] = []  # the prefix that is open, one entry of each counter a term
@@ -96,14 +121,13 @@ def ngram_counts(records: DataFrame, terms_col: str, *, max_terms: int = 1, hot_
     firsts = [f"first_{n + 1}" for n in range(max_terms)]
     schema = "suffix array<string>, occurrences long, " + ", ".join(f"{c} long" for c in firsts)
     lists = records.select(F.filter(terms_col, lambda t: t.isNotNull()).alias("terms")).where(F.size("terms") > 0)
-    if max_terms == 1:  # the suffix is the term itself: no Python needed to cut it
-        counted = (
-            lists.select(F.posexplode("terms").alias("at", "term"), "terms")
-            .select(F.array("term").alias("suffix"), F.lit(1).cast("long").alias("occurrences"), (F.array_position("terms", F.col("term")) == F.col("at") + 1).cast("long").alias("first_1"))
-        )
+    if max_terms == 1:  # the suffix is the term itself; equal ones are only combined inside a partition, the stack counts them
+        each = lists.select(F.posexplode("terms").alias("at", "term"), "terms")
+        firsts_only = each.select("term", (F.array_position("terms", F.col("term")) == F.col("at") + 1).cast("long").alias("first_1"))
+        combined = firsts_only.mapInPandas(_combined(), schema)
     else:
         counted = lists.mapInPandas(_suffixes(max_terms), schema)
-    combined = counted.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in ("occurrences", *firsts)))
+        combined = counted.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in ("occurrences", *firsts)))
     head, second = F.col("suffix")[0], F.try_element_at("suffix", F.lit(2))
     if max_terms == 1:
         routed = combined.repartition(F.xxhash64(head))

@@ -9,6 +9,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,16 @@ def test_marks_and_empty(spark):
     assert terms.ngram_counts(df.limit(0), "terms", max_terms=2).count() == 0
 
 
+def test_single_terms_are_counted_by_the_stack(spark):
+    df = spark.createDataFrame([(["a", "b", "a"],), (["b"],), (["a"],)] * 50, "terms array<string>").repartition(3)
+    counts = terms.ngram_counts(df, "terms")
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInPandas") == 2 and plan.count("posexplode") == 1 and "sum(first_1" not in plan
+    assert {(g[0], o, r) for g, _, o, r in counts.collect()} == {("a", 150, 100), ("b", 100, 100)}
+    batches = [pd.DataFrame({"term": list(t), "first_1": 1}) for t in ("bab", "a")]
+    assert [sorted((s[0], n) for s, n in zip(f["suffix"], f["occurrences"], strict=True)) for f in terms._combined(1)(iter(batches))] == [[("a", 1), ("b", 2)], [("a", 1)]]
+
+
 # 4
 
 @pytest.mark.parametrize("bounds", [{}, {"max_edges": 40, "fan_in": 2}, {"max_edges": 3, "fan_in": 2}])
