@@ -1,16 +1,20 @@
 """Consolidating pairwise links into groups: union-find over forests, merged in levels.
 
-Edges lie in partitions of bounded size.  Each partition runs union-find and keeps a spanning
-forest only (every node tied to its tree's root), so it can shrink but never grow.  Forests of
-several partitions are then put together, and again, until one forest is left.  Where the
-forests together no longer fit one bounded task, rounds over the whole edge table take over
-(every node is tied to the smallest neighbour of its neighbours, both ways), which need
-no task to hold more than its share; they end when a round changes nothing.
+Links lie in partitions of bounded size.  Each partition runs union-find and keeps a spanning forest
+only: every node tied to its tree's root.  Where several partitions know a node, their roots for it are
+one component, and links between these roots are all that is left to merge; a node that is a root nowhere is
+finished, and its one tie is set aside.  The links between roots are dealt to partitions again, fewer at
+every level, until none is left; then the ties set aside are followed from the last level down.
+
+No task ever holds more than its share: the number of partitions follows from the number of links at every
+level, and a node with very many links is dealt to several partitions.  Roots are chosen by a scrambled number, not by
+the key, so that a long chain in key order shrinks as fast as any other graph (by about a third a level or more).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -23,7 +27,7 @@ from siltstone.storage import stored
 
 
 def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes that are not roots, and the root (the smallest node) of each one's tree.
+    """All nodes, and the root (the smallest node) of each one's tree.
 
     Union-find with all unions of a round made at once: roots are hooked to the smallest root
     they meet, then every path is halved until flat.
@@ -43,68 +47,115 @@ def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if (up == parent).all():
                 break
             parent = up
-    tied = parent != np.arange(len(nodes))
-    return nodes[tied], nodes[parent[tied]]
+    return nodes, nodes[parent]
 
 
-def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of all links of a partition; what is held between batches is a forest, never the links."""
     u = v = np.zeros(0, np.int64)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return local_forest(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
+
     for pdf in batches:
         waiting.append((pdf["u"].to_numpy(), pdf["v"].to_numpy()))
         size += len(pdf)
-        if size > max(500_000, len(u)):  # what is kept is a forest; it grows only with its nodes
-            u, v = local_forest(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
+        if size > max(500_000, len(u)):
+            u, v = joined()
             waiting, size = [], 0
-    u, v = local_forest(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
-    yield pd.DataFrame({"u": u, "v": v})
+    return joined()
 
 
-def _rounds(edges: DataFrame) -> DataFrame:
-    """Ties of every node to the smallest node of its component, by alternating star rounds."""
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u")
-        edges = stored(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
-            "p4-round",
-        )
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            return edges
-        before = state
-
-
-def components(edges: DataFrame, *, max_edges: int = 2_000_000, fan_in: int = 8) -> DataFrame:
-    """``ties(u, v)``: every node that is not its component's smallest, tied to that smallest.
-
-    ``edges`` has two long columns u and v, u = v allowed.  ``max_edges`` bounds what one
-    task merges (16 bytes an edge), ``fan_in`` how many partitions' forests one task takes.
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    node, root = _forest(batches)
+    tied = node != root
+    yield pd.DataFrame({"u": node[tied], "v": root[tied]})
+
+
+def _ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    node, root = _forest(batches)
+    yield pd.DataFrame({"node": node, "root": root})
+
+
+def _dealt(links: DataFrame, parts: int, most: int) -> DataFrame:
+    """Links in ``parts`` partitions, by their larger end; one with more than ``most`` smaller neighbours is split by these."""
+    low, high = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    links = links.select(low, high)
+    if parts == 1:
+        return links.repartition(1)
+    # at most 2 * links / most rows, a few for each partition
+    hot = links.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > most).select("v", F.ceil(F.col("n") / most).alias("pieces"))
+    salted = links.join(F.broadcast(hot), "v", "left").withColumn("salt", F.pmod(F.xxhash64("u"), F.coalesce("pieces", F.lit(1))))
+    return salted.repartition(parts, F.xxhash64("v", "salt")).select("u", "v")
+
+
+def merge_level(links: DataFrame, parts: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """One level: ``ties(node, up)`` of the nodes that are finished, and the links between roots that remain."""
+    held = _dealt(links, parts, most).mapInPandas(_ties, "node long, root long")
+    # a node is known to as many partitions as it has been dealt to, so the list of its roots is that short
+    known = stored(held.groupBy("node").agg(F.sort_array(F.collect_set("root")).alias("roots"), F.bool_or(F.col("node") == F.col("root")).alias("head")), "p4-known")
+    up = F.col("roots")[0]
+    ties = known.where(~F.col("head")).select("node", up.alias("up"))
+    left = known.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), up.alias("v")).where("u <> v").distinct()
+    return ties, stored(left, "p4-links")
+
+
+def _turn(by: tuple[int, int], back: bool):
+    """A scrambling of 64-bit numbers that can be undone: products with odd numbers and shifts by half the width."""
+    first, second = (np.uint64(x) for x in by)
+    half = np.uint64(32)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = {}
+            for c in ("u", "v"):
+                x = pdf[c].to_numpy(np.int64).view(np.uint64)
+                if back:
+                    x = x ^ (x >> half)
+                x = x * first
+                x = x ^ (x >> half)
+                x = x * second
+                out[c] = (x if back else x ^ (x >> half)).view(np.int64)
+            yield pd.DataFrame(out)
+
+    return run
+
+
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BACK = (pow(_ODD[1], -1, 1 << 64), pow(_ODD[0], -1, 1 << 64))
+
+
+def components(links: DataFrame, *, max_links: int = 1_000_000, levels: list[int] | None = None) -> DataFrame:
+    """``(u, v)``: every node of a component of two or more but one, tied to that one.
+
+    ``links`` has two long columns u and v; u = v and repeated links are allowed and change nothing, no links give no
+    rows.  Which node the others are tied to depends on the component's nodes only, not on partitions or order.
+    ``max_links`` bounds what one task merges (some 100 bytes a link); ``levels``, if given, gets each level's number of partitions.
     """
-    spark = edges.sparkSession
-    edges = edges.select("u", "v").where("u <> v")
-    schema = "u long, v long"
-    level = stored(edges.mapInPandas(_forests, schema), "p4-forest")
-    count = level.count()
-    parts = max(1, ceil(count / max_edges) * fan_in) if count > max_edges else 1
-    while count > max_edges:
-        merged = stored(level.repartition(parts, F.xxhash64("v")).mapInPandas(_forests, schema), "p4-forest")
-        now = merged.count()
-        parts = max(1, parts // fan_in)
-        if now > 0.8 * count:  # nearly one edge a node already: no task could hold what is left
-            return _rounds(merged)
-        level, count = merged, now
-    return stored(level.repartition(1).mapInPandas(_forests, schema), "p4-forest") if count else spark.createDataFrame([], schema)
-
-
-def group_ids(links: DataFrame, a: str, b: str, **bounds: int) -> DataFrame:
+    spark = links.sparkSession
+    scrambled = links.select("u", "v").where("u <> v").mapInPandas(_turn(_ODD, back=False), "u long, v long")
+    left = stored(scrambled.mapInPandas(_links, "u long, v long"), "p4-links")
+    aside: list[DataFrame] = []
+    while count := left.count():
+        parts = ceil(count / max_links)
+        ties, left = merge_level(left, parts, max(1, max_links // 4))
+        aside.append(ties)
+        if levels is not None:
+            levels.append(parts)
+    if not aside:
+        return spark.createDataFrame([], "u long, v long")
+
+    def followed(below: DataFrame, ties: DataFrame) -> DataFrame:
+        further = below.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        return ties.join(further, "up", "left").select("node", F.coalesce("top", "up").alias("up")).unionByName(below)
+
+    all_ties = reduce(followed, reversed(aside[:-1]), aside[-1])
+    return all_ties.select(F.col("node").alias("u"), F.col("up").alias("v")).mapInPandas(_turn(_BACK, back=True), "u long, v long")
+
+
+def group_ids(links: DataFrame, a: str, b: str, **bounds) -> DataFrame:
     """``(doc_id, group_id)``: every key of a link, and the smallest key of its group in string order.
 
     A link with a null end is no link.  A key tied only to itself is its own group.  Repeated
@@ -112,13 +163,13 @@ def group_ids(links: DataFrame, a: str, b: str, **bounds: int) -> DataFrame:
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
     codes = stored(encode_keys(links.select(F.col("a").alias("key")).union(links.select("b"))), "p4-codes")
-    edges = (
+    coded = (
         links.where("a <> b")
         .join(codes.select(F.col("key").alias("a"), F.col("code").alias("u")), "a")
         .join(codes.select(F.col("key").alias("b"), F.col("code").alias("v")), "b")
         .select("u", "v")
     )
-    ties = components(edges, **bounds)
-    named = codes.join(ties, F.col("code") == F.col("u"), "left").select("key", F.coalesce("v", "code").alias("root"))
+    ties = components(coded, **bounds)
+    named = stored(codes.join(ties, F.col("code") == F.col("u"), "left").select("key", F.coalesce("v", "code").alias("root")), "p4-roots")
     smallest = named.groupBy("root").agg(F.min("key").alias("group_id"))
     return named.join(smallest, "root").select(F.col("key").alias("doc_id"), "group_id")

@@ -104,7 +104,7 @@ def test_single_terms_are_counted_by_the_stack(spark):
 
 # 4
 
-@pytest.mark.parametrize("bounds", [{}, {"max_edges": 40, "fan_in": 2}, {"max_edges": 3, "fan_in": 2}])
+@pytest.mark.parametrize("bounds", [{}, {"max_links": 60}, {"max_links": 12}])
 def test_groups(spark, bounds):
     rng = random.Random(5)
     links = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(90)]
@@ -126,6 +126,21 @@ def test_groups(spark, bounds):
     assert got == {x: find(x) for x in parent}
 
 
+def test_merging_in_levels(spark):
+    """Chains in key order, disjoint pairs and a hub: several levels of bounded merges, nothing put into one task before it fits."""
+    chains = [(100_000 + 50 * c + i, 100_000 + 50 * c + i + 1) for c in range(60) for i in range(49)]
+    pairs = [(10 * i, 10 * i + 1) for i in range(3000)]
+    hub = [(7, 1_000_000 + i) for i in range(2500)]
+    links = chains + pairs + hub
+    levels: list[int] = []
+    got = dict(rows(components.components(spark.createDataFrame(links, "u long, v long").repartition(6), max_links=1000, levels=levels)))
+    assert len(levels) >= 3 and levels[-1] == 1 and sorted(levels, reverse=True) == levels
+    root = lambda x: got.get(x, x)
+    assert all(root(a) == root(b) for a, b in links) and all(root(root(x)) == root(x) for x in got)
+    assert len({root(x) for link in links for x in link}) == 60 + 3000 + 1
+    assert len(got) == 60 * 49 + 3000 + 2500
+
+
 def test_groups_of_nothing(spark):
     assert components.group_ids(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
