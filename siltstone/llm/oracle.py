@@ -46,6 +46,9 @@ SQL: dict[str, str] = {
         u AS (SELECT v.*, CAST(vector AS DOUBLE[]) AS x FROM v JOIN d ON v.model_key = d.model_key AND len(vector) = d.d),
         s AS (SELECT a.model_key, a.id AS a, b.id AS b, list_cosine_similarity(a.x, b.x) AS score FROM u a JOIN u b ON a.model_key = b.model_key AND a.id <> b.id)
         SELECT DISTINCT model_key, least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT *, row_number() OVER (PARTITION BY model_key, a ORDER BY score DESC, b) AS rn FROM s) WHERE rn <= 10 AND score >= 0.9""",
+    "p6_embeddings": """WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        s AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_cosine_similarity(a.x, b.x) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+        SELECT id, neighbour, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) AS rank FROM s) WHERE rank <= 10""",
     "p7_found": f"""WITH t AS (SELECT DISTINCT id, list_sort(list_distinct(terms)) AS terms FROM (SELECT {_key('id')} AS id, {_LIST} AS terms FROM oracle_documents UNION ALL
             SELECT {_key('id')}, list_filter(list_transform(concepts, lambda x: lower({_TRIM.format(c='x')})), lambda x: x IS NOT NULL AND x <> '') FROM api_docs) WHERE id IS NOT NULL AND len(list_distinct(terms)) >= 5),
         e AS (SELECT id, terms, unnest(terms) AS term FROM t),

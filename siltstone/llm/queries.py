@@ -87,7 +87,7 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 # 6: most similar vectors
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return knn.usable_vectors(_table(spark, folder, "vector_documents"), F.col("model_key"), norm_key(F.col("id")), F.col("vector"))
+    return knn.usable_vectors(_table(spark, folder, "vector_documents"), F.col("model_key"), norm_key(F.col("id")), F.col("vector"), distinct=False)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,9 +99,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest of all embeddings for every embedding whose id is divisible by 20."""
     table = _table(spark, folder, "embeddings")
-    vectors = knn.usable_vectors(table, F.lit("embeddings"), F.col("vec_id"), F.col("embedding"))
+    vectors = knn.usable_vectors(table, F.lit("embeddings"), F.col("vec_id"), F.col("embedding"), distinct=False)
     asked = table.where(F.col("vec_id") % 20 == 0).select(F.lit("embeddings").alias("model"), F.col("vec_id").alias("id"))
-    return knn.most_similar(vectors, asked, k=10, probes=48, recall=0.97).select("id", "neighbour", F.round("score", 6).alias("score"), "rank")
+    return knn.most_similar(vectors, asked, k=10, recall=1.0).select("id", "neighbour", F.round("score", 6).alias("score"), "rank")
 
 
 # 7: all similar pairs of sets

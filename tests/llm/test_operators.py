@@ -220,6 +220,22 @@ def test_probes_grow_to_the_recall_asked_for(spark):
     assert len(true) > 500 and len(true & found["fixed"]) < 0.9 * len(true) and len(true & found["measured"]) >= 0.985 * len(true)
 
 
+def test_few_vectors_with_very_many_copies(spark):
+    """Five distinct vectors in 400,000 rows: cells are fitted on distinct vectors, and copies rank by id."""
+    base = np.random.default_rng(3).standard_normal((5, 16)).round(3)
+    table = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(base)], "j int, vector array<double>")
+    df = spark.range(400_000).withColumn("j", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5).cast("int")).join(F.broadcast(table), "j").select(F.lit("m").alias("model"), "id", "vector")
+    usable = knn.usable_vectors(df, F.col("model"), F.col("id"), F.col("vector"), distinct=False)
+    asked = spark.createDataFrame([("m", 0), ("m", 1), ("m", 6)], "model string, id long")
+    got = defaultdict(list)
+    for r in knn.most_similar(usable, asked, k=10).collect():
+        got[r["id"]].append((r["rank"], r["neighbour"], round(r["score"], 9)))
+    home = lambda i: 0 if i % 3 == 0 else i % 5
+    for i in (0, 1, 6):
+        same = [j for j in range(200) if home(j) == home(i) and j != i][:10]
+        assert sorted(got[i]) == [(n + 1, j, 1.0) for n, j in enumerate(same)]
+
+
 def test_most_similar_of_nothing(spark):
     df = spark.createDataFrame([], "model string, id string, vector array<float>")
     assert knn.most_similar(knn.usable_vectors(df, F.col("model"), F.col("id"), F.col("vector"))).count() == 0
