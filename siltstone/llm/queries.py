@@ -49,8 +49,8 @@ def _counts(spark: SparkSession, folder: str, most: int) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Concepts too rare or too common to help a search."""
-    return _counts(spark, folder, 1).where("mark is not null").select(F.col("gram")[0].alias("term"), "mark")
+    """Concepts too rare or too common to help a search: the runs of one term among those of up to two."""
+    return _counts(spark, folder, 2).where("n = 1 and mark is not null").select(F.col("gram")[0].alias("term"), "mark")
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Every position of a record's term list gives one suffix, truncated to ``max_terms``.  With it go
 numbers instead of record sets: how often it occurs, and for each of its prefixes whether this is
-the record's first occurrence of that prefix.  These add up, so equal suffixes are combined before
-the shuffle (single terms only so, inside each partition) and a term that a third of all records have costs one row a partition.  Suffixes are
+the record's first occurrence of that prefix.  These add up, so equal suffixes are combined inside each partition
+before anything moves, and a suffix that a third of all records have costs one row a partition.  Suffixes are
 routed by their first term (the suffixes of a hot first term by the second too), sorted in reverse
 lexicographic order, and one pass with a stack gives all prefix counts of a route; a last small
 sum puts the parts of split routes together.
@@ -17,51 +17,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import stored
 
-def _suffixes(max_terms: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for terms in pdf["terms"]:
-                terms, seen = list(terms), set()
-                for i in range(len(terms)):
-                    suffix = tuple(terms[i : i + max_terms])
-                    first = []
-                    for n in range(1, len(suffix) + 1):
-                        gram = suffix[:n]
-                        first.append(gram not in seen)
-                        seen.add(gram)
-                    out.append((suffix, 1, first))
-            yield pd.DataFrame(
-                {
-                    "suffix": [s for s, _, _ in out],
-                    "occurrences": [c for _, c, _ in out],
-                    **{f"first_{n + 1}": [int(f[n]) if n < len(f) else 0 for _, _, f in out] for n in range(max_terms)},
-                }
-            )
 
-    return run
-
-
-def _combined(most: int = 200_000):
-    """Adds up equal single terms inside a partition; up to ``most`` are held at once."""
+def _suffixes(max_terms: int, most: int = 200_000):
+    """All truncated suffixes of a partition's lists, equal ones added up; up to ``most`` distinct ones are held at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[int]] = {}
+        held: dict[tuple, list[int]] = {}
 
         def taken() -> pd.DataFrame:
-            frame = pd.DataFrame({"suffix": [[t] for t in held], "occurrences": [n for n, _ in held.values()], "first_1": [f for _, f in held.values()]})
+            frame = pd.DataFrame({"suffix": [list(s) for s in held], "occurrences": [n[0] for n in held.values()], **{f"first_{d}": [n[d] for n in held.values()] for d in range(1, max_terms + 1)}})
             held.clear()
             return frame
 
         for pdf in batches:
-            sums = pdf.groupby("term", sort=False)["first_1"].agg(["size", "sum"])
-            for term, n, first in zip(sums.index, sums["size"].tolist(), sums["sum"].tolist(), strict=True):
-                own = held.setdefault(term, [0, 0])
-                own[0] += n
-                own[1] += first
-            if len(held) > most:
-                yield taken()
+            for terms in pdf["terms"]:
+                terms, seen = tuple(terms), set()
+                for i in range(len(terms)):
+                    suffix = terms[i : i + max_terms]
+                    own = held.get(suffix)
+                    if own is None:
+                        own = held[suffix] = [0] * (max_terms + 1)
+                    own[0] += 1
+                    for n in range(1, len(suffix) + 1):
+                        gram = suffix[:n]
+                        if gram not in seen:
+                            seen.add(gram)
+                            own[n] += 1
+                if len(held) > most:
+                    yield taken()
         if held:
             yield taken()
 
@@ -115,30 +100,19 @@ def ngram_counts(records: DataFrame, terms_col: str, *, max_terms: int = 1, hot_
     ``records`` has one row a record with an array of strings.  ``occurrences`` counts every
     place, ``records`` the records holding the run at least once.  Null arrays and null entries
     hold nothing, other columns are ignored, empty input gives no rows.  A first term with more
-    than ``hot_share`` of all distinct suffixes is split over routes by its second term; each
-    route holds distinct suffixes only.
+    than ``hot_share`` of all combined suffixes is split over routes by its second term.
     """
     firsts = [f"first_{n + 1}" for n in range(max_terms)]
     schema = "suffix array<string>, occurrences long, " + ", ".join(f"{c} long" for c in firsts)
     lists = records.select(F.filter(terms_col, lambda t: t.isNotNull()).alias("terms")).where(F.size("terms") > 0)
-    if max_terms == 1:  # the suffix is the term itself; equal ones are only combined inside a partition, the stack counts them
-        each = lists.select(F.posexplode("terms").alias("at", "term"), "terms")
-        firsts_only = each.select("term", (F.array_position("terms", F.col("term")) == F.col("at") + 1).cast("long").alias("first_1"))
-        combined = firsts_only.mapInPandas(_combined(), schema)
-    else:
-        counted = lists.mapInPandas(_suffixes(max_terms), schema)
-        combined = counted.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in ("occurrences", *firsts)))
+    combined = stored(lists.mapInPandas(_suffixes(max_terms), schema), "p2-suffixes")
     head, second = F.col("suffix")[0], F.try_element_at("suffix", F.lit(2))
-    if max_terms == 1:
-        routed = combined.repartition(F.xxhash64(head))
-    else:
-        # terms heading very many distinct suffixes; at most 1 / hot_share of them
-        heads = combined.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
-        total = heads.agg(F.sum("n").alias("total"))
-        hot = heads.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("total") * hot_share).select("head", F.lit(True).alias("hot"))
-        routed = combined.join(F.broadcast(hot), head == F.col("head"), "left")
-        routed = routed.repartition(F.xxhash64(head, F.when(F.col("hot"), F.coalesce(second, F.lit("")))))
-    routed = routed.select("suffix", "occurrences", *firsts)
+    # terms heading very many suffixes; at most 1 / hot_share of them
+    heads = combined.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
+    total = heads.agg(F.sum("n").alias("total"))
+    hot = heads.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("total") * hot_share).select("head", F.lit(True).alias("hot"))
+    routed = combined.join(F.broadcast(hot), head == F.col("head"), "left")
+    routed = routed.repartition(F.xxhash64(head, F.when(F.col("hot"), F.coalesce(second, F.lit(""))))).select("suffix", "occurrences", *firsts)
     parts = routed.sortWithinPartitions(F.col("suffix").desc()).mapInPandas(_stacked(max_terms), "gram array<string>, occurrences long, records long")
     return (
         parts.groupBy("gram")

@@ -92,14 +92,15 @@ def test_marks_and_empty(spark):
     assert terms.ngram_counts(df.limit(0), "terms", max_terms=2).count() == 0
 
 
-def test_single_terms_are_counted_by_the_stack(spark):
+def test_suffixes_are_counted_by_the_stack(spark):
     df = spark.createDataFrame([(["a", "b", "a"],), (["b"],), (["a"],)] * 50, "terms array<string>").repartition(3)
-    counts = terms.ngram_counts(df, "terms")
+    counts = terms.ngram_counts(df, "terms", max_terms=2)
     plan = counts._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("MapInPandas") == 2 and plan.count("posexplode") == 1 and "sum(first_1" not in plan
-    assert {(g[0], o, r) for g, _, o, r in counts.collect()} == {("a", 150, 100), ("b", 100, 100)}
-    batches = [pd.DataFrame({"term": list(t), "first_1": 1}) for t in ("bab", "a")]
-    assert [sorted((s[0], n) for s, n in zip(f["suffix"], f["occurrences"], strict=True)) for f in terms._combined(1)(iter(batches))] == [[("a", 1), ("b", 2)], [("a", 1)]]
+    assert plan.count("MapInPandas") == 1 and "keys=[suffix" not in plan  # no aggregation of suffixes beside the stack
+    assert {("|".join(g), o, r) for g, _, o, r in counts.collect()} == {("a", 150, 100), ("b", 100, 100), ("a|b", 50, 50), ("b|a", 50, 50)}
+    batches = [pd.DataFrame({"terms": [list(t)]}) for t in ("bab", "a")]
+    held = [{("".join(s), n, f1, f2) for s, n, f1, f2 in f.itertuples(index=False)} for f in terms._suffixes(2, 2)(iter(batches))]
+    assert held == [{("ba", 1, 1, 1), ("ab", 1, 1, 1), ("b", 1, 0, 0)}, {("a", 1, 1, 0)}]
 
 
 # 4
