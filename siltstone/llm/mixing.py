@@ -29,13 +29,17 @@ BITS = 10
 
 
 def token_counts(df: DataFrame, text: str, into: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds ``into``: the tokens of ``text`` under a public byte-level BPE; null text has none."""
+    """Adds ``into``: the tokens of ``text`` under a public byte-level BPE; null text has none.
+
+    The vocabulary file is read here and sent to the executors (about a megabyte), which need no file of their own.
+    """
+    with open(vocabulary, "rb") as file:
+        shipped = df.sparkSession.sparkContext.broadcast(file.read())
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(vocabulary, "rb") as file:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, shipped.value.splitlines())}
         encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in batch], dtype="int64")
@@ -55,8 +59,8 @@ class Part:
     source: str
     target: float
     most: int
+    budget: float = 0.0
     available: int = 0
-    budget: int = 0
     whole: int = 0
     below: int = 0
     short: bool = False
@@ -67,26 +71,51 @@ def _bucket(place: Column, used: int) -> Column:
     return F.shiftright(place, 62 - used - BITS).bitwiseAND((1 << BITS) - 1)
 
 
-def _thresholds(sized: DataFrame, parts: list[Part]) -> None:
-    """Fills in ``below``: the places under it hold as many tokens as the rest of the budget allows."""
-    left = {p.source: p.budget - p.whole * p.available for p in parts if not p.short}
-    prefix = {s: 0 for s, n in left.items() if n > 0}
-    below = {s: 0 for s in left}
+def _histogram(sized: DataFrame, used: int, boundary: dict[str, int] | None, wanted: list[str]) -> dict[str | None, list[tuple[int, int, int]]]:
+    """Tokens and records by source and bucket, in order; under None what no wanted source has.
+
+    With ``boundary`` only records whose first ``used`` bits are those of their source's boundary bucket.  At most
+    ``2**BITS`` rows for each wanted source, and as many for the rest, come to the driver.
+    """
+    names = [(s, 0) for s in wanted] if boundary is None else list(boundary.items())
+    known = sized.sparkSession.createDataFrame(names, "source string, prefix long")
+    if boundary is None:
+        rows = sized.join(F.broadcast(known.withColumnRenamed("source", "known")), F.col("source") == F.col("known"), "left").withColumn("source", F.col("known"))
+    else:
+        rows = sized.join(F.broadcast(known), "source").where(F.shiftright("place", 62 - used) == F.col("prefix"))
+    sums = rows.groupBy("source", _bucket(F.col("place"), used).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    out: dict[str | None, list[tuple[int, int, int]]] = {}
+    for row in sums.collect():
+        out.setdefault(row["source"], []).append((row["bucket"], row["tokens"], row["n"]))
+    return {s: sorted(buckets) for s, buckets in out.items()}
+
+
+def _thresholds(sized: DataFrame, parts: list[Part]) -> int:
+    """Fills in each part's passes and threshold, and gives the size of all records.
+
+    A budget is spent on passes over the source's buckets.  Whole passes are at most ``most``; what is left ends in a bucket of the
+    next pass, unless there may be none: then the source is short.  The places under ``below`` hold as many tokens as the rest allows.
+    """
+    wanted = [p.source for p in parts]
+    first = _histogram(sized, 0, None, wanted)
+    total = sum(tokens for buckets in first.values() for _, tokens, _ in buckets)
+    left: dict[str, float] = {}
+    for p in parts:
+        p.available = sum(tokens for _, tokens, _ in first.get(p.source, []))
+        p.budget = p.target * total
+        p.whole = min(p.most, int(p.budget // p.available)) if p.available else p.most
+        rest = p.budget - p.whole * p.available
+        p.short = p.whole == p.most and (rest > 0 or (total == 0 and p.target > 0))
+        if p.whole < p.most:
+            left[p.source] = rest
+    below = dict.fromkeys(left, 0)
+    prefix = dict.fromkeys(left, 0)
     for used in range(0, 60, BITS):
-        if not prefix:
-            break
-        here = F.lit(False)
-        for s, p in prefix.items():
-            lies = F.shiftright("place", 62 - used) == p if used else F.lit(True)
-            here = here | ((F.col("source") == s) & lies)
-        sums = sized.where(here).groupBy("source", _bucket(F.col("place"), used).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-        histogram: dict[str, list] = {}
-        for row in sums.collect():  # at most 2**BITS rows for each wanted source
-            histogram.setdefault(row["source"], []).append((row["bucket"], row["tokens"], row["n"]))
+        histogram = first if used == 0 else _histogram(sized, used, prefix, wanted)
         following = {}
         for s in prefix:
             threshold = (prefix[s] + 1) << (62 - used)  # all of it fits
-            for bucket, tokens, n in sorted(histogram.get(s, [])):
+            for bucket, tokens, n in histogram.get(s, []):
                 if tokens > left[s]:
                     inner = (prefix[s] << BITS) | bucket
                     threshold = inner << (62 - used - BITS)
@@ -96,8 +125,11 @@ def _thresholds(sized: DataFrame, parts: list[Part]) -> None:
                 left[s] -= tokens
             below[s] = threshold
         prefix = following
+        if not prefix:
+            break
     for p in parts:
         p.below = below.get(p.source, 0)
+    return total
 
 
 def mix(records: DataFrame, id_col: str, text: str, source: str, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +141,7 @@ def mix(records: DataFrame, id_col: str, text: str, source: str, targets: DataFr
     below its threshold; if even max_repeats copies of all of it are too few it is used that
     often and marked ``short``.  Repeated rows are records of their own; null sources and
     sources that no target names give only size; null texts have no tokens; other columns
-    are ignored.  A repeated target row counts once; without records every share is zero and
+    are ignored.  Of several targets of one source the one with the largest share counts; without records every share is zero and
     every target above zero is short.
     """
     spark = records.sparkSession
@@ -118,18 +150,12 @@ def mix(records: DataFrame, id_col: str, text: str, source: str, targets: DataFr
         counted.select("doc_id", "source", "tokens", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 2).alias("place")),
         "p9-sizes",
     )
-    available = {r["source"]: r["tokens"] for r in sized.join(F.broadcast(targets.select(norm_key(F.col("source")).alias("source")).distinct()), "source").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    total = sized.agg(F.sum("tokens")).first()[0] or 0
-    parts = []
-    for row in targets.select(norm_key(F.col("source")).alias("source"), "target_share", "max_repeats").distinct().where("source is not null").collect():
-        part = Part(row["source"], row["target_share"] or 0.0, max(0, row["max_repeats"] or 0), available.get(row["source"], 0))
-        part.budget = int(part.target * total)
-        part.short = part.available * part.most < part.target * total or (total == 0 and part.target > 0)
-        part.whole = part.most if part.short or not part.available else min(part.most, part.budget // part.available)
-        parts.append(part)
-    _thresholds(sized, parts)
-    schema = "source string, target_share double, max_repeats int, available long, budget long, whole int, below long, short boolean"
-    plan = spark.createDataFrame([(p.source, p.target, p.most, p.available, p.budget, p.whole, p.below, p.short) for p in parts], schema)
+    named = targets.select(norm_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
+    named = named.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.target_share", "t.max_repeats")
+    parts = [Part(row["source"], row["target_share"] or 0.0, max(0, row["max_repeats"] or 0)) for row in named.collect()]
+    total = _thresholds(sized, parts)
+    schema = "source string, target_share double, max_repeats int, available long, whole int, below long, short boolean"
+    plan = spark.createDataFrame([(p.source, p.target, p.most, p.available, p.whole, p.below, p.short) for p in parts], schema)
     mixture = (
         sized.join(F.broadcast(plan.select("source", "whole", "below", "max_repeats")), "source")
         .withColumn("repeats", F.least(F.col("max_repeats"), F.col("whole") + (F.col("place") < F.col("below")).cast("int")))

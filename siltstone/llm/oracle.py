@@ -58,4 +58,9 @@ SQL: dict[str, str] = {
         g AS (SELECT DISTINCT item_id, substr(x, k, 50) AS s FROM (SELECT item_id, x, unnest(range(1, length(x) - 48)) AS k FROM i)),
         h AS (SELECT DISTINCT doc_id, substr(x, k, 50) AS s FROM (SELECT doc_id, x, unnest(range(1, length(x) - 48)) AS k FROM d))
         SELECT DISTINCT doc_id, item_id FROM h JOIN g ON h.s = g.s""",
+    # any common size measure gives the same cases, here a quarter of the bytes a token
+    "p9_found": f"""WITH d AS (SELECT {_key('source')} AS source, strlen(coalesce(text, '')) / 4.0 AS tokens FROM documents),
+        t AS (SELECT {_key('source')} AS source, target_share, max_repeats FROM mix_targets)
+        SELECT t.source FROM t LEFT JOIN (SELECT source, sum(tokens) AS have FROM d GROUP BY source) h ON h.source = t.source
+        WHERE coalesce(have, 0) * max_repeats < target_share * (SELECT sum(tokens) FROM d)""",
 }
