@@ -45,35 +45,59 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def boundary_of(text: str, limit: int) -> str:
-    """The coarsest level at which every unit of the text is within the limit."""
-    if all(e - s <= limit for s, e in _blocks(text)):
-        return "paragraph"
-    if all(len(line) <= limit for line in text.split("\n")):
-        return "line"
-    return "word" if all(m.end() - m.start() <= limit for m in _RUN.finditer(text)) else "hard"
+def _stretch(low: int, high: int, limit: int) -> list[int]:
+    """Places inside a stretch without any boundary, close enough for pieces of ``limit``."""
+    return list(range(low + max(1, limit // 2), high, max(1, limit // 2)))
 
 
-def cuts_of(text: str, limit: int) -> list[tuple[int, int]]:
-    """Allowed cut positions with their level: before a unit, finer only inside units that are too long."""
+def cuts_of(text: str, limit: int) -> list[tuple[int, int, bool]]:
+    """Allowed cut positions with their level, and whether the cut lies inside a blank line over the limit.
+
+    Before a unit, finer only inside units that are too long; after a unit only where the next one's start would be out of reach.
+    """
+    cuts: list[tuple[int, int, bool]] = []
+    blocks = _blocks(text)
+    for (start, end), (following, _) in zip(blocks, [*blocks[1:], (len(text), 0)], strict=False):
+        cuts.append((start, 0, False))
+        if end - start > limit:
+            at = start
+            for line in text[start:end].split("\n"):
+                if at > start:
+                    cuts.append((at, 1, False))
+                if len(line) == limit:
+                    cuts.append((at + len(line), 1, False))
+                elif len(line) > limit:
+                    cuts.extend((at + p, level, False) for p, level in _line_cuts(line, limit))
+                at += len(line) + 1
+        if following - start > limit:
+            cuts.append((end, 0, False))
+    for low, high in zip([0, *(e for _, e in blocks)], [*(s for s, _ in blocks), len(text)], strict=True):
+        if high - low > limit:  # blank lines between two blocks, or at an end of the text
+            at = low
+            for line in text[low:high].split("\n"):
+                cuts.append((at, 0, False))
+                cuts.extend((p, 0, True) for p in _stretch(at, at + len(line), limit) if len(line) > limit)
+                cuts.append((at + len(line), 0, False))
+                at += len(line) + 1
+    return sorted(set(cuts))
+
+
+def _line_cuts(line: str, limit: int) -> list[tuple[int, int]]:
+    """Cuts inside a line over the limit: at its words, and inside runs without white space that are over the limit."""
     cuts: list[tuple[int, int]] = []
-    for start, end in _blocks(text):
-        cuts.append((start, 0))
-        if end - start <= limit:
-            continue
-        at = start
-        for line in text[start:end].split("\n"):
-            if at > start:
-                cuts.append((at, 1))
-            if len(line) > limit:
-                breaks = breaks_of(line, max(1, limit // 10))
-                for m in _RUN.finditer(line):
-                    if m.start():
-                        cuts.append((at + m.start(), 2))
-                    if m.end() - m.start() > limit:
-                        inner = {*range(m.start() + limit // 2, m.end(), limit // 2), *(p for p in breaks if m.start() < p < m.end())}
-                        cuts.extend((at + p, 3) for p in sorted(inner))
-            at += len(line) + 1
+    breaks = breaks_of(line, max(1, limit // 10))
+    runs = [m.span() for m in _RUN.finditer(line)]
+    for (start, end), (following, _) in zip(runs, [*runs[1:], (len(line) + 1, 0)], strict=False):
+        if start:
+            cuts.append((start, 2))
+        if end - start > limit:
+            inner = {*_stretch(start, end, limit), *(p for p in breaks if start < p < end)}
+            cuts.extend((p, 3) for p in sorted(inner))
+        if following - start > limit:
+            cuts.append((end, 2))
+    for low, high in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(line) + 1], strict=True):
+        if high - low > limit:
+            cuts.extend((p, 2) for p in _stretch(low, min(high, len(line)), limit))
     return cuts
 
 
@@ -92,14 +116,14 @@ def breaks_of(line: str, block: int) -> list[int]:
     return out
 
 
-def candidates_of(text: str, cuts: list[tuple[int, int]], limit: int) -> list[int]:
+def candidates_of(text: str, cuts: list[tuple[int, int, bool]], limit: int) -> list[int]:
     """The cut positions whose valleys are computed: every block and line, and the breaks inside lines that are too long."""
     fine, at = set(), 0
     for line in text.split("\n"):
         if len(line) > limit:
             fine.update(at + p for p in breaks_of(line, max(1, limit // 10)))
         at += len(line) + 1
-    return [p for p, level in cuts if level < 2 or p in fine]
+    return sorted({p for p, level, blank in cuts if (level < 2 or p in fine) and not blank})
 
 
 def _bag(text: str) -> Counter:
@@ -148,14 +172,14 @@ def valley_depths(text: str, positions: list[int], window: int) -> np.ndarray:
     return depth
 
 
-def split_text(text: str, limit: int, overlap: int, window: int = 400) -> list[tuple[int, int, int, str]]:
-    """Pieces as (start, end, start of what is new, level of the cut that ends it)."""
+def _pieces(text: str, limit: int, overlap: int, window: int) -> list[tuple[int, int, int, int, bool]]:
+    """Pieces as (start, end, start of what is new, level of the cut that ends it or -1, whether that cut is inside a blank line)."""
     if len(text) <= limit:
-        return [(0, len(text), 0, "end")]
-    cuts = [(p, level) for p, level in cuts_of(text, limit) if 0 < p < len(text)]
+        return [(0, len(text), 0, -1, False)]
+    cuts = [c for c in cuts_of(text, limit) if 0 < c[0] < len(text)]
     compared = candidates_of(text, cuts, limit)
     depth = dict(zip(compared, valley_depths(text, compared, window), strict=True))
-    places = np.array([p for p, _ in cuts] or [0])
+    places = np.array([c[0] for c in cuts] or [0])
     pieces, start = [], 0
     while True:
         # a piece repeats up to `overlap` characters of the one before, from a word's start if there is one
@@ -166,32 +190,43 @@ def split_text(text: str, limit: int, overlap: int, window: int = 400) -> list[t
             begin = low + found.start() if found else (low if not re.search(r"\s", text[low:start]) else start)
         if len(text) - begin <= limit or len(text) - start <= limit:
             begin = max(begin, len(text) - limit)
-            pieces.append((begin, len(text), start, "end"))
+            pieces.append((begin, len(text), start, -1, False))
             return pieces
         far = start + limit
-        reach = [cuts[i] for i in range(np.searchsorted(places, start, "right"), np.searchsorted(places, far, "right"))]
-        end = None
-        for level in range(4):
-            near = [p for p, own in reach if own <= level]
-            late = [p for p in near if p >= start + limit // 2] or near
-            if late:
-                end = max(late, key=lambda p: (round(depth.get(p, 0.0), 9), p))
-                break
-        if end is None:
-            end, level = far, 3
+        reach = cuts[np.searchsorted(places, start, "right") : np.searchsorted(places, far, "right")]
+        level = min(own for _, own, _ in reach)  # cuts are close enough for one to be always in reach
+        near = [(p, blank) for p, own, blank in reach if own == level]
+        late = [c for c in near if c[0] >= start + limit // 2] or near
+        end, blank = max(late, key=lambda c: (round(depth.get(c[0], 0.0), 9), c[0]))
         begin = max(begin, end - limit)
-        pieces.append((begin, end, start, LEVELS[level]))
+        pieces.append((begin, end, start, level, blank))
         start = end
 
 
-def chunks(records: DataFrame, id_cols: list[str], text: str, *, limit: int = 2000, overlap: int = 200) -> DataFrame:
+def split_text(text: str, limit: int, overlap: int, window: int = 400) -> list[tuple[int, int, int, str]]:
+    """Pieces as (start, end, start of what is new, level of the cut that ends it)."""
+    return [(begin, end, new, LEVELS[level] if level >= 0 else "end") for begin, end, new, level, _ in _pieces(text, limit, overlap, window)]
+
+
+def _coarsest(pieces: list[tuple[int, int, int, int, bool]]) -> str:
+    """The coarsest level that was enough for every cut; a blank line over the limit is one only where no block had to be cut."""
+    finest = max(0, *(level for *_, level, _ in pieces))
+    return LEVELS[max(finest, 2) if finest and any(blank for *_, blank in pieces) else finest]
+
+
+def boundary_of(text: str, limit: int, overlap: int = 0, window: int = 400) -> str:
+    """The coarsest level at which every unit of the text is within the limit, read off the cuts of its pieces."""
+    return _coarsest(_pieces(text, limit, overlap, window))
+
+
+def chunks(records: DataFrame, id_cols: list[str], text: str, *, limit: int = 2000, overlap: int = 200, window: int = 400) -> DataFrame:
     """``(*id_cols, piece_no, start, new_from, end, cut, boundary, piece)`` of every text over ``limit``.
 
     A text is oversized if it has more than ``limit`` code points, CR counted; CRLF is then
     read as LF, and ``start``, ``new_from`` and ``end`` are places in that text: from
     ``new_from`` on a piece is new, before it overlap.  New parts joined in order give the text
-    back.  ``cut`` is the kind of boundary that ends the piece, ``boundary`` the coarsest level at
-    which all the text's units are within the limit.  Nulls, empty and short texts give no pieces;
+    back.  ``cut`` is the kind of boundary that ends the piece, ``boundary`` the coarsest level that was
+    enough for all the text's cuts.  Nulls, empty and short texts give no pieces;
     repeated rows (of ids and text) count once; other columns are ignored.
     """
     kept = records.select(*id_cols, F.col(text).alias("__text")).where(F.length("__text") > limit).dropDuplicates([*id_cols, "__text"])
@@ -204,9 +239,10 @@ def chunks(records: DataFrame, id_cols: list[str], text: str, *, limit: int = 20
                 part = pdf.iloc[lo : lo + 200]
                 for *ids, raw in part[[*id_cols, "__text"]].itertuples(index=False, name=None):
                     body = raw.replace("\r\n", "\n")
-                    boundary = boundary_of(body, limit)
-                    for n, (begin, end, new, level) in enumerate(split_text(body, limit, overlap)):
-                        rows.append((*ids, n, begin, new, end, level, boundary, body[begin:end]))
+                    pieces = _pieces(body, limit, overlap, window)
+                    boundary = _coarsest(pieces)
+                    for n, (begin, end, new, level, _) in enumerate(pieces):
+                        rows.append((*ids, n, begin, new, end, LEVELS[level] if level >= 0 else "end", boundary, body[begin:end]))
                 yield pd.DataFrame(rows, columns=[*id_cols, "piece_no", "start", "new_from", "end", "cut", "boundary", "piece"])
 
     return kept.mapInPandas(cut, f"{fields}, piece_no int, start int, new_from int, end int, cut string, boundary string, piece string")

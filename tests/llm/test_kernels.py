@@ -91,6 +91,37 @@ def test_pieces_cover_the_text_within_limits(parts):
     assert all(e > new for _, e, new, _ in pieces) or not body
 
 
+def stated_boundary(text, limit):
+    """The definition, without looking at any cut."""
+    blocks, run = [], []
+    for line in [*text.split("\n"), ""]:
+        if line.strip(" \t"):
+            run.append(line)
+        elif run:
+            blocks.append("\n".join(run))
+            run = []
+    if all(len(b) <= limit for b in blocks):
+        return "paragraph"
+    if all(len(line) <= limit for line in text.split("\n")):
+        return "line"
+    return "word" if all(len(w) <= limit for w in text.split()) else "hard"
+
+
+long_units = st.lists(
+    st.one_of(units, st.sampled_from([["a" * 40], ["a" * 39 + " "], [" " * 90], ["\t" * 41], ["\n" * 50], ["b" * 41], ["a " * 20], ["\n" + "c" * 40 + "\n"], ["d" * 40 + " " * 41]])), max_size=8
+).map(lambda parts: [p for part in parts for p in part])
+
+
+@given(long_units)
+@settings(max_examples=600, deadline=None)
+def test_the_pieces_cuts_give_the_boundary(parts):
+    body, limit = "".join(parts), 40
+    pieces = chunking.split_text(body, limit, 10)
+    assert all(e - b <= limit for b, e, *_ in pieces) and "".join(body[new:e] for _, e, new, _ in pieces) == body
+    if len(body) > limit:
+        assert chunking.boundary_of(body, limit, 10) == stated_boundary(body, limit)
+
+
 def test_cuts_keep_to_natural_boundaries():
     paragraph = ("the cat sat on the mat and the cat slept " * 8).strip()
     other = ("stocks fell while bonds rose in early trade " * 8).strip()
