@@ -2,12 +2,13 @@
 
 Both sides are lower-cased and reduced to letters and digits.  Of every ``span - k + 1``
 neighbouring k-gram hashes the smallest is a fingerprint, so any shared run of ``span``
-characters has a fingerprint in common.  A common fingerprint is extended to both sides as far
-as the texts agree; runs of ``span`` and more are reported.
+characters has a fingerprint in common.  The fingerprints of both sides are joined; for every pair of texts that
+have one in common the longest run they share is found exactly, and runs of ``span`` and more are reported.
 
-At scale the corpus is read once and never shuffled while the evaluation side fits
-``broadcast_bytes``: its fingerprints and texts then go to every executor.  A larger evaluation
-side is split into blocks of that size, each held against the corpus in a pass of its own.
+At scale the corpus is read once, whatever the size of the evaluation side, and what moves of it is decided by a
+Bloom filter of the evaluation side's fingerprints: its size is bounded by ``filter_bits``, it only thins
+the join out and never decides a result.  Texts without a fingerprint in the filter go no further.  A fingerprint that very many documents
+hold is a skewed key of a plain join, which adaptive execution splits; repeats inside a text count once.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.textprep import code_points, slices, window_hashes
-from siltstone.storage import spread
+from siltstone.storage import spread, stored
 
 _kept: list[np.ndarray] = []
 
@@ -61,103 +63,126 @@ def winnow(hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return low[change], change, np.append(change[1:], len(low)) + w - 2
 
 
-def _places(hashes: np.ndarray, value: np.uint64, first: int, last: int) -> np.ndarray:
-    return first + np.flatnonzero(hashes[first : last + 1] == value)
-
-
-def _agreement(a: np.ndarray, i: int, b: np.ndarray, j: int, most: int) -> int:
-    """Length of the run of equal characters through a[i] and b[j], at most ``most`` to each side."""
-    n = min(len(a) - i, len(b) - j, most)
-    ahead = a[i : i + n] != b[j : j + n]
-    right = int(ahead.argmax()) if ahead.any() else n
-    m = min(i, j, most)
-    behind = (a[i - m : i] != b[j - m : j])[::-1]
-    left = int(behind.argmax()) if behind.any() else m
-    return left + right
-
-
-class Items:
-    """The evaluation side in numpy: fingerprints sorted by value, with item and position."""
-
-    def __init__(self, ids: list[int], texts: list[str], keep: np.ndarray, k: int, w: int):
-        self.ids = ids
-        points, lengths = reduced(texts, keep)
-        ends = np.cumsum(lengths)
-        self.texts = [points[e - n : e] for e, n in zip(ends, lengths, strict=True)]
-        values, items, places = [], [], []
-        for number, text in enumerate(self.texts):
-            hashes = window_hashes(text, k)
-            for value, first, last in zip(*winnow(hashes, w), strict=True):
-                for place in _places(hashes, value, first, last):
-                    values.append(value), items.append(number), places.append(place)
-        order = np.argsort(np.array(values, np.uint64), kind="stable")
-        self.values = np.array(values, np.uint64)[order]
-        self.items = np.array(items, np.int64)[order]
-        self.places = np.array(places, np.int64)[order]
-        self.seen = np.zeros(1 << 16, bool)  # a quick no for most values
-        self.seen[(self.values & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def matches(self, values: np.ndarray) -> np.ndarray:
-        """Which of ``values`` are fingerprints of some item."""
-        maybe = np.flatnonzero(self.seen[(values & np.uint64(0xFFFF)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.values, values[maybe]), len(self.values) - 1)
-        return maybe[self.values[place] == values[maybe]]
-
-
-def leaks(
-    corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, span: int = 50, k: int = 25, broadcast_bytes: int = 64_000_000
-) -> DataFrame:
+def _fingerprints(texts: list[str], keep: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct fingerprints of each text as (text number, value), sorted by text, and the reduced texts end to end with their lengths."""
+    points, lengths = reduced(texts, keep)
+    values, firsts, lasts = winnow(window_hashes(points, k), w)
+    starts = np.cumsum(lengths) - lengths
+    # texts lie end to end, so a window of hashes may reach over an end; the first text that its minimum may belong to and all up to the last get it
+    low, high = np.searchsorted(starts, firsts, "right") - 1, np.searchsorted(starts, lasts, "right") - 1
+    owner = np.repeat(low, high - low + 1)
+    owner = owner + np.arange(len(owner)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+    pairs = np.unique(np.stack([owner.astype(np.uint64), np.repeat(values, high - low + 1)]), axis=1) if len(values) else np.zeros((2, 0), np.uint64)
+    return pairs[0].astype(np.int64), pairs[1], points, lengths
+
+
+def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
+    """Length of the longest run that two code point arrays share, 0 if it is under ``least``."""
+
+    def shared(n: int) -> bool:
+        x, y = window_hashes(a, n), window_hashes(b, n)
+        values, at, other = np.intersect1d(x, y, return_indices=True)
+        return any((a[i : i + n] == b[j : j + n]).all() for i, j in zip(at.tolist(), other.tolist(), strict=True))
+
+    low, high = least, min(len(a), len(b))
+    if high < least or not shared(least):
+        return 0
+    step = least
+    while low < high:  # doubling strides, then halving
+        probe = min(high, low + step)
+        if shared(probe):
+            low, step = probe, step * 2
+        else:
+            high, step = probe - 1, max(1, (probe - low) // 2)
+    return low
+
+
+def _text_of(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _slots(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The four places of each value in a Bloom filter of ``bits`` bits, a power of two."""
+    step = (values >> np.uint64(32)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return [(values + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(4)]
+
+
+def _prints(df: DataFrame, k: int, w: int, words: Broadcast | None = None) -> DataFrame:
+    """``(n, key, values, body)``: texts with their fingerprints, those found in the filter if there is one; texts without any are left out.
+
+    ``n`` numbers the rows; it is stable only once the result is stored.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        keep, number = kept_points(), TaskContext.get().partitionId() << 33
+        for pdf in batches:
+            keys, texts = pdf["key"].to_numpy(), pdf["text"].tolist()
+            for lo, hi in slices(texts, 500):
+                owner, values, points, lengths = _fingerprints(texts[lo:hi], keep, k, w)
+                if words is not None and len(values):
+                    held = words.value
+                    found = np.ones(len(values), bool)
+                    for slot in _slots(values, 64 * len(held)):
+                        found &= (held[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    owner, values = owner[found], values[found]
+                if not len(owner):
+                    continue
+                turn = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                who, ends = owner[turn], np.cumsum(lengths)
+                yield pd.DataFrame(
+                    {
+                        "n": number + np.arange(len(who)), "key": keys[lo:hi][who], "values": np.split(values.view(np.int64), turn[1:]),
+                        "body": [_text_of(points[ends[t] - lengths[t] : ends[t]]) for t in who],
+                    }
+                )
+                number += len(who)
+
+    return df.mapInPandas(run, f"n long, key {df.schema['key'].dataType.simpleString()}, values array<long>, body string")
+
+
+def _filter(values: DataFrame, most_bits: int) -> np.ndarray:
+    """Words of a Bloom filter over the column ``value``: 32 bits a value, at most ``most_bits`` in all; one row a word comes to the driver."""
+    n = values.count()
+    bits = 1 << min(most_bits.bit_length() - 1, max(10, (32 * n).bit_length()))
+    value, step = F.col("value"), F.shiftrightunsigned("value", 32).bitwiseOR(F.lit(1).cast("long"))
+    slots = F.array(*((value + step * i).bitwiseAND(bits - 1) for i in range(4)))  # as _slots; sums of longs wrap in both
+    words = values.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("set"))
+    held = words.toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[held["word"].to_numpy(np.int64)] = held["set"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, span: int = 50, k: int = 25, filter_bits: int = 1 << 28) -> DataFrame:
     """``(doc_id, item_id, run)``: documents and items sharing a run of at least ``span`` letters and digits.
 
-    ``run`` is the length of the first such run that is met.  Null ids and null or short
+    ``run`` is the length of the longest such run.  Null ids and null or short
     texts share nothing; repeated rows count once; an id with several texts shares what any of
     them shares; other columns are ignored; an empty side gives no rows.
     """
     spark = corpus.sparkSession
     w = span - k + 1
-    docs = spread(corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"))
-    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
-    # a character takes four bytes, its share of fingerprints and their places about four more
-    size = items.agg(F.sum(F.length("text") * 8 + 200)).first()[0] or 0
-    blocks = int(size // broadcast_bytes) + 1
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, run int"
-
-    def against(block: DataFrame) -> DataFrame:
-        held = block.toPandas()  # bounded by broadcast_bytes
-        shipped = spark.sparkContext.broadcast((held["item_id"].tolist(), held["text"].tolist()))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keep = kept_points()
-            side = Items(*shipped.value, keep, k, w)
-            for pdf in batches if len(side.values) else ():
-                ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
-                for lo, hi in slices(texts, 500):
-                    yield found(ids[lo:hi], texts[lo:hi], keep, side)
-
-        def found(ids: np.ndarray, texts: list[str], keep: np.ndarray, side: Items) -> pd.DataFrame:
-            points, lengths = reduced(texts, keep)
-            hashes = window_hashes(points, k)
-            values, firsts, lasts = winnow(hashes, w)
-            ends = np.cumsum(lengths)
-            best: dict[tuple[int, int], int] = {}
-            for hit in side.matches(values):
-                value = values[hit]
-                low, high = np.searchsorted(side.values, value, "left"), np.searchsorted(side.values, value, "right")
-                for place in _places(hashes, value, firsts[hit], lasts[hit]):
-                    doc = int(np.searchsorted(ends, place, "right"))
-                    begin = int(ends[doc] - lengths[doc])
-                    if place + k > ends[doc]:  # it reaches into the next text
-                        continue
-                    own, inside = points[begin : ends[doc]], int(place) - begin
-                    for item, other in zip(side.items[low:high].tolist(), side.places[low:high].tolist(), strict=True):
-                        if (doc, item) not in best and _agreement(own, inside, side.texts[item], other, span) >= span:
-                            best[doc, item] = _agreement(own, inside, side.texts[item], other, len(own))
-            return pd.DataFrame({"doc_id": [ids[d] for d, _ in best], "item_id": [side.ids[i] for _, i in best], "run": list(best.values())})
-
-        return docs.mapInPandas(search, schema)
-
-    parts = [against(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items) for b in range(blocks)]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
+    named = lambda df, key, body: df.select(F.col(key).alias("key"), F.col(body).alias("text")).where(F.col("key").isNotNull() & (F.length("text") >= span))
+    asked = stored(_prints(named(items, item_id, item_text).distinct(), k, w), "p8-items")
+    prints = asked.select(F.col("n").alias("item"), F.explode("values").alias("value"))
+    shipped = spark.sparkContext.broadcast(_filter(prints.select("value").distinct(), filter_bits))
+    suspects = stored(_prints(spread(named(corpus, doc_id, text)), k, w, shipped), "p8-suspects")
+    pairs = suspects.select(F.col("n").alias("doc"), F.explode("values").alias("value")).join(prints, "value").select("doc", "item").distinct()
+
+    def longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            runs = [longest_run(code_points([a])[0], code_points([b])[0], span) for a, b in zip(pdf["own"], pdf["other"], strict=True)]
+            yield pdf[["doc_id", "item_id"]].assign(run=runs)
+
+    kinds = f"doc_id {corpus.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}"
+    met = (
+        pairs.join(suspects.select(F.col("n").alias("doc"), F.col("key").alias("doc_id"), F.col("body").alias("own")), "doc")
+        .join(asked.select(F.col("n").alias("item"), F.col("key").alias("item_id"), F.col("body").alias("other")), "item")
+        .select("doc_id", "item_id", "own", "other")
+    )
+    return met.mapInPandas(longest, f"{kinds}, run int").where(F.col("run") >= span).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))

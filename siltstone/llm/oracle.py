@@ -58,6 +58,12 @@ SQL: dict[str, str] = {
         g AS (SELECT DISTINCT item_id, substr(x, k, 50) AS s FROM (SELECT item_id, x, unnest(range(1, length(x) - 48)) AS k FROM i)),
         h AS (SELECT DISTINCT doc_id, substr(x, k, 50) AS s FROM (SELECT doc_id, x, unnest(range(1, length(x) - 48)) AS k FROM d))
         SELECT DISTINCT doc_id, item_id FROM h JOIN g ON h.s = g.s""",
+    "p8_leaks": f"""WITH i AS (SELECT item_id, {_REDUCED.format(c='text')} AS x FROM eval_items), d AS (SELECT doc_id, {_REDUCED.format(c='text')} AS x FROM documents WHERE text IS NOT NULL),
+        g AS (SELECT item_id, k, substr(x, k, 50) AS s FROM (SELECT item_id, x, unnest(range(1, length(x) - 48)) AS k FROM i)),
+        h AS (SELECT doc_id, k, substr(x, k, 50) AS s FROM (SELECT doc_id, x, unnest(range(1, length(x) - 48)) AS k FROM d)),
+        m AS (SELECT DISTINCT doc_id, item_id, h.k AS at_, h.k - g.k AS diagonal FROM h JOIN g ON h.s = g.s),
+        r AS (SELECT *, at_ - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY at_) AS island FROM m)
+        SELECT doc_id, item_id, CAST(max(n) + 49 AS INT) AS run FROM (SELECT doc_id, item_id, count(*) AS n FROM r GROUP BY doc_id, item_id, diagonal, island) GROUP BY doc_id, item_id""",
     # any common size measure gives the same cases, here a quarter of the bytes a token
     "p9_found": f"""WITH d AS (SELECT {_key('source')} AS source, strlen(coalesce(text, '')) / 4.0 AS tokens FROM documents),
         t AS (SELECT {_key('source')} AS source, target_share, max_repeats FROM mix_targets)

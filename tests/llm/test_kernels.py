@@ -71,11 +71,10 @@ def test_winnowing_never_misses_a_shared_span(body, left, right, cut):
     shared = body[cut : cut + span]
     if len(shared) < span:
         return
-    keep = np.ones(200, bool)
-    side = leakage.Items([1], [left + shared + right], keep, k, span - k + 1)
-    points, _ = code_points([body])
-    values, _, _ = leakage.winnow(window_hashes(points, k), span - k + 1)
-    assert len(side.matches(values))
+    def prints(text):
+        return set(leakage.winnow(window_hashes(code_points([text])[0], k), span - k + 1)[0].tolist())
+
+    assert prints(left + shared + right) & prints(body)
 
 
 units = st.lists(st.one_of(st.text(alphabet="ab c", max_size=30), st.just("\n"), st.just("\n\n"), st.just(" \t\n"), st.just("x" * 55), st.text(alphabet="ก ข", max_size=50)), max_size=25)
@@ -107,6 +106,24 @@ def stated_boundary(text, limit):
     return "word" if all(len(w) <= limit for w in text.split()) else "hard"
 
 
+@given(st.text(alphabet="ab", max_size=60), st.text(alphabet="ab", max_size=60), st.integers(1, 6))
+@settings(max_examples=200, deadline=None)
+def test_longest_run(a, b, least):
+    x, y = code_points([a])[0], code_points([b])[0]
+    true = max([j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b], default=0)
+    assert leakage.longest_run(x, y, least) == (true if true >= least else 0)
+
+
+@given(st.lists(st.text(alphabet="abcd", max_size=90), max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_fingerprints_of_texts_laid_end_to_end_hold_those_of_each(parts):
+    keep = np.ones(200, bool)
+    owner, values, points, lengths = leakage._fingerprints(parts, keep, 8, 13)
+    for n, text in enumerate(parts):
+        alone = set(leakage.winnow(window_hashes(code_points([text])[0], 8), 13)[0].tolist())
+        assert alone <= set(values[owner == n].tolist())
+
+
 long_units = st.lists(
     st.one_of(units, st.sampled_from([["a" * 40], ["a" * 39 + " "], [" " * 90], ["\t" * 41], ["\n" * 50], ["b" * 41], ["a " * 20], ["\n" + "c" * 40 + "\n"], ["d" * 40 + " " * 41]])), max_size=8
 ).map(lambda parts: [p for part in parts for p in part])

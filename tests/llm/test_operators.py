@@ -291,10 +291,20 @@ def test_leaks(spark):
     expected = {(d, i) for d, t, _ in docs if t for r in [reduce(t)] for j in range(len(r) - 49) for i in grams.get(r[j : j + 50], ())}
     c = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     e = spark.createDataFrame(items, "item_id long, text string, doc_id string")
-    for size in (64_000_000, 4_000):  # the second needs several blocks
-        got = leakage.leaks(c, "doc_id", "text", e, "item_id", "text", broadcast_bytes=size)
+    for bits in (1 << 28, 1 << 10):  # the second filter is far too small, which only costs work
+        got = leakage.leaks(c, "doc_id", "text", e, "item_id", "text", filter_bits=bits)
         assert rows(got.select("doc_id", "item_id")) == expected
-        assert got.where("run < 50").count() == 0
+    texts, tests = defaultdict(list), defaultdict(list)
+    for d, t, _ in docs:
+        texts[d].append(reduce(t or ""))
+    for i, t, _ in items:
+        tests[i].append(reduce(t or ""))
+
+    def longest(d, i):
+        return max(n for x in texts[d] for y in tests[i] for j in range(len(y)) for n in range(len(y) - j + 1) if y[j : j + n] in x)
+
+    for r in got.limit(15).collect():
+        assert r["run"] == longest(r["doc_id"], r["item_id"])
     assert len(expected) > 50
     assert leakage.leaks(c.limit(0), "doc_id", "text", e, "item_id", "text").count() == 0
     assert leakage.leaks(c, "doc_id", "text", e.limit(0), "item_id", "text").count() == 0
