@@ -8,10 +8,11 @@ integer is at once one band of four rows.  Texts sharing a band are candidates;
 similarity is estimated from the number of equal low bits, corrected for the 1/256 that
 agree by chance; what stays is compared exactly.
 
-At scale: copies of a text collapse to one representative before anything is paired, with a
+At scale: texts are sketched where they are read, and copies of a text collapse to one sketch before anything is paired, with a
 map-side step, so a text that makes up a third of all rows costs one row a partition.  The
-largest shuffle holds ``bands`` pairs of numbers for each distinct text.  A band that many
-different texts share is a skewed join key that adaptive execution splits.
+largest shuffle holds ``bands`` pairs of numbers for each distinct text; only texts that have a likely partner move themselves,
+for the exact comparison.  A band that many different texts share is a skewed join key that adaptive execution splits.
+Classes are named by 64-bit hashes: among ten billion distinct texts about three pairs would share one.
 """
 
 from __future__ import annotations
@@ -106,16 +107,21 @@ def near_duplicates(
         .where(F.col("id").isNotNull() & (F.length("text") >= max(min_chars, k)))
         .select("id", "text", F.xxhash64("text").alias("class_id"))
     )
-    members = stored(base.select("id", "class_id").distinct(), "p1-members")
-    reps = base.groupBy("class_id").agg(F.first("text").alias("text"))
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, texts = pdf["class_id"].to_numpy(), pdf["text"].tolist()
+            new = np.flatnonzero(~pdf["class_id"].duplicated().to_numpy())  # copies in one batch are sketched once
+            texts = pdf["text"].to_numpy()[new].tolist()
+            sigs = np.full(len(pdf), None, object)
             for lo, hi in slices(texts, 1000):
-                yield pd.DataFrame({"class_id": ids[lo:hi], "sig": list(sketch(texts[lo:hi], k, bands))})
-
-    sigs = stored(reps.mapInPandas(sketches, "class_id long, sig array<int>"), "p1-sketches")
+                sigs[new[lo:hi]] = list(sketch(texts[lo:hi], k, bands))
+            yield pd.DataFrame({"id": pdf["id"], "class_id": pdf["class_id"], "sig": sigs})
+
+    # texts are sketched where they are read; what moves is an id, a number and 200 bytes, never a text
+    kind = base.schema["id"].dataType.simpleString()
+    sketched = stored(base.mapInPandas(sketches, f"id {kind}, class_id long, sig array<int>"), "p1-records")
+    members = stored(sketched.select("id", "class_id").distinct(), "p1-members")
+    sigs = stored(sketched.where("sig is not null").groupBy("class_id").agg(F.first("sig").alias("sig")), "p1-sketches")
     banded = sigs.select("class_id", F.posexplode("sig").alias("band", "value"))
     one, two = banded.alias("one"), banded.alias("two")
     candidates = (

@@ -22,15 +22,25 @@ def _long(table: str, c: str) -> str:
     return f"SELECT '{table}' AS src_table, {_key('id')} AS id, replace({c}, chr(13) || chr(10), chr(10)) AS body FROM {table} WHERE length({c}) > 2000"
 
 
-SQL: dict[str, str] = {
-    "p1_found": f"""WITH t AS (SELECT DISTINCT id, x FROM (SELECT {_key('id')} AS id, {_NORMAL.format(c='content')} AS x FROM oracle_documents UNION ALL
+#: Records that count in problem 1, and pairs of equal or similar texts; sets of problem 7, and pairs that share terms.
+_P1 = rf"""WITH t AS (SELECT DISTINCT id, x FROM (SELECT {_key('id')} AS id, {_NORMAL.format(c='content')} AS x FROM oracle_documents UNION ALL
             SELECT {_key('input_id')}, {_NORMAL.format(c='pattern')} FROM learn_inputs) WHERE id IS NOT NULL AND length(x) >= 200),
         c AS (SELECT x, row_number() OVER (ORDER BY x) AS n FROM (SELECT DISTINCT x FROM t)),
         g AS (SELECT DISTINCT n, hash(substr(x, i, 16)) AS h FROM (SELECT n, x, unnest(range(1, length(x) - 14)) AS i FROM c)),
         s AS (SELECT n, count(*) AS size FROM g GROUP BY n),
-        p AS (SELECT a.n AS a, b.n AS b, count(*) AS shared FROM g a JOIN g b ON a.h = b.h AND a.n <= b.n GROUP BY ALL)
-        SELECT DISTINCT least(u.id, v.id) AS id_a, greatest(u.id, v.id) AS id_b FROM p JOIN s sa ON p.a = sa.n JOIN s sb ON p.b = sb.n JOIN c ca ON ca.n = p.a JOIN c cb ON cb.n = p.b
-        JOIN t u ON u.x = ca.x JOIN t v ON v.x = cb.x WHERE shared >= 0.6 * (sa.size + sb.size - shared) AND u.id <> v.id""",
+        p AS (SELECT a.n AS a, b.n AS b, count(*) AS shared FROM g a JOIN g b ON a.h = b.h AND a.n <= b.n GROUP BY ALL)"""
+_P1_PAIRS = """SELECT DISTINCT least(u.id, v.id) AS id_a, greatest(u.id, v.id) AS id_b FROM p JOIN s sa ON p.a = sa.n JOIN s sb ON p.b = sb.n JOIN c ca ON ca.n = p.a JOIN c cb ON cb.n = p.b
+        JOIN t u ON u.x = ca.x JOIN t v ON v.x = cb.x WHERE shared >= 0.6 * (sa.size + sb.size - shared) AND u.id <> v.id"""
+_P7 = rf"""WITH t AS (SELECT DISTINCT id, list_sort(list_distinct(terms)) AS terms FROM (SELECT {_key('id')} AS id, {_LIST} AS terms FROM oracle_documents UNION ALL
+            SELECT {_key('id')}, list_filter(list_transform(concepts, lambda x: lower({_TRIM.format(c='x')})), lambda x: x IS NOT NULL AND x <> '') FROM api_docs) WHERE id IS NOT NULL AND len(list_distinct(terms)) >= 5),
+        e AS (SELECT id, terms, unnest(terms) AS term FROM t),
+        p AS (SELECT a.id AS a, b.id AS b, len(any_value(a.terms)) + len(any_value(b.terms)) AS sizes, count(*) AS shared FROM e a JOIN e b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id)"""
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"{_P1} {_P1_PAIRS}",
+    "p1_groups": f"""{_P1.replace('WITH t', 'WITH RECURSIVE t', 1)}, q AS ({_P1_PAIRS}), e AS (SELECT id_a AS a, id_b AS b FROM q UNION SELECT id_b, id_a FROM q UNION SELECT id, id FROM t),
+        r AS (SELECT DISTINCT id, id AS other FROM t UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other) SELECT id, min(other) AS group_id FROM r GROUP BY id""",
     "p2_found": f"""SELECT term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM (SELECT term, count(DISTINCT id) AS n FROM (SELECT id, unnest(terms) AS term FROM {_RECORDS}) GROUP BY term)
         WHERE n < 3 OR n * 10 > (SELECT count(*) FROM {_RECORDS})""",
     "p2_counts": f"""WITH g AS (SELECT id, list_slice(terms, i, i + k - 1) AS gram FROM (SELECT id, terms, unnest(range(1, len(terms) + 1)) AS i FROM {_RECORDS}), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(terms))
@@ -49,11 +59,10 @@ SQL: dict[str, str] = {
     "p6_embeddings": """WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
         s AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_cosine_similarity(a.x, b.x) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
         SELECT id, neighbour, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) AS rank FROM s) WHERE rank <= 10""",
-    "p7_found": f"""WITH t AS (SELECT DISTINCT id, list_sort(list_distinct(terms)) AS terms FROM (SELECT {_key('id')} AS id, {_LIST} AS terms FROM oracle_documents UNION ALL
-            SELECT {_key('id')}, list_filter(list_transform(concepts, lambda x: lower({_TRIM.format(c='x')})), lambda x: x IS NOT NULL AND x <> '') FROM api_docs) WHERE id IS NOT NULL AND len(list_distinct(terms)) >= 5),
-        e AS (SELECT id, terms, unnest(terms) AS term FROM t),
-        p AS (SELECT a.id AS a, b.id AS b, len(any_value(a.terms)) + len(any_value(b.terms)) AS sizes, count(*) AS shared FROM e a JOIN e b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id)
-        SELECT a AS id_a, b AS id_b FROM p WHERE shared * 4 >= 3 * (sizes - shared)""",
+    "p7_found": f"{_P7} SELECT a AS id_a, b AS id_b FROM p WHERE shared * 4 >= 3 * (sizes - shared)",
+    "p7_classes": f"""{_P7}, c AS (SELECT terms, min(id) AS class_id, row_number() OVER (ORDER BY terms) AS n FROM t GROUP BY terms), k AS (SELECT n, unnest(terms) AS term, len(terms) AS size FROM c),
+        l AS (SELECT a.n AS a, b.n AS b FROM k a JOIN k b ON a.term = b.term AND a.n <> b.n GROUP BY a.n, b.n, a.size, b.size HAVING count(*) * 4 >= 3 * (a.size + b.size - count(*)))
+        SELECT t.id, c.class_id, coalesce(x.links, 0) AS links FROM t JOIN c ON t.terms = c.terms LEFT JOIN (SELECT a, count(*) AS links FROM l GROUP BY a) x ON x.a = c.n""",
     "p8_found": f"""WITH i AS (SELECT item_id, {_REDUCED.format(c='text')} AS x FROM eval_items), d AS (SELECT doc_id, {_REDUCED.format(c='text')} AS x FROM documents WHERE text IS NOT NULL),
         g AS (SELECT DISTINCT item_id, substr(x, k, 50) AS s FROM (SELECT item_id, x, unnest(range(1, length(x) - 48)) AS k FROM i)),
         h AS (SELECT DISTINCT doc_id, substr(x, k, 50) AS s FROM (SELECT doc_id, x, unnest(range(1, length(x) - 48)) AS k FROM d))

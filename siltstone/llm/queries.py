@@ -27,10 +27,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a record that counts: its class of equal texts and the group of all linked classes."""
+    """One row a record that counts: the smallest id of its group, linked by equal or similar texts directly or through others."""
     members, pairs = minhash.near_duplicates(_texts(spark, folder), "id", "text")
-    ties = components.components(pairs.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")))
-    return members.join(ties, F.col("class_id") == F.col("u"), "left").select("id", "class_id", F.coalesce("v", "class_id").alias("group_id"))
+    pairs = stored(pairs.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")), "p1-pairs")
+    several = members.groupBy("id").agg(F.min("class_id").alias("u"), F.collect_set("class_id").alias("all")).where(F.size("all") > 1)  # one id, several texts
+    ties = components.components(pairs.unionByName(several.select("u", F.explode("all").alias("v"))))
+    placed = stored(members.join(ties, F.col("class_id") == F.col("u"), "left").select("id", F.coalesce("v", "class_id").alias("root")).distinct(), "p1-roots")
+    return placed.join(placed.groupBy("root").agg(F.min("id").alias("group_id")), "root").select("id", "group_id")
 
 
 # 2: frequency of every concept
@@ -117,10 +120,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a record that counts: its class of equal sets and the number of other classes linked to it."""
+    """One row a record and set that counts: the smallest id with an equal set, and the number of other sets linked to it."""
     members, pairs = setjoin.similar_sets(_sets(spark, folder), "id", "terms")
     links = pairs.select(F.col("class_a").alias("class_id")).unionAll(pairs.select("class_b")).groupBy("class_id").agg(F.count("*").alias("links"))
-    return members.join(links, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = members.groupBy("class_id").agg(F.min("id").alias("first_id")).join(links, "class_id", "left")
+    return members.join(named, "class_id").select("id", F.col("first_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 # 8: evaluation texts in the corpus
