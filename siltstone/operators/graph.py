@@ -42,6 +42,49 @@ def walk(edges: DataFrame, start: DataFrame, *, depth: int | None = None) -> Dat
     return reach if depth is None else reach.where(F.col("depth") <= depth)
 
 
+def chains(links: DataFrame) -> DataFrame:
+    """``(id, head, position)``: where every node stands in its linked chain, counted from 0 at the head.
+
+    ``links(id, next)`` has one row a node, with null for no next one; a next that has no row ends the chain.  Of several nodes with
+    the same next one the smallest id is before it, the others' chains end there.  A ring has no head: it is opened at its smallest id.
+    Pointer jumping: each round doubles the distance looked back, so rounds grow with the log of the longest chain.
+    """
+    nodes = links.select("id").where("id is not null").distinct()
+    before = links.where("id is not null and next is not null and id <> next").groupBy(F.col("next").alias("id")).agg(F.min("id").alias("prev"))
+    start = stored(nodes.join(before, "id", "left").select("id", F.col("prev").alias("far"), F.lit(1).cast("long").alias("step"), F.least("id", "prev").alias("low")), "chain")
+    state, total = start, start.count()
+
+    def ranked(state: DataFrame, rounds: int) -> DataFrame:
+        """Each node's farthest node back and the way there; who still has a ``far`` after all rounds is in a ring."""
+        for _ in range(rounds):
+            open_ = state.where("far is not null")
+            if not open_.limit(1).count():
+                break
+            ahead = state.select(F.col("id").alias("far"), F.col("far").alias("far2"), F.col("step").alias("step2"), F.col("low").alias("low2"), F.col("head").alias("head2"))
+            hopped = open_.join(ahead, "far").select("id", F.col("far2").alias("far"), (F.col("step") + F.col("step2")).alias("step"), F.least("low", "low2").alias("low"), F.col("head2").alias("head"))
+            state = stored(hopped.unionByName(state.where("far is null").select("id", "far", "step", "low", "head")), "chain")
+        return state
+
+    # a node without a node before it is its own head, no step away
+    begin = state.select("id", "far", F.when(F.col("far").isNull(), F.lit(0).cast("long")).otherwise(F.col("step")).alias("step"), "low", F.when(F.col("far").isNull(), F.col("id")).alias("head"))
+    done = ranked(begin, total.bit_length() + 1)
+    ring = done.where("far is not null")
+    if ring.limit(1).count():
+        cut = start.join(ring.select("id", F.col("low").alias("first")), "id").select("id", F.when(F.col("id") == F.col("first"), None).otherwise(F.col("far")).alias("far"))
+        again = cut.select("id", "far", F.when(F.col("far").isNull(), 0).otherwise(1).cast("long").alias("step"), F.col("id").alias("low"), F.when(F.col("far").isNull(), F.col("id")).alias("head"))
+        done = done.where("far is null").unionByName(ranked(stored(again, "chain"), total.bit_length() + 1))
+    return done.select("id", "head", F.col("step").alias("position"))
+
+
+def one_hop(docs: DataFrame) -> DataFrame:
+    """``(id, direction, other)``: the record that replaces each one ('forward') and the records it replaces ('reverse'), both existing."""
+    known = docs.select("id", "superseded_by").distinct()
+    forward = known.where("superseded_by is not null").join(known.select(F.col("id").alias("superseded_by")).distinct(), "superseded_by", "left_semi")
+    return forward.select("id", F.lit("forward").alias("direction"), F.col("superseded_by").alias("other")).unionByName(
+        forward.select(F.col("superseded_by").alias("id"), F.lit("reverse").alias("direction"), F.col("id").alias("other"))
+    )
+
+
 def supersede_pairs(docs: DataFrame) -> DataFrame:
     """Replaced records beside their replacement, whose columns are null if it does not exist."""
     new = docs.select(F.col("id").alias("superseded_by"), F.col("type").alias("new_type"), F.col("source_file").alias("new_file")).distinct()

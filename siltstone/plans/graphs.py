@@ -17,9 +17,10 @@ def _edges(t: Tables):
     return t.supersede_log.select(norm_key(F.col("old_id")).alias("src"), norm_key(F.col("new_id")).alias("dst")).where("src is not null and dst is not null").distinct()
 
 
-def _recursive(edges: str, start: str, depth: int) -> str:
-    return f"""WITH RECURSIVE reach(root, id, depth, path) AS (SELECT id, id, 0, [id] FROM ({start}) UNION ALL SELECT r.root, e.dst, r.depth + 1, list_append(r.path, e.dst)
-        FROM reach r JOIN {edges} e ON e.src = r.id WHERE r.depth < {depth} AND NOT list_contains(r.path, e.dst)) SELECT root, id, CAST(min(depth) AS INT) AS depth FROM reach GROUP BY root, id"""
+def _recursive(edges: str, start: str) -> str:
+    """Every node a start leads to with its smallest depth, at any depth: one row a pair is kept and only a nearer one replaces it."""
+    return f"""WITH RECURSIVE reach(root, id, depth) USING KEY (root, id) AS (SELECT id, id, 0 FROM ({start}) UNION SELECT r.root, e.dst, min(r.depth + 1)
+        FROM reach r JOIN {edges} e ON e.src = r.id LEFT JOIN recurring.reach k ON k.root = r.root AND k.id = e.dst WHERE k.id IS NULL GROUP BY r.root, e.dst) SELECT root, id, CAST(depth AS INT) AS depth FROM reach"""
 
 
 def _sample(n: int, seed: int) -> str:
@@ -35,9 +36,18 @@ def concept_graph_edges(t: Tables):
     return graph.concept_edges(nodes, "id", "terms")
 
 
-@query(_recursive(_EDGES, f"SELECT DISTINCT src AS id FROM {_EDGES} WHERE src NOT IN (SELECT dst FROM {_EDGES})", 30))
+@query(f"""WITH each AS (SELECT id, unnest(terms) AS concept FROM (SELECT DISTINCT id, coalesce(list_distinct({_CONCEPTS}), []) AS terms FROM oracle_documents WHERE id IN (SELECT id FROM {_sample(310, 3)})))
+    SELECT a.id AS id_a, b.id AS id_b, count(*) AS weight FROM each a JOIN each b ON a.concept = b.concept AND a.id < b.id GROUP BY ALL""")
+def concept_graph_all_edges(t: Tables):
+    """All edges between the graph view's records, without the view's cap."""
+    docs = t.oracle_documents.select("id", "type", concept_list(F.col("concepts")).alias("terms")).distinct()
+    nodes = docs.join(rel.sample_per_group(docs.select("id", "type").distinct(), "type", "id", 310, seed=3).select("id"), "id", "left_semi")
+    return graph.concept_edges(nodes, "id", "terms", most=None)
+
+
+@query(_recursive(_EDGES, f"SELECT DISTINCT src AS id FROM {_EDGES} WHERE src NOT IN (SELECT dst FROM {_EDGES})"))
 def supersede_lineage(t: Tables):
-    """Every record a root leads to, at any depth; the SQL ends at 30 levels and lacks what lies behind."""
+    """Every record a root leads to, at any depth."""
     edges = _edges(t)
     roots = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
     return graph.walk(edges, roots)
@@ -46,25 +56,25 @@ def supersede_lineage(t: Tables):
 _TREE = "(SELECT CAST(event_id AS BIGINT) AS dst, CAST((event_id - 1) // 4 AS BIGINT) AS src FROM events WHERE event_id > 0)"
 
 
-@query(_recursive(_TREE, "SELECT CAST(5 AS BIGINT) AS id", 20))
+@query(_recursive(_TREE, "SELECT CAST(5 AS BIGINT) AS id"))
 def trace_tree_down(t: Tables):
     edges = t.events.where("event_id > 0").select(F.floor((F.col("event_id") - 1) / 4).alias("src"), F.col("event_id").alias("dst"))
-    return graph.walk(edges, t.spark.createDataFrame([(5,)], "id long"), depth=20)
+    return graph.walk(edges, t.spark.createDataFrame([(5,)], "id long"))
 
 
-@query(_recursive("(SELECT dst AS src, src AS dst FROM " + _TREE + ")", "SELECT CAST(777 AS BIGINT) AS id", 20))
+@query(_recursive("(SELECT dst AS src, src AS dst FROM " + _TREE + ")", "SELECT CAST(777 AS BIGINT) AS id"))
 def trace_tree_up(t: Tables):
     edges = t.events.where("event_id > 0").select(F.col("event_id").alias("src"), F.floor((F.col("event_id") - 1) / 4).alias("dst"))
-    return graph.walk(edges, t.spark.createDataFrame([(777,)], "id long"), depth=20)
+    return graph.walk(edges, t.spark.createDataFrame([(777,)], "id long"))
 
 
 @query("""SELECT user_id, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS position FROM events""")
 def linked_chain(t: Tables):
-    """The chain of every identity's events with each one's true position, wherever it is entered."""
+    """The chain of every identity's events with each one's true position: links are read, and followed from wherever a chain is entered."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.select("user_id", F.col("event_id").alias("id"), (F.row_number().over(w) - 1).alias("position"))
+    links = t.events.select("user_id", F.col("event_id").alias("id"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next"))
+    return graph.chains(links).join(links.select("user_id", "id"), "id").select("user_id", "id", F.col("position").cast("int").alias("position"))
 
 
 @query("""SELECT o.id, o.type, o.superseded_by, o.superseded_at, n.type AS new_type, n.source_file AS new_file FROM (SELECT DISTINCT id, type, superseded_by, superseded_at FROM oracle_documents WHERE superseded_by IS NOT NULL) o
@@ -143,3 +153,26 @@ def stream_growth_window(t: Tables):
     SELECT user_id, min(us) // 1000 AS start_ms, (max(us) + 1800000000) // 1000 AS end_ms, count(*) AS n FROM s GROUP BY user_id, sess""")
 def stream_sessions(t: Tables):
     return live.drained(live.sessions(_stream(t)), "siltstone_sessions")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL")
+def stream_growth_closed(t: Tables):
+    """Days that the watermark has closed, appended to files as a live stream would."""
+    from siltstone.storage import new_folder, new_state
+
+    folder = new_folder(t.spark, "growth")
+    new_state(t.spark, f"{folder}-state")
+    growth = live.daily_growth(_stream(t))
+    live.appended(growth, folder, f"{folder}-state").awaitTermination()
+    return t.spark.read.schema(growth.schema).parquet(folder)
+
+
+@query()
+def map3d_files(t: Tables):
+    """Files on the first three principal axes of their records' mean vectors, under the first model."""
+    first = t.vector_documents.agg(F.min("model_key").alias("model_key"))
+    d = t.vector_documents.agg(F.max(F.size("vector"))).first()[0]
+    good = t.vector_documents.join(F.broadcast(first), "model_key").where((F.size("vector") == d) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    files = t.oracle_documents.where("source_file is not null").select("id", F.col("source_file").alias("file")).distinct()
+    means = layout.mean_vectors(good.select(norm_key(F.col("id")).alias("id"), "vector").distinct().join(files, "id"), "file", "vector")
+    return layout.map_3d(means, "file", "vector")
