@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Month numbers by English names (first three letters) and Thai names, full and short.
-ENGLISH_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-THAI_MONTHS = (
-    ("มกราคม", "ม.ค."), ("กุมภาพันธ์", "ก.พ."), ("มีนาคม", "มี.ค."), ("เมษายน", "เม.ย."), ("พฤษภาคม", "พ.ค."), ("มิถุนายน", "มิ.ย."),
-    ("กรกฎาคม", "ก.ค."), ("สิงหาคม", "ส.ค."), ("กันยายน", "ก.ย."), ("ตุลาคม", "ต.ค."), ("พฤศจิกายน", "พ.ย."), ("ธันวาคม", "ธ.ค."),
-)
+#: Month numbers by English names, short and full, and by Thai abbreviations, formal and common.
+MONTHS = {
+    "jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3,
+    "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6,
+    "jul": 7, "july": 7, "aug": 8, "august": 8, "sep": 9, "september": 9,
+    "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12,
+    "ม.ค.": 1, "มค.": 1, "มค": 1,
+    "ก.พ.": 2, "กพ.": 2, "กพ": 2,
+    "มี.ค.": 3, "มีค.": 3, "มีค": 3,
+    "เม.ย.": 4, "เมย.": 4, "เมย": 4,
+    "พ.ค.": 5, "พค.": 5, "พค": 5,
+    "มิ.ย.": 6, "มิย.": 6, "มิย": 6,
+    "ก.ค.": 7, "กค.": 7, "กค": 7,
+    "ส.ค.": 8, "สค.": 8, "สค": 8,
+    "ก.ย.": 9, "กย.": 9, "กย": 9,
+    "ต.ค.": 10, "ตค.": 10, "ตค": 10,
+    "พ.ย.": 11, "พย.": 11, "พย": 11,
+    "ธ.ค.": 12, "ธค.": 12, "ธค": 12,
+}
 
 
 def iso_millis(ms: Column) -> Column:
@@ -24,42 +37,32 @@ def age_hours(now_ms: int, ms: Column) -> Column:
 
 
 def month_of(name: Column) -> Column:
-    """Number of an English or Thai month name, null for others."""
-    low = F.lower(F.trim(name))
-    out = F.lit(None).cast("int")
-    for number, english in enumerate(ENGLISH_MONTHS, 1):
-        out = F.when(low.startswith(english), number).when(low.isin(*THAI_MONTHS[number - 1]), number).otherwise(out)
-    return out
+    """Number of a month's English or Thai name, null for any other word."""
+    table = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
+    return F.try_element_at(table, F.lower(name))
 
 
 def parsed_date(c: Column, today: str) -> Column:
     """'YYYY-MM-DD' of a date as people write it, else ``today``.
 
     ISO; today, tomorrow; day month [year] and month day[,] [year] in English or Thai; day/month[/year] or
-    with hyphens.  Two-digit years are of this century, a missing year is that of ``today``.
-    A day that its month lacks is kept as written.
+    with hyphens.  Two-digit years are of this century, a missing year is that of ``today``.  Months over 12 and days
+    over 31 are no dates; a day that its month lacks is kept as written.  Null stays null.
     """
     t = F.trim(c)
-    iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1)
-    year = F.lit(today[:4])
-    dmy = r"^(\d{1,2})\s+(\S+?)(?:\s+(\d{4}))?$"
-    mdy = r"^(\S+?)\s+(\d{1,2})(?:,)?(?:\s+(\d{4}))?$"
+    dmy = r"^(\d{1,2})\s+([A-Za-zก-๙.]+)(?:\s+(\d{4}))?$"
+    mdy = r"^([A-Za-zก-๙.]+)\s+(\d{1,2})(?:[,\s]+(\d{4}))?$"
     num = r"^(\d{1,2})[/-](\d{1,2})(?:[/-](\d{2,4}))?$"
-
-    def made(pattern: str, day: int, month: Column, at: int) -> Column:
-        y = F.regexp_extract(t, pattern, at)
-        y = F.when(y == "", year).when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-        return F.concat_ws("-", y, F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(t, pattern, day), 2, "0"))
-
-    m1, m2 = month_of(F.regexp_extract(t, dmy, 2)), month_of(F.regexp_extract(t, mdy, 1))
+    # at most one of the patterns matches, so each part is taken from whichever does
+    part = lambda *places: F.coalesce(*(F.nullif(F.regexp_extract(t, pattern, at), F.lit("")) for pattern, at in places))
+    day, written = part((dmy, 1), (mdy, 2), (num, 1)).cast("int"), part((dmy, 3), (mdy, 3), (num, 3))
+    month = F.coalesce(month_of(part((dmy, 2), (mdy, 1))), part((num, 2)).cast("int"))
+    year = F.when(F.length(written) == 2, F.concat(F.lit("20"), written)).otherwise(F.coalesce(F.regexp_replace(written, "^0+(?=.)", ""), F.lit(today[:4])))
+    made = F.when(month.between(1, 12) & day.between(1, 31), F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")))
     return (
-        F.when(iso != "", iso)
-        .when(F.lower(t) == "today", today)
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t)
         .when(F.lower(t) == "tomorrow", F.date_format(F.date_add(F.lit(today).cast("date"), 1), "yyyy-MM-dd"))
-        .when(t.rlike(dmy) & m1.isNotNull(), made(dmy, 1, m1, 3))
-        .when(t.rlike(mdy) & m2.isNotNull(), made(mdy, 2, m2, 3))
-        .when(t.rlike(num), made(num, 1, F.try_to_number(F.regexp_extract(t, num, 2), F.lit("99")), 3))
-        .otherwise(today)
+        .when(t.isNotNull(), F.coalesce(made, F.lit(today)))
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -52,6 +53,46 @@ def _scalar(value: str) -> str:
     return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
 
 
+def typed_front_matter(text: str | None) -> dict | None:
+    """As :func:`parse_front_matter` for one-line values, but with null, booleans, numbers and inline lists as such."""
+    found = re.match(r"\A---\r?\n(.*?)\r?\n---", text or "", re.S)
+    if not found:
+        return None
+    out: dict = {}
+    for line in map(str.strip, found.group(1).splitlines()):
+        key, colon, value = line.partition(":")
+        if colon and key.strip() and not line.startswith("#"):
+            out[key.strip()] = _coerced(value.strip())
+    return out
+
+
+def _coerced(value: str):
+    plain = {"": "", "null": None, "~": None, "true": True, "false": False}
+    if value in plain:
+        return plain[value]
+    if re.fullmatch(r"-?\d+", value):
+        return int(value)
+    if re.fullmatch(r"-?\d+\.\d+", value):
+        return float(value)
+    if value[0] == "[" and value[-1] == "]":
+        pieces = re.findall(r"\"((?:[^\"\\]|\\.)*)\"|'([^']*)'|([^,'\"\s][^,]*)", value[1:-1])
+        return [(a or b or c.strip()).replace('\\"', '"') for a, b, c in pieces]
+    if len(value) > 1 and value[0] == value[-1] == '"':
+        return value[1:-1].replace('\\"', '"').replace("\\\\", "\\").replace("\\n", "\n")
+    return value[1:-1].replace("''", "'") if len(value) > 1 and value[0] == value[-1] == "'" else value
+
+
+def front_matter_json(c: Column) -> Column:
+    """The front matter with typed values as JSON text, null without one; keys in alphabetical order."""
+
+    def run(batch: pd.Series) -> pd.Series:
+        parsed = [typed_front_matter(t if isinstance(t, str) else None) for t in batch]
+        return pd.Series([None if p is None else json.dumps(p, ensure_ascii=False, sort_keys=True) for p in parsed], dtype=object)
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf("string")(run)(c)
+
+
 def front_matter_map(c: Column) -> Column:
     """``map<string,string>`` of the front matter, null without one."""
 
