@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +32,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dot_literal(a: Column, query: list[float]) -> Column:
-    """Inner product with a fixed vector, unrolled so that it stays in generated code."""
-    return reduce(lambda s, x: s + x, (F.coalesce(F.get(a, F.lit(i)).cast("double"), F.lit(0.0)) * F.lit(float(q)) for i, q in enumerate(query)))
+    """Inner product with a fixed vector of any length, one literal array: for a row or two; many rows are better served by a matrix product."""
+    return dot(a, F.lit([float(q) for q in query]))
 
 
 def norm(a: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.storage import spread
+from siltstone.storage import stored
 
 #: BM25's saturation and length parameters.
 K1, B = 1.2, 0.75
@@ -23,66 +23,172 @@ def tokens(c: Column) -> Column:
 
 def postings(docs: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """``(term, doc_id, col, tf)`` of the given text columns: the inverted index."""
-    tagged = lambda c: F.transform(tokens(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(c).alias("col")))
+    text = lambda c: F.array_join(c, " ") if docs.schema[c].dataType.typeName() == "array" else F.col(c)
+    tagged = lambda c: F.transform(tokens(text(c)), lambda t: F.struct(t.alias("term"), F.lit(c).alias("col")))
     parts = F.flatten(F.array(*map(tagged, cols)))
-    exploded = spread(docs.select(id_col, *cols)).select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.term", "p.col")
+    exploded = docs.select(id_col, *cols).select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.term", "p.col")
     return exploded.groupBy("term", "doc_id", "col").agg(F.count("*").alias("tf"))
 
 
-def write_index(index: DataFrame, path: str, buckets: int) -> None:
-    """Stores postings in ``buckets`` folders by term hash, sorted by term: a query reads only its terms' folders and row groups."""
-    placed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def read_terms(spark, path: str, terms: list[str], buckets: int) -> DataFrame:
-    """Postings of some terms; folder and row-group pruning both apply."""
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct()
-    folders = [r["b"] for r in wanted.collect()]  # at most one a query term
-    return spark.read.parquet(path).where(F.col("bucket").isin(folders) & F.col("term").isin(terms))
+class Index:
+    """A stored full-text index: postings by term bucket, document lengths, and one row of corpus statistics.
 
+    A search reads only the folders and row groups of its own terms, never the documents.  A posting carries its document's length, so ranking joins
+    nothing as large as the corpus.
+    """
 
-def _term_counts(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFrame:
-    """Length of every document and how often it has each term; one pass, nothing shuffled."""
-    toks = spread(docs.select(F.col(id_col), text.alias("__text"))).select(F.col(id_col).alias("doc_id"), tokens(F.col("__text")).alias("__t"))
-    count = lambda t: F.size(F.filter("__t", lambda x: x == F.lit(t)))
-    tf = [count(t).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    return toks.select("doc_id", F.size("__t").alias("dl"), *tf)
-
+    def __init__(self, spark, path: str, buckets: int = 64, stem: bool = False, pieces: int = 4):
+        self.spark, self.path, self.buckets, self.stem, self.pieces = spark, path, buckets, stem, pieces
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str, cols: list[str], path: str, *, buckets: int = 64, stem: bool = False, pieces: int = 4) -> Index:
+        """Writes the index of the columns' texts (arrays count as their elements); ``stem`` reduces terms to Porter's stems.
+
+        A bucket is written in ``pieces`` files by document, so that a term that very many documents hold is no single task's.
+        """
+        out = cls(docs.sparkSession, path, buckets, stem, pieces)
+        index = stored(postings(docs, id_col, cols), "postings")
+        index = stemmed(index).withColumnRenamed("stem", "term") if stem else index
+        lengths = docs.select(F.col(id_col).alias("doc_id")).distinct().join(index.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        out._write(index.select("term", "doc_id", "col", "tf"), lengths)
+        return out
+
+    def _write(self, index: DataFrame, lengths: DataFrame) -> None:
+        lengths.write.mode("overwrite").parquet(f"{self.path}/docs")
+        lengths = self.spark.read.parquet(f"{self.path}/docs")
+        placed = index.join(lengths, "doc_id").withColumn("bucket", _bucket(F.col("term"), self.buckets))
+        piece = F.pmod(F.xxhash64("doc_id"), F.lit(self.pieces))
+        placed.repartition(self.buckets * self.pieces, F.col("bucket"), piece).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{self.path}/stats")
+
+    def updated(self, docs: DataFrame, id_col: str, cols: list[str], path: str, *, removed: DataFrame | None = None) -> Index:
+        """A new index below ``path`` in which ``docs`` replace what there was of their ids, and ``removed(doc_id)`` are gone."""
+        out = Index(self.spark, path, self.buckets, self.stem, self.pieces)
+        index = postings(docs, id_col, cols)
+        index = stored(stemmed(index).withColumnRenamed("stem", "term") if self.stem else index, "postings")
+        ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
+        old = ids if removed is None else ids.unionByName(removed.select("doc_id")).distinct()
+        lengths = ids.join(index.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        out._write(
+            self.postings().select("term", "doc_id", "col", "tf").join(old, "doc_id", "left_anti").unionByName(index.select("term", "doc_id", "col", "tf")),
+            self.documents().join(old, "doc_id", "left_anti").unionByName(lengths),
+        )
+        return out
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """All postings, or those of some terms: folders and row groups without them are not read."""
+        kind = self.documents().schema["doc_id"].dataType.simpleString()  # an empty index has no file to tell
+        rows = self.spark.read.schema(f"term string, doc_id {kind}, col string, tf long, dl long, bucket int").parquet(f"{self.path}/postings")
+        if terms is None:
+            return rows
+        folders = self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), self.buckets)).distinct().collect()  # at most one a term
+        return rows.where(F.col("bucket").isin([r[0] for r in folders]) & F.col("term").isin(terms))
+
+    def documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/docs")
+
+    def term(self, word: str) -> str:
+        return porter(word) if self.stem else word
+
+    def scored(self, query: str | Query) -> DataFrame:
+        """``(doc_id, score)`` of the documents that match, larger is better; an empty query matches none.
+
+        BM25 over all indexed columns; idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
+        """
+        parsed = parse(query) if isinstance(query, str) else query
+        terms = sorted({self.term(w) for w in words_of(parsed)})
+        if not terms:
+            return self.documents().where(F.lit(False)).select("doc_id", F.lit(0.0).alias("score"))
+        place = {t: i for i, t in enumerate(terms)}
+        tf = [F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf_{i}") for i, t in enumerate(terms)]
+        held = self.postings(terms).groupBy("doc_id").agg(F.first("dl").alias("dl"), *tf)
+        if _holds(parsed, lambda w: False):  # documents without any of the terms match too
+            names = [f"tf_{i}" for i in range(len(terms))]
+            held = self.documents().join(held.drop("dl"), "doc_id", "left").fillna(0, names)
+        df = held.agg(*(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))))
+        stats = self.spark.read.parquet(f"{self.path}/stats").crossJoin(F.broadcast(df))  # one row
+        score = F.lit(0.0)
+        for i in range(len(terms)):
+            idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
+            n = F.col(f"tf_{i}").cast("double")
+            score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        keep = _holds(parsed, lambda w: F.col(f"tf_{place[self.term(w)]}") > 0)
+        return held.where(keep).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))
+
+
+# queries: a word, or (operator, left, right); left is None where only a NOT is given
+
+Query = str | tuple | None
+_WORD = r"[\p{L}\p{N}\p{M}]+"
+
+
+def parse(text: str) -> Query:
+    """The tree of a query: words side by side belong together, then NOT, AND and OR in upper case bind in this order; operators without an operand are left out."""
+    import regex
+
+    parts = [w if w in ("AND", "OR", "NOT") else regex.findall(_WORD, w.lower()) for w in text.split()]
+    groups: list = []  # runs of words, and operators
+    for part in parts:
+        if isinstance(part, str):
+            groups.append(part)
+        elif part:
+            tree = _both(part)
+            if groups and not isinstance(groups[-1], str):
+                groups[-1] = [("and", groups[-1][0], tree)]
+            else:
+                groups.append([tree])
+
+    def level(items: list, operators: tuple[str, ...]) -> Query:
+        operator, *finer = operators
+        pieces: list[list] = [[]]
+        for item in items:
+            if item == operator:
+                pieces.append([])
+            else:
+                pieces[-1].append(item)
+        if finer:
+            trees = [t for t in (level(p, tuple(finer)) for p in pieces if p) if t is not None]
+            return _joined(operator.lower(), trees)
+        trees = [next((i[0] for i in p if isinstance(i, list)), None) for p in pieces]
+        out, rest = trees[0], [t for t in trees[1:] if t is not None]
+        for tree in rest:
+            out = ("not", out, tree)
+        return out
+
+    return level(groups, ("OR", "AND", "NOT"))
+
+
+def _both(words: list[str]) -> Query:
+    return _joined("and", list(words))
+
+
+def _joined(operator: str, trees: list) -> Query:
+    out = trees[0] if trees else None
+    for tree in trees[1:]:
+        out = (operator, out, tree)
+    return out
 
-def match(docs: DataFrame, id_col: str, text: Column, *, every: list[str] = (), some: list[str] = (), none: list[str] = ()) -> DataFrame:
-    """``(doc_id)`` of documents holding every term of ``every``, one of ``some`` if given, and none of ``none``."""
-    toks = tokens(text)
-    keep = F.lit(True)
-    for t in every:
-        keep &= F.array_contains(toks, t)
-    if some:
-        keep &= F.arrays_overlap(toks, F.array(*map(F.lit, some)))
-    if none:
-        keep &= ~F.arrays_overlap(toks, F.array(*map(F.lit, none)))
-    return docs.where(keep).select(F.col(id_col).alias("doc_id"))
 
+def words_of(query: Query) -> list[str]:
+    if query is None:
+        return []
+    return [query] if isinstance(query, str) else words_of(query[1]) + words_of(query[2])
 
-def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], *, require_all: bool = True) -> DataFrame:
-    """``(doc_id, score)`` of matching documents, larger is better.
 
-    Corpus statistics are one aggregated row joined back; idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
-    """
-    counted = _term_counts(docs, id_col, text, terms)
-    n = len(terms)
-    stats = counted.agg(
-        F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(n))
-    )
-    has = [F.col(f"tf_{i}") > 0 for i in range(n)]
-    keep = has[0]
-    for h in has[1:]:
-        keep = keep & h if require_all else keep | h
-    score = F.lit(0.0)
-    for i in range(n):
-        idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
-        tf = F.col(f"tf_{i}").cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return counted.where(keep).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))
+def _holds(query: Query, has):
+    """The query's condition, given whether a word is there: a column, or plain booleans."""
+    if isinstance(query, str):
+        return has(query)
+    operator, left, right = query
+    a, b = True if left is None else _holds(left, has), _holds(right, has)
+    negated = (not b) if isinstance(b, bool) else ~b
+    if operator == "not":
+        return negated if a is True else a & negated
+    return a & b if operator == "and" else a | b
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:

@@ -264,19 +264,33 @@ def front_matter_tags(t: Tables):
     return t.documents.where("text is not null").select("doc_id", text.front_matter_tags(F.col("text")).alias("tags"))
 
 
-@query(r"""SELECT id, CASE WHEN regexp_matches(project, '^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$') THEN lower('github.com/' || project) ELSE NULL END AS project FROM (SELECT DISTINCT id, regexp_extract(project, '[^/]+/[^/]+$', 0) AS project FROM oracle_documents WHERE project IS NOT NULL)""")
+@query(r"""SELECT id, CASE WHEN regexp_matches(project, '^github\.com/[^/]+/[^/]+$') THEN lower(project) WHEN regexp_matches(project, 'https?://github\.com/[^/]+/[^/]+') THEN lower('github.com/' || regexp_replace(regexp_extract(project, 'https?://github\.com/([^/]+/[^/]+)', 1), '\.git$', ''))
+    WHEN regexp_matches(project, 'github\.com/[^/]+/[^/]+') THEN lower(regexp_extract(project, 'github\.com/[^/]+/[^/]+', 0)) WHEN regexp_matches(project, '^[^/\s]+/[^/\s]+$') THEN lower('github.com/' || project) END AS project FROM (SELECT DISTINCT id, project FROM oracle_documents WHERE project IS NOT NULL)""")
 def project_normalized(t: Tables):
-    d = t.oracle_documents.where("project is not null").select("id", F.regexp_extract("project", "[^/]+/[^/]+$", 0).alias("project")).distinct()
+    d = t.oracle_documents.where("project is not null").select("id", "project").distinct()
     return d.select("id", text.normalized_project(F.col("project")).alias("project"))
 
 
-@query("""SELECT doc_id, CAST(i AS INT) AS line, kind, substr(trim(l), 1, 120) AS preview FROM (SELECT doc_id, i, l, CASE """ + " ".join(f"WHEN regexp_matches(l, '{p}') THEN '{k}'" for k, p in text.SECRETS) + r""" END AS kind
+@query(r"""SELECT doc_id, CAST(i AS INT) AS line, kind, substr(trim(l), 1, 120) AS preview FROM (SELECT doc_id, i, l, CASE WHEN regexp_matches(l, '\b(ghp|gho|ghs|ghu|ghr)_[A-Za-z0-9]{20,}\b') THEN 'github-pat'
+        WHEN regexp_matches(l, '\bAKIA[0-9A-Z]{16}\b') THEN 'aws-access-key' WHEN regexp_matches(l, '\bsk-[A-Za-z0-9_-]{20,}\b') THEN 'openai-key' WHEN regexp_matches(l, '-----BEGIN (RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----') THEN 'private-key'
+        WHEN regexp_matches(l, '(?i)\b(API[_-]?KEY|SECRET|TOKEN|PASSWORD|PASSWD)\s*[:=]\s*[''"]?[A-Za-z0-9_\-./+=]{16,}') THEN 'env-credential' END AS kind
     FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS ls FROM documents WHERE text IS NOT NULL))) WHERE kind IS NOT NULL""")
 def secret_scan(t: Tables):
     return ingest.secrets(t.documents.where("text is not null"), "doc_id", "text").withColumnRenamed("path", "doc_id")
 
 
-@query(r"""SELECT id, regexp_extract(created_at, '^(\d{4}-\d{2}-\d{2})', 1) AS day FROM api_docs WHERE created_at IS NOT NULL""")
+_SHOWN = ("token ghp_{0}", "key AKIA{1}", "use sk-{0} here", "-----BEGIN EC PRIVATE KEY-----", "api-key = '{0}'", "password: short", "nothing")
+
+
+@query(r"""SELECT doc_id, CAST(1 AS INT) AS line, CASE doc_id % 7 WHEN 0 THEN 'github-pat' WHEN 1 THEN 'aws-access-key' WHEN 2 THEN 'openai-key' WHEN 3 THEN 'private-key' ELSE 'env-credential' END AS kind FROM documents WHERE doc_id % 7 < 5""")
+def secret_kinds(t: Tables):
+    """One line of each kind of secret, and two that are none."""
+    ways = F.array(*(F.lit(s.format("abcdefghij0123456789", "ABCDEFGHIJ012345")) for s in _SHOWN))
+    lines = t.documents.select("doc_id", F.element_at(ways, (F.col("doc_id") % 7 + 1).cast("int")).alias("text"))
+    return ingest.secrets(lines, "doc_id", "text").select(F.col("path").alias("doc_id"), "line", "kind")
+
+
+@query(rf"""SELECT id, CASE WHEN regexp_matches(trim(created_at), '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN trim(created_at) ELSE '{TODAY}' END AS day FROM api_docs WHERE created_at IS NOT NULL""")
 def date_parse(t: Tables):
     return t.api_docs.where("created_at is not null").select("id", dates.parsed_date(F.col("created_at"), TODAY).alias("day"))
 

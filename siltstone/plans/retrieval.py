@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import scores
-from siltstone.functions.keys import norm_key
+from siltstone.functions.keys import concept_list, norm_key
 from siltstone.operators import fts, search
+from siltstone.plans.documents import _CONCEPTS
 from siltstone.plans.registry import Tables, query
+from siltstone.storage import new_folder, stored
 
 #: Terms of the fixed text queries and the id of the fixed vector query.
 TERMS = ["index", "search"]
@@ -26,12 +28,27 @@ _TOP20 = f"(SELECT doc_id AS id, score FROM {_BM25} ORDER BY score DESC, doc_id
 _VEC20 = f"(SELECT vec_id AS id, {_DISTANCE} AS distance FROM embeddings WHERE vec_id <> {VECTOR_ID} ORDER BY distance, id LIMIT 20)"
 
 
-def _docs(t: Tables) -> DataFrame:
-    return t.documents
+_indexes: dict[tuple, fts.Index] = {}
+
+
+def _index(t: Tables, name: str = "documents", stem: bool = False) -> fts.Index:
+    """The stored index of a table, built once a session: searches read it, never the texts."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name, stem)
+    if key not in _indexes:
+        docs, key_col, cols = (t.documents, "doc_id", ["text"]) if name == "documents" else (_records(t), "id", ["content", "concepts"])
+        _indexes[key] = fts.Index.build(docs, key_col, cols, new_folder(t.spark, f"fts-{name}"), buckets=16, stem=stem)
+    return _indexes[key]
+
+
+def _records(t: Tables) -> DataFrame:
+    """Records with their texts and concepts, each once."""
+    last = F.struct("indexed_at", "content")
+    rows = t.oracle_documents.where("id is not null").groupBy("id").agg(F.max_by("content", last).alias("content"), F.max_by("concepts", last).alias("concepts"))
+    return rows.select("id", "content", concept_list(F.col("concepts")).alias("concepts"))
 
 
 def _ranked_text(t: Tables, k: int = 20) -> DataFrame:
-    return fts.top_k(fts.bm25(_docs(t), "doc_id", F.col("text"), TERMS), k).select(F.col("doc_id").alias("id"), "score")
+    return fts.top_k(_index(t).scored(" ".join(TERMS)), k).select(F.col("doc_id").alias("id"), "score")
 
 
 def _query_vector(t: Tables) -> list[float]:
@@ -44,28 +61,28 @@ def _near(t: Tables, k: int = 20) -> DataFrame:
 
 @query(f"SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM {_TOKENS}) GROUP BY ALL) GROUP BY term")
 def fts_postings(t: Tables):
-    index = fts.postings(_docs(t), "doc_id", ["text"])
+    index = _index(t).postings()
     return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
 @query(f"SELECT doc_id FROM {_TOKENS} WHERE list_contains(toks, 'index') AND list_contains(toks, 'search')")
 def fts_match_and(t: Tables):
-    return fts.match(_docs(t), "doc_id", F.col("text"), every=TERMS)
+    return _index(t).scored("index AND search").select("doc_id")
 
 
 @query(f"SELECT doc_id FROM {_TOKENS} WHERE list_contains(toks, 'ledger') OR list_contains(toks, 'archiv')")
 def fts_match_or(t: Tables):
-    return fts.match(_docs(t), "doc_id", F.col("text"), some=["ledger", "archiv"])
+    return _index(t).scored("ledger OR archiv").select("doc_id")
 
 
 @query(f"SELECT doc_id FROM {_TOKENS} WHERE list_contains(toks, 'index') AND NOT list_contains(toks, 'search')")
 def fts_match_not(t: Tables):
-    return fts.match(_docs(t), "doc_id", F.col("text"), every=["index"], none=["search"])
+    return _index(t).scored("index NOT search").select("doc_id")
 
 
 @query(f"SELECT count(*) AS total FROM {_TOKENS} WHERE list_contains(toks, 'index') AND list_contains(toks, 'search')")
 def fts_total(t: Tables):
-    return fts.match(_docs(t), "doc_id", F.col("text"), every=TERMS).agg(F.count("*").alias("total"))
+    return _index(t).scored("index search").agg(F.count("*").alias("total"))
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM {_BM25} ORDER BY score DESC, doc_id LIMIT 20")
@@ -82,10 +99,26 @@ def fts_normalised(t: Tables):
 @query()
 def fts_stemmed(t: Tables):
     """Postings of documents by Porter stem: stems with their documents and occurrences."""
-    index = fts.stemmed(fts.postings(_docs(t), "doc_id", ["text"]))
+    index = _index(t, stem=True).postings().withColumnRenamed("term", "stem")
     return index.groupBy("stem").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
+#: Spellings that Porter's algorithm (1980) reduces to one stem each.
+_FORMS = {"index": ("index", "indexed", "indexes", "indexing", "indexer", "indexers"), "note": ("note", "notes", "noted", "noting"), "deploy": ("deploy", "deploys", "deployed", "deploying", "deployment", "deployments")}
+_RECORD_TOKENS = rf"""(SELECT id, list_filter(string_split_regex(lower(coalesce(content, '') || ' ' || array_to_string(terms, ' ')), '[^\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: x <> '') AS toks
+    FROM (SELECT id, arg_max(content, (indexed_at, content)) AS content, coalesce(arg_max({_CONCEPTS}, (indexed_at, content)), []) AS terms FROM oracle_documents WHERE id IS NOT NULL GROUP BY id))"""
+
+
+def _form(stem: str) -> str:
+    return "len(list_intersect(toks, [" + ", ".join(f"'{w}'" for w in _FORMS[stem]) + "])) > 0"
+
+
+@query(f"SELECT id AS doc_id FROM {_RECORD_TOKENS} WHERE ({_form('index')} AND {_form('note')}) OR ({_form('deploy')} AND NOT {_form('note')})")
+def fts_records(t: Tables):
+    """Search by stems over contents and concepts, with all operators: words side by side, NOT and OR."""
+    return _index(t, "records", stem=True).scored("indexing notes OR deployments NOT noted").select("doc_id")
+
+
 @query(f"SELECT vec_id AS id, round({_DISTANCE}, 5) AS distance FROM embeddings WHERE vec_id <> {VECTOR_ID} ORDER BY {_DISTANCE}, vec_id LIMIT 10")
 def knn_by_id(t: Tables):
     return _near(t, 10).select("id", F.round("distance", 5).alias("distance"))
@@ -128,32 +161,48 @@ def hybrid_http(t: Tables):
     return search.fuse_best(text_leg, vector_leg).select("id", F.round("score", 5).alias("score"), "source")
 
 
-def _half(t: Tables, start: int, k: int = 20) -> DataFrame:
-    """Nearest neighbours by one half of the vector: two models on the same ids."""
-    q = _query_vector(t)[start : start + 32]
-    part = t.embeddings.select("vec_id", F.slice("embedding", start + 1, 32).alias("v"))
-    return search.nearest(part, "vec_id", "v", q, k, exclude=VECTOR_ID).select("id", (F.lit(1.0) - F.col("distance")).alias("score"))
+#: A vector is usable if it has its model's usual length and is finite and not zero.
+_KEY = r"lower(regexp_replace(id, '^\s+|\s+$', '', 'g'))"
+_USABLE = f"""(SELECT DISTINCT model_key AS model, {_KEY} AS id, CAST(vector AS DOUBLE[]) AS x FROM vector_documents JOIN (SELECT model_key AS m, arg_max(d, (n, -d)) AS d FROM (SELECT model_key, len(vector) AS d, count(*) AS n FROM vector_documents WHERE vector IS NOT NULL GROUP BY ALL) GROUP BY 1) u ON u.m = model_key AND len(vector) = u.d
+    WHERE len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
+#: The two models with the most records, and the first record that both have one vector of; no record has more than two models.
+PAIR = ("fjord-base", "moss-small")
+_ASKED = f"(SELECT min(id) FROM (SELECT id FROM {_USABLE} WHERE model IN {PAIR} GROUP BY id HAVING count(DISTINCT model) = 2 AND count(*) = 2))"
+
+
+def _models(t: Tables, k: int = 20) -> DataFrame:
+    """``(model, id, score, rank)``: the nearest records of one record under each of two models, in one scan."""
+    usual = t.vector_documents.where("vector is not null").groupBy("model_key", F.size("vector").alias("d")).agg(F.count("*").alias("n")).groupBy("model_key").agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("d"))
+    usable = t.vector_documents.join(F.broadcast(usual), "model_key").where((F.size("vector") == F.col("d")) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
+    usable = usable.where(F.col("model_key").isin(*PAIR)).select("model_key", norm_key(F.col("id")).alias("id"), "vector")
+    both = usable.distinct().groupBy("id").agg(F.countDistinct("model_key").alias("m"), F.count("*").alias("n"), F.collect_list(F.struct("model_key", "vector")).alias("own")).where("m = 2 and n = 2")
+    asked = both.orderBy("id").limit(1).collect()  # one row: the record asked for
+    queries = {r["model_key"]: list(r["vector"]) for r in (asked[0]["own"] if asked else [])}
+    return search.nearest_each(usable, "model_key", "id", "vector", queries, k, exclude=asked[0]["id"] if asked else None)
 
 
-def _half_sql(start: int, k: int = 20) -> str:
-    d = _DOT.format(a=f"embedding[{start + 1}:{start + 32}]", b=f"(SELECT embedding[{start + 1}:{start + 32}] FROM embeddings WHERE vec_id = {VECTOR_ID})")
-    return f"(SELECT vec_id AS id, {d} AS score FROM embeddings WHERE vec_id <> {VECTOR_ID} ORDER BY score DESC, id LIMIT {k})"
+def _models_sql(k: int = 20) -> str:
+    return f"""(WITH u AS {_USABLE}, q AS (SELECT * FROM u WHERE id = {_ASKED}) SELECT model, id, score, row_number() OVER (PARTITION BY model ORDER BY score DESC, id) AS rank FROM (
+        SELECT u.model, u.id, max(list_cosine_similarity(u.x, q.x)) AS score FROM u JOIN q ON u.model = q.model AND u.id <> q.id GROUP BY u.model, u.id) QUALIFY rank <= {k})"""
 
 
-@query(f"""SELECT coalesce(a.id, b.id) AS id, round(CASE WHEN b.score > a.score THEN least(1.0, b.score + 0.05) ELSE coalesce(a.score, b.score) END, 5) AS score,
-    CASE WHEN b.score > a.score THEN 'hybrid' ELSE 'vector' END AS source FROM {_half_sql(0, 60)} a FULL OUTER JOIN {_half_sql(32, 60)} b ON a.id = b.id""")
+@query(f"""WITH m AS {_models_sql(60)}, a AS (SELECT * FROM m WHERE model = '{PAIR[0]}'), b AS (SELECT * FROM m WHERE model = '{PAIR[1]}')
+    SELECT coalesce(a.id, b.id) AS id, round(CASE WHEN b.score > a.score THEN least(1.0, b.score + 0.05) ELSE coalesce(a.score, b.score) END, 5) AS score,
+    CASE WHEN b.score > a.score THEN 'hybrid' ELSE 'vector' END AS source FROM a FULL OUTER JOIN b ON a.id = b.id""")
 def multi_model_merge(t: Tables):
-    return search.merge_models(_half(t, 0, 60), _half(t, 32, 60)).select("id", F.round("score", 5).alias("score"), "source")
+    """The lists of two of the models put together."""
+    lists = stored(_models(t, 60), "models")
+    of = lambda m: lists.where(F.col("model") == m).select("id", "score")
+    return search.merge_models(of(PAIR[0]), of(PAIR[1])).select("id", F.round("score", 5).alias("score"), "source")
 
 
-_MODELS = f"""(SELECT model, id, row_number() OVER (PARTITION BY model ORDER BY score DESC, id) AS rank FROM (
-    SELECT 'a' AS model, id, score FROM {_half_sql(0)} UNION ALL SELECT 'b', id, score FROM {_half_sql(32)} UNION ALL SELECT 'c', id, 1 - distance FROM {_VEC20}))"""
+_MODELS = _models_sql()
 
 
-def _models(t: Tables) -> DataFrame:
-    lists = {"a": _half(t, 0), "b": _half(t, 32), "c": _near(t).select("id", (F.lit(1.0) - F.col("distance")).alias("score"))}
-    named = [df.withColumn("model", F.lit(m)) for m, df in lists.items()]
-    return search.rank_lists(named[0].unionByName(named[1]).unionByName(named[2]))
+@query(f"SELECT m.model_key AS model, coalesce(results, 0) AS results, CASE WHEN results IS NULL THEN 'no results' END AS error FROM (SELECT unnest(['fjord-base', 'moss-small', 'absent']) AS model_key) m LEFT JOIN (SELECT model, count(*) AS results FROM {_MODELS} GROUP BY model) r ON r.model = m.model_key")
+def compare_settled(t: Tables):
+    """How each model asked for did, one of which does not exist."""
+    return search.settled(_models(t), [*PAIR, "absent"])
 
 
 @query(f"SELECT round(coalesce(max(n) / sum(n), 0), 4) AS agreement FROM (SELECT id, count(*) AS n FROM {_MODELS} WHERE rank = 1 GROUP BY id)")
@@ -161,7 +210,7 @@ def agree_top1(t: Tables):
     return search.agreement_at(_models(t), 1)
 
 
-@query(f"SELECT round(count(*) FILTER (m = 3) / count(*), 4) AS jaccard FROM (SELECT id, count(DISTINCT model) AS m FROM {_MODELS} WHERE rank <= 5 GROUP BY id)")
+@query(f"SELECT round(count(*) FILTER (m = 2) / count(*), 4) AS jaccard FROM (SELECT id, count(DISTINCT model) AS m FROM {_MODELS} WHERE rank <= 5 GROUP BY id)")
 def agree_jaccard5(t: Tables):
     return search.top_jaccard(_models(t), 5)
 
@@ -177,10 +226,10 @@ def agree_shared_ids(t: Tables):
 
 
 @query(f"""SELECT (SELECT round(coalesce(max(n) / sum(n), 0), 4) FROM (SELECT id, count(*) AS n FROM {_MODELS} WHERE rank = 1 GROUP BY id)) AS agreement,
-    (SELECT round(count(*) FILTER (m = 3) / count(*), 4) FROM (SELECT id, count(DISTINCT model) AS m FROM {_MODELS} WHERE rank <= 5 GROUP BY id)) AS jaccard,
+    (SELECT round(count(*) FILTER (m = 2) / count(*), 4) FROM (SELECT id, count(DISTINCT model) AS m FROM {_MODELS} WHERE rank <= 5 GROUP BY id)) AS jaccard,
     (SELECT round(coalesce(avg(s), 0), 4) FROM (SELECT max(rank) - min(rank) AS s FROM {_MODELS} GROUP BY id HAVING count(*) >= 2)) AS avg_shift""")
 def compare_bundle(t: Tables):
-    m = _models(t)
+    m = stored(_models(t), "models")
     return search.agreement_at(m, 1).crossJoin(search.top_jaccard(m)).crossJoin(search.rank_shift(m))
 
 
