@@ -36,8 +36,8 @@ def mean_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def principal_axes(vectors: DataFrame, vector: str, k: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, the first ``k`` axes and their variances, from one pass of partial d x d sums.
 
-    Each task sends one count, sum and Gram matrix; they are added on the driver, d*d numbers a task.
-    An axis points the way of its largest component.
+    Each task sends its count, sum and the rows of its Gram matrix; rows of the same place are added in tasks of their own, so that
+    d + 2 rows of d numbers come to the driver, however many tasks there were.  An axis points the way of its largest component.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,13 +47,16 @@ def principal_axes(vectors: DataFrame, vector: str, k: int = 3) -> tuple[np.ndar
                 x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
                 n, total, gram = n + len(x), total + x.sum(0), gram + x.T @ x
         if n:
-            yield pd.DataFrame({"n": [n], "total": [total], "gram": [gram.ravel()]})
+            yield pd.DataFrame({"place": [-2, -1, *range(len(gram))], "part": [np.array([float(n)]), total, *gram]})
 
-    rows = vectors.select(vector).where(F.col(vector).isNotNull()).mapInPandas(partial, "n long, total array<double>, gram array<double>").collect()
-    n = sum(r["n"] for r in rows)
-    mean = np.sum([r["total"] for r in rows], axis=0) / n
-    d = len(mean)
-    cov = np.sum([np.reshape(r["gram"], (d, d)) for r in rows], axis=0) / n - np.outer(mean, mean)
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"place": pdf["place"].iloc[:1], "part": [np.sum(np.stack(pdf["part"].to_numpy()), axis=0)]})
+
+    parts = vectors.select(vector).where(F.col(vector).isNotNull()).mapInPandas(partial, "place int, part array<double>")
+    rows = {r["place"]: np.asarray(r["part"]) for r in parts.groupBy("place").applyInPandas(added, "place int, part array<double>").collect()}
+    n = rows[-2][0]
+    mean = rows[-1] / n
+    cov = np.stack([rows[i] for i in range(len(mean))]) / n - np.outer(mean, mean)
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:k]
     axes = axes[:, order]

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,22 +31,51 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed with the tables."""
+    path = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def new_state(spark: SparkSession, path: str) -> None:
+    """Has a stream's state below the shared folder removed with the tables."""
+    _made.append((spark, path))
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of what was written."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def workspace() -> Iterator[None]:
+    """Tables stored inside are removed at the end: for a driver that lives long, around computing and writing a result.
+
+    What is read lazily after it has gone, so results have to be written (or collected) inside.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for spark, path in _made[before:]:
+            _delete(spark, path)
+        del _made[before:]
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
     """Rows over all cores where a scan has fewer pieces than there are cores, as with one small file.
 
-    For work that costs far more than moving the rows.  A scan of many files or row groups stays as it is.
+    For work that costs far more than moving the rows, and only up to ``most_bytes`` of input: a larger scan is split where it is read
+    (``spark.sql.files.maxPartitionBytes``) and never moved.
     """
+    execution = df._jdf.queryExecution()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    if execution.optimizedPlan().stats().sizeInBytes().bitLength() > most_bytes.bit_length() - 1 or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import new_folder, new_state
+
 
 def daily_growth(stream: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Rows a UTC day and type; state of a day is dropped once the watermark passes it."""
@@ -21,11 +23,30 @@ def sessions(stream: DataFrame, who: str = "user_id", ts: str = "ts", gap: str =
     return grouped.select(who, F.unix_millis("session_window.start").alias("start_ms"), F.unix_millis("session_window.end").alias("end_ms"), "n")
 
 
-def drained(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming frame over everything there is now and returns its final table."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return result.sparkSession.table(name)
+def drained(result: DataFrame, name: str) -> DataFrame:
+    """Runs a streaming aggregate over everything there is now and returns its final table.
+
+    For replays: results are kept whole ('complete'), each micro-batch's in Parquet files, and the last one is read; the driver holds nothing.
+    """
+    spark, folder = result.sparkSession, new_folder(result.sparkSession, name)
+    batches: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        batches.append(number)
+
+    options = {"checkpointLocation": f"{folder}-state"}
+    new_state(spark, options["checkpointLocation"])
+    result.writeStream.outputMode("complete").foreachBatch(keep).options(**options).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{folder}/{max(batches)}") if batches else spark.createDataFrame([], result.schema)
+
+
+def appended(result: DataFrame, path: str, checkpoint: str):
+    """Appends every window once its watermark has passed to Parquet files, and drops its state; gives the running query.
+
+    For live streams: rows later than the watermark are not counted, windows still open are not there yet.
+    """
+    return result.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
 def queue_worker(jobs: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
