@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ def stale(indexed: DataFrame, disk: DataFrame, path: str, *, owned: Column, most
     """Indexed rows whose file is gone, with ``allowed``: whether their share stays within the guard.
 
     Only rows that ``owned`` says the indexer made are looked at; above ``most`` of them nothing may be deleted.
+    The guards against a missing folder and an empty collection are those of :func:`siltstone.operators.indexing.run`.
     """
     mine = indexed.where(owned)
     gone = mine.join(disk.select(path).distinct(), path, "left_anti")
@@ -63,6 +66,70 @@ def import_plan(docs: DataFrame, state: DataFrame) -> DataFrame:
     return live.unionByName(gone)
 
 
+def apply_plan(docs: DataFrame, plan: DataFrame, imported: DataFrame, now: int) -> DataFrame:
+    """The table after an import: planned updates change the columns they bring, planned creations are added; nothing is deleted.
+
+    ``plan(id, action)`` as :func:`import_plan` gives it, ``imported`` has id and columns of the table.  A tombstone only warns.
+    """
+    wanted = plan.where(F.col("action").isin("update", "create")).select("id", "action").distinct()
+    rows = imported.join(wanted, "id")
+    changes = rows.where("action = 'update'").drop("action")
+    fresh = rows.where("action = 'create'").drop("action").withColumns({c: F.lit(now).cast("long") for c in ("created_at", "updated_at", "indexed_at") if c in docs.columns})
+    return patched(docs, changes, now).unionByName(docs.limit(0).unionByName(append_absent(docs, fresh, "id"), allowMissingColumns=True))
+
+
+def plan_summary(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("action").agg(F.count("*").alias("n"))
+
+
+def merged_state(prior: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(id, path, hash)`` of a vault after an import: entries of imported records are new, all others stay; records without id have none."""
+    fresh = docs.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("path", "hash")).alias("r")).select("id", "r.path", "r.hash")
+    return prior.join(fresh.select("id"), "id", "left_anti").select("id", "path", "hash").unionByName(fresh)
+
+
+def patched(docs: DataFrame, changes: DataFrame, now: int) -> DataFrame:
+    """The table with ``changes``: id and any columns; a null leaves a value, concepts are lower-cased and made distinct, unknown ids change nothing."""
+    cols = [c for c in changes.columns if c != "id" and c in docs.columns]
+    j = docs.join(changes.select("id", *(F.col(c).alias(f"__{c}") for c in cols), F.lit(True).alias("__hit")), "id", "left")
+    fresh = {c: F.array_distinct(F.transform(F.filter(f"__{c}", lambda x: x.isNotNull() & (x != "")), F.lower)) if c == "concepts" else F.col(f"__{c}") for c in cols}
+    put = {c: F.coalesce(v, F.col(c)) for c, v in fresh.items()}
+    put |= {c: F.when(F.col("__hit"), F.lit(now)).otherwise(F.col(c)) for c in ("updated_at", "indexed_at") if c in docs.columns}
+    return j.withColumns(put).select(*docs.columns)
+
+
+def inserted(docs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table with the rows of ``new`` whose id it lacks, and the ids that exist already (a conflict of the caller)."""
+    return docs.unionByName(append_absent(docs, new, "id"), allowMissingColumns=True), new.join(docs.select("id"), "id", "left_semi").select("id")
+
+
+def settings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A key-value table with the keys of ``new(key, value)`` replaced."""
+    return upsert(old.select("key", "value"), new.select("key", "value"), "key", keep=[])
+
+
+def seeded(old: DataFrame, seed: DataFrame, key: list[str], now: int) -> tuple[DataFrame, DataFrame]:
+    """A table after a seed is merged, and each seed row's outcome: 'inserted', 'updated', 'unchanged', or 'preserved' where people changed or made the row.
+
+    ``old`` has ``source`` ('seed' for rows that a seed made) and ``touched_at``, null while nobody changed the row; keys compare nulls as equal.
+    """
+    cols = [c for c in seed.columns if c not in key]
+    o = old.select(*(F.col(c).alias(f"__k_{c}") for c in key), *(F.col(c).alias(f"__o_{c}") for c in cols), F.col("source").alias("__source"), F.col("touched_at").alias("__touched"), F.lit(True).alias("__old"))
+    same_key = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in key))
+    differs = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in cols))
+    free = F.coalesce(F.col("__source") == "seed", F.lit(False)) & F.col("__touched").isNull()
+    outcome = F.when(F.col("__old").isNull(), "inserted").when(~free, "preserved").when(differs, "updated").otherwise("unchanged")
+    judged = seed.join(o, same_key, "left").select(*seed.columns, outcome.alias("outcome"))
+    wins = judged.where(F.col("outcome").isin("inserted", "updated"))
+    w = wins.select(*(F.col(c).alias(f"__k_{c}") for c in key), *(F.col(c).alias(f"__n_{c}") for c in cols), F.col("outcome").alias("__outcome"))
+    put = {c: F.when(F.col("__outcome").isNotNull(), F.col(f"__n_{c}")).otherwise(F.col(c)) for c in cols}
+    if "updated_at" in old.columns:
+        put["updated_at"] = F.when(F.col("__outcome").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))
+    kept = old.join(w.where("__outcome = 'updated'"), same_key, "left").withColumns(put).select(*old.columns)
+    fresh = wins.where("outcome = 'inserted'").drop("outcome").withColumns({"source": F.lit("seed")} | {c: F.lit(now).cast("long") for c in ("created_at", "updated_at") if c in old.columns})
+    return kept.unionByName(old.limit(0).unionByName(fresh, allowMissingColumns=True)), judged.select(*key, "outcome")
+
+
 def unique_slugs(df: DataFrame, slug: str, order: list[str], suffix: Column) -> DataFrame:
     """The first row of a slug keeps it, later ones get a suffix."""
     at = F.row_number().over(Window.partitionBy(slug).orderBy(*order))

@@ -17,11 +17,15 @@ def by_type(df: DataFrame, kind: str, col: str = "type") -> DataFrame:
     return df if kind == "all" else df.where(F.col(col) == kind)
 
 
-def in_scope(df: DataFrame, project: str | None, col: str = "project") -> DataFrame:
-    """Rows of a project and rows of none, which are everyone's; no project keeps everything."""
+def in_scope(df: DataFrame, project: str | None, col: str = "project", *, lowered: bool = False) -> DataFrame:
+    """Rows of a project and rows of none, which are everyone's; no project keeps everything.
+
+    Of a table whose projects were lower-cased when it was written (``lowered``) the filter reaches the Parquet scan.
+    """
     if project is None:
         return df
-    return df.where((F.lower(col) == project.lower()) | F.col(col).isNull())
+    own = F.col(col) if lowered else F.lower(col)
+    return df.where((own == project.lower()) | F.col(col).isNull())
 
 
 def after(df: DataFrame, col: str, since: int) -> DataFrame:
@@ -77,6 +81,42 @@ def sample_per_group(df: DataFrame, key: str, id_col: str, n: int, seed: int) ->
     return df.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= n).drop("__at")
 
 
+def has_more(hits: DataFrame, page: DataFrame, offset: int) -> DataFrame:
+    """One row: ``total`` hits, and whether rows are left behind the page."""
+    total, rows = hits.agg(F.count("*").alias("total")), page.agg(F.count("*").alias("__rows"))
+    return total.crossJoin(F.broadcast(rows)).select("total", (F.lit(max(0, offset)) + F.col("__rows") < F.col("total")).alias("has_more"))
+
+
+def clamped(value: int | None, default: int, least: int, most: int) -> int:
+    """A request's number within its bounds; none or zero is the default."""
+    return min(most, max(least, value or default))
+
+
+def enum_order(c: Column, values: list[str]) -> Column:
+    """Sort key of a fixed order of values; others come last."""
+    out = F.lit(len(values))
+    for place, value in reversed(list(enumerate(values))):
+        out = F.when(c == value, place).otherwise(out)
+    return out
+
+
+def in_view(df: DataFrame, view: str, col: str = "scope") -> DataFrame:
+    """Rows of a view and rows for both; the view 'both' keeps everything."""
+    return df if view == "both" else df.where((F.col(col) == view) | (F.col(col) == "both") | F.col(col).isNull())
+
+
+# projections
+
+def filled(c: Column, default: Column) -> Column:
+    """``c``, or the default where it is null or empty."""
+    return F.coalesce(F.nullif(c, F.lit("")), default)
+
+
+def present(c: Column) -> Column:
+    """Whether there is a text at all."""
+    return F.coalesce(c != "", F.lit(False))
+
+
 # aggregates
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -102,6 +142,29 @@ def growth(df: DataFrame, ms: Column, now: int, days: int) -> DataFrame:
     return every.join(F.broadcast(counted), "bucket", "left").select("bucket", label.alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def source_mix(hits: DataFrame) -> DataFrame:
+    """How many hits of a page came from text, from vectors and from both."""
+    return hits.agg(*(F.count_if(F.col("source") == s).alias(s) for s in ("fts", "vector", "hybrid")))
+
+
+def files_of(docs: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """``(file, id, type, project, created_at, concepts, chunk_ids)``: one row a file, from its first record by ``order``.
+
+    Concepts are those of all its records in first-seen order, chunk ids all records' ids.  A file is meant to have a bounded number of records.
+    """
+    rows = docs.where(F.col(path).isNotNull())
+    item = F.struct(*order, *(c for c in ("id", "type", "project", "created_at", "concepts") if c not in order))
+    merged = rows.groupBy(F.col(path).alias("file")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    first = lambda c: F.col("items")[0][c].alias(c)
+    union = F.array_distinct(F.flatten(F.transform("items", lambda s: F.coalesce(s["concepts"], F.array().cast("array<string>")))))
+    return merged.select("file", first("id"), first("type"), first("project"), first("created_at"), union.alias("concepts"), F.transform("items", lambda s: s["id"]).alias("chunk_ids"))
+
+
+def last_indexed(docs: DataFrame, path: str) -> DataFrame:
+    """``(file, indexed_at, ids)``: when each file was last indexed, and its records in id order."""
+    return docs.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("file")).agg(F.max("indexed_at").alias("indexed_at"), F.sort_array(F.collect_set("id")).alias("ids"))
+
+
 def identity_rollup(legs: list[tuple[DataFrame, Column, Column, str]]) -> DataFrame:
     """Last seen time, actions and source of the last action of every identity over several logs.
 

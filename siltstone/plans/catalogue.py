@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import documents, exporting, graphs, registry, retrieval
+from siltstone.plans import documents, exporting, graphs, records, registry, retrieval
 
-_MODULES = (documents, retrieval, graphs, exporting)
+_MODULES = (documents, retrieval, graphs, exporting, records)
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.api import KnowledgeBase
-from siltstone.functions import markup
+from siltstone.functions import markup, scores
 from siltstone.operators import embed, exports, fts, graph, ingest, layout, merge, queue, relational as rel, search
 from siltstone.sources import files, sinks
 from siltstone.streaming import live
@@ -29,20 +29,36 @@ def docs(spark):
 
 # full text
 
-def test_match_and_rank(spark):
-    d, text = docs(spark), F.col("content")
-    assert rows(fts.match(d, "id", text, every=["search"])) == [("a",), ("b",)]
-    assert rows(fts.match(d, "id", text, some=["git", "deleted"])) == [("a",), ("c",)]
-    assert rows(fts.match(d, "id", text, every=["search"], none=["git"])) == [("b",)]
-    assert [r["doc_id"] for r in fts.top_k(fts.bm25(d, "id", text, ["search"]), 5).collect()] == ["b", "a"]
-    assert fts.bm25(d, "id", text, ["absent"]).count() == 0 and fts.bm25(d.limit(0), "id", text, ["search"]).count() == 0
+def test_queries_parse():
+    p = fts.parse
+    assert p("a b") == ("and", "a", "b") and p("A or B") == ("and", ("and", "a", "or"), "b")
+    assert p("a b OR c") == ("or", ("and", "a", "b"), "c") and p("a NOT b c") == ("not", "a", ("and", "b", "c"))
+    assert p("NOT a") == ("not", None, "a") and p("a OR") == "a" and p("AND") is None and p("") is None and p("a AND b OR c NOT d") == ("or", ("and", "a", "b"), ("not", "c", "d"))
+    assert p("foo-bar") == ("and", "foo", "bar") and fts.words_of(p("a OR b NOT c")) == ["a", "b", "c"]
+
+
+def test_match_and_rank(spark, tmp_path):
+    index = fts.Index.build(docs(spark), "id", ["content"], str(tmp_path / "index"), buckets=4)
+    found = lambda q: rows(index.scored(q).select("doc_id"))
+    assert found("search") == [("a",), ("b",)] and found("git OR deleted") == [("a",), ("c",)] and found("search NOT git") == [("b",)]
+    assert found("NOT search") == [("c",)] and found("absent") == [] and found("") == [] and found("git latency") == []
+    assert [r["doc_id"] for r in fts.top_k(index.scored("search"), 5).collect()] == ["b", "a"]
+    n, df, dl, avgdl, tf = 3, 2, 4, 11 / 3, 2
+    score = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+    assert index.scored("search").where("doc_id = 'b'").first()["score"] == pytest.approx(score)
+    plan = index.postings(["git"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [bucket" in plan
+    empty = fts.Index.build(docs(spark).limit(0), "id", ["content"], str(tmp_path / "none"), buckets=2)
+    assert empty.scored("search").count() == 0
 
 
 def test_stored_index(spark, tmp_path):
-    index = fts.postings(docs(spark), "id", ["content"])
-    fts.write_index(index, str(tmp_path / "index"), 4)
-    got = fts.read_terms(spark, str(tmp_path / "index"), ["search", "git"], 4).select("term", "doc_id", "tf")
-    assert rows(got) == [("git", "a", 1), ("search", "a", 1), ("search", "b", 2)]
+    index = fts.Index.build(docs(spark), "id", ["content", "concepts"], str(tmp_path / "index"), buckets=4, stem=True)
+    assert rows(index.postings(["search", "git"]).select("term", "doc_id", "col", "tf")) == [("git", "a", "concepts", 1), ("git", "a", "content", 1), ("git", "b", "concepts", 1), ("search", "a", "content", 1), ("search", "b", "content", 2)]
+    assert rows(index.scored("searching rule").select("doc_id")) == [("a",)] and rows(index.scored("note").select("doc_id")) == [("b",), ("c",)]
+    change = docs(spark).where("id = 'a'").withColumn("content", F.lit("other words"))
+    again = index.updated(change, "id", ["content", "concepts"], str(tmp_path / "next"), removed=spark.createDataFrame([("c",)], "doc_id string"))
+    assert rows(again.scored("search").select("doc_id")) == [("b",)] and rows(again.scored("other git").select("doc_id")) == [("a",)] and again.documents().count() == 2
 
 
 # fusion and agreement
@@ -75,6 +91,35 @@ def test_agreement(spark):
     assert rows(search.shared_ids(ranked)) == [("a", 3), ("c", 2)]
 
 
+@pytest.mark.parametrize("d", [384, 1024, 4096])
+def test_nearest_in_many_dimensions(spark, d):
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((40, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = [("m", i, v.tolist()) for i, v in enumerate(x)] + [("m", 90, None), ("m", 91, [1.0] * (d - 1)), ("m", 92, [float("nan")] * d), ("n", 5, x[5].tolist()), ("n", 6, [0.0] * d)]
+    v = spark.createDataFrame(data, "model string, id int, v array<float>")
+    best = np.argsort(1 - x @ x[7], kind="stable")[1:6].tolist()
+    assert [r["id"] for r in search.nearest(v.where("model = 'm'"), "id", "v", x[7].tolist(), 5, exclude=7).collect()] == best
+    each = search.nearest_each(v, "model", "id", "v", {"m": x[7].tolist(), "n": x[5].tolist()}, 5, exclude=7)
+    assert [r["id"] for r in each.where("model = 'm'").orderBy("rank").collect()] == best and rows(each.where("model = 'n'").select("id", F.round("score", 4))) == [(5, 1.0)]
+    assert rows(search.settled(each, ["m", "n", "o"])) == [("m", 5, None), ("n", 1, None), ("o", 0, "no results")]
+    one = spark.createDataFrame([(x[0].tolist(),)], "v array<double>").select(scores.dot_literal(F.col("v"), x[1].tolist())).first()[0]
+    assert one == pytest.approx(float(x[0] @ x[1]))
+
+
+def test_links_are_exact_in_cells_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((12, 16)), 30, axis=0) + rng.standard_normal((360, 16)) * 0.2
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<float>")
+    score = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(score, -2)
+    for threshold, most in ((0.8, 400), (-2.0, 3)):
+        got = {(a, b) for a, b, _ in rows(search.similar_links(v, "id", "v", v.where("id % 20 = 0"), threshold=threshold, most=most, block=16))}
+        want = {(i, int(j)) for i in range(0, 360, 20) for j in np.argsort(-score[i], kind="stable")[:most] if score[i, j] >= threshold}
+        assert got == want and len(want) > 50
+
+
 def test_nearest_and_links(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0]), (4, None)], "id int, v array<float>")
     hits = search.nearest(v.where("v is not null"), "id", "v", [1.0, 0.0], 2, exclude=1).collect()
@@ -87,6 +132,23 @@ def test_nearest_and_links(spark):
 
 # graphs and maps
 
+def test_walk_of_wide_and_layered_graphs(spark):
+    hub = spark.range(1, 1_200_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    assert graph.walk(hub, spark.createDataFrame([(0,)], "id long")).count() == 1_200_001
+    layers = spark.createDataFrame([(2 * i + a, 2 * i + 2 + b) for i in range(21) for a in (0, 1) for b in (0, 1)], "src long, dst long")
+    got = rows(graph.walk(layers, spark.createDataFrame([(0,)], "id long")))
+    assert len(got) == 43 and max(d for *_, d in got) == 21
+
+
+def test_chains(spark):
+    links = [("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "z"), ("z", "x"), ("alone", None), ("p", "gone"), ("q", "c"), ("s", "s")]
+    got = dict((i, (h, n)) for i, h, n in rows(graph.chains(spark.createDataFrame(links, "id string, next string"))))
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "x": ("x", 0), "y": ("x", 1), "z": ("x", 2), "alone": ("alone", 0), "p": ("p", 0), "q": ("q", 0), "s": ("s", 0)}
+    long = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 2999, F.col("id") + 1).alias("next"))
+    assert graph.chains(long).where("head = 0 and position = id").count() == 3000
+    assert graph.chains(spark.createDataFrame([], "id string, next string")).count() == 0
+
+
 def test_walk_ends_in_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     assert rows(graph.walk(edges, spark.createDataFrame([("a",)], "id string"))) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
@@ -162,8 +224,8 @@ def test_parsers(spark):
     assert rows(ingest.learnings(g, "path", "content", F.lit("T"))) == [("learning_l_1", "learning", "T - A: body"), ("learning_m", "learning", "no section")]
     h = spark.createDataFrame([("t.md", "## A\nshort\n## B\n" + "y" * 50)], "path string, content string")
     assert rows(ingest.retrospectives(h, "path", "content")) == [("retro_t_1", "retro", "B: " + "y" * 50)]
-    s = spark.createDataFrame([("s.md", "fine\npassword: hunter2222\n")], "path string, content string")
-    assert rows(ingest.secrets(s, "path", "content")) == [("s.md", 2, "assignment", "password: hunter2222")]
+    s = spark.createDataFrame([("s.md", "fine\npassword: hunter2222\nPASSWD='abcdefghij012345'\n")], "path string, content string")
+    assert rows(ingest.secrets(s, "path", "content")) == [("s.md", 3, "env-credential", "PASSWD='abcdefghij012345'")]
 
 
 def test_markdown_tree(spark, tmp_path):
@@ -259,7 +321,12 @@ def test_facade(spark):
     assert base.concepts(1).first()["concept"] == "git" and base.stats(3).first()["docs"] == 3
     grown = KnowledgeBase(spark, base.learned("Write it down", 1_700_000_000_000, concepts="git, Notes"))
     assert grown.read("learning_2023-11-14_write-it-down").first()["concepts"] == ["git", "notes"]
-    assert grown.learned("Write it down", 1_700_000_000_000).count() == 4
+    with pytest.raises(FileExistsError):
+        grown.learned("Write it down", 1_700_000_000_000)
+    broken = KnowledgeBase(spark, base.docs, spark.createDataFrame([("small", "a")], "model_key string, id string"))
+    with pytest.warns(RuntimeWarning):
+        assert {r["source"] for r in broken.search("search git").collect()} == {"fts"}
+    assert {r["id"] for r in base.search("latency OR deleted", mode="fts").collect()} == {"b", "c"} and base.total("search", 1) == 2
     assert base.superseded("a", "b", 5).where("superseded_by = 'b'").count() == 1
     with pytest.raises(KeyError):
         base.superseded("a", "nope", 5)
