@@ -73,7 +73,7 @@ def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
     """
     execution = df._jdf.queryExecution()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if execution.optimizedPlan().stats().sizeInBytes().bitLength() > most_bytes.bit_length() - 1 or execution.toRdd().getNumPartitions() >= cores:
+    if int(str(execution.optimizedPlan().stats().sizeInBytes())) > most_bytes or execution.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
