@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.langnet import CELL, STEPS, Params, forward, train, trigram_rows
+from siltstone.llm.langnet import STEPS, Params, forward, log_softmax, states, train, trigram_rows
 from siltstone.llm.textprep import slices
 from siltstone.storage import spread
 
@@ -33,7 +33,6 @@ NAMES = {
     "pt": ("pt", "por", "portuguese"),
 }
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})[^\n]*(?:\n|\Z)(?:.*?^[ \t]*\1[`~]*[ \t\r]*(?:\n|\Z)|.*\Z)", re.M | re.S)
-_WINDOW = CELL * STEPS
 _kept: list[np.ndarray] = []
 
 
@@ -61,23 +60,22 @@ def without_fences(text: str) -> str:
 class Layout:
     """A batch of texts laid out in windows, each text from the start of a window on.
 
-    ``rows`` are the windows' table rows, ``cell`` the cell of each code point, ``unit`` its sentence or line,
+    ``rows`` are the windows' table rows, ``place`` the position of each code point's first byte in them, ``unit`` its sentence or line,
     numbered through the batch, ``letter`` whether it is a letter.
     """
 
     def __init__(self, texts: list[str], letters: np.ndarray):
         raw = [t.encode("utf-8", "replace") for t in texts]
         sizes = np.fromiter((len(r) for r in raw), np.int64, len(raw))
-        windows = np.maximum(1, -(-sizes // _WINDOW))
-        base = (np.cumsum(windows) - windows) * _WINDOW
-        data = np.zeros(int(windows.sum()) * _WINDOW, np.uint8)
+        windows = np.maximum(1, -(-sizes // STEPS))
+        base = (np.cumsum(windows) - windows) * STEPS
+        data = np.zeros(int(windows.sum()) * STEPS, np.uint8)
         joined = np.frombuffer(b"".join(raw), np.uint8)
         shift = np.repeat(base - (np.cumsum(sizes) - sizes), sizes)
         place = np.arange(len(joined)) + shift
         data[place] = joined
-        self.rows = trigram_rows(data).reshape(-1, STEPS, CELL)
-        heads = (joined & 0xC0) != 0x80
-        self.cell = (place // CELL)[heads]
+        self.rows = trigram_rows(data).reshape(-1, STEPS)
+        self.place = place[(joined & 0xC0) != 0x80]
         points = np.frombuffer("".join(r.decode("utf-8") for r in raw).encode("utf-32-le"), np.uint32)
         self.letter = letters[points]
         self.lengths = np.fromiter((len(r.decode("utf-8")) for r in raw), np.int64, len(raw))
@@ -95,10 +93,16 @@ class Layout:
         self.unit = np.cumsum(starts)
 
 
-def cell_log_probs(params: Params, rows: np.ndarray) -> np.ndarray:
-    """(cells, languages), a thousand windows at a time."""
-    parts = [forward(params, rows[i : i + 1000]).reshape(-1, len(LANGUAGES)) for i in range(0, len(rows), 1000)]
-    return np.concatenate(parts) if parts else np.zeros((0, len(LANGUAGES)), np.float32)
+def log_probs(params: Params, rows: np.ndarray, wanted: np.ndarray, windows: int = 1024) -> np.ndarray:
+    """(positions, languages) of the ``wanted`` positions, which are in order; so many windows at a time that their states stay small."""
+    out = np.empty((len(wanted), len(LANGUAGES)), np.float32)
+    for lo in range(0, len(rows), windows):
+        first, last = np.searchsorted(wanted, (lo * STEPS, (lo + windows) * STEPS))
+        if first < last:
+            held = states(params, rows[lo : lo + windows])
+            at = wanted[first:last] - lo * STEPS
+            out[first:last] = log_softmax(held[at // STEPS, at % STEPS] @ params["out"] + params["bias"])
+    return out
 
 
 def units_of(params: Params, layout: Layout) -> pd.DataFrame:
@@ -106,27 +110,24 @@ def units_of(params: Params, layout: Layout) -> pd.DataFrame:
     n = len(layout.unit)
     if not n:
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("text", "start", "end", "letters", "lang", "mass")})
-    logp = cell_log_probs(params, layout.rows)
-    turn = np.flatnonzero(np.append(True, (layout.unit[1:] != layout.unit[:-1]) | (layout.cell[1:] != layout.cell[:-1])))
-    letters = np.add.reduceat(layout.letter.astype(np.int64), turn)  # of each stretch within one cell and unit
-    unit_of = layout.unit[turn]
-    first = np.flatnonzero(np.append(True, unit_of[1:] != unit_of[:-1]))
-    stretch = logp[layout.cell[turn]]
-    score = np.add.reduceat(stretch * letters[:, None], first, axis=0)
+    first = np.flatnonzero(np.append(True, layout.unit[1:] != layout.unit[:-1]))  # where units begin
+    held = np.flatnonzero(layout.letter)
+    owner = np.searchsorted(first, held, "right") - 1  # the unit of each letter
+    logp = log_probs(params, layout.rows, layout.place[held])
+    letters = np.bincount(owner, minlength=len(first))
+    begin = np.cumsum(letters) - letters
+    some = np.flatnonzero(letters)
+    score = np.zeros((len(first), len(LANGUAGES)), np.float32)
+    if len(some):
+        score[some] = np.add.reduceat(logp, begin[some], axis=0)
     lang = score.argmax(1)
-    own = np.exp(stretch[np.arange(len(turn)), lang[np.cumsum(np.append(0, unit_of[1:] != unit_of[:-1]))]])
-    starts = turn[first]
-    text = layout.text[starts]
+    mass = np.bincount(owner, np.exp(logp[np.arange(len(held)), lang[owner]]), len(first))
+    text = layout.text[first]
     offset = np.cumsum(layout.lengths) - layout.lengths
-    return pd.DataFrame(
-        {
-            "text": text, "start": starts - offset[text], "end": np.append(starts[1:], n) - offset[text],
-            "letters": np.add.reduceat(letters, first), "lang": lang, "mass": np.add.reduceat(own * letters, first),
-        }
-    )
+    return pd.DataFrame({"text": text, "start": first - offset[text], "end": np.append(first[1:], n) - offset[text], "letters": letters, "lang": lang, "mass": mass})
 
 
-def fit(texts: list[str], labels: list[str], *, steps: int = 480) -> Params:
+def fit(texts: list[str], labels: list[str], *, steps: int = 330) -> Params:
     """The network fitted on texts with labels that can be wrong, or name one language of several.
 
     Each half of the texts is judged by a network fitted on the other half, which cannot have learned its mistakes by
@@ -135,9 +136,9 @@ def fit(texts: list[str], labels: list[str], *, steps: int = 480) -> Params:
     """
     layout = Layout([without_fences(t) for t in texts], letter_points())
     windows = len(layout.rows)
-    weights = np.bincount(layout.cell, layout.letter, windows * STEPS).reshape(windows, STEPS)
+    weights = np.bincount(layout.place, layout.letter, windows * STEPS).reshape(windows, STEPS)
     owner = np.zeros(windows, np.int64)
-    owner[layout.cell // STEPS] = layout.text
+    owner[layout.place // STEPS] = layout.text
     y = np.array([LANGUAGES.index(x) for x in labels])
     label = np.repeat(y[owner][:, None], STEPS, axis=1)
     full = weights.sum(1) > 0
@@ -146,9 +147,11 @@ def fit(texts: list[str], labels: list[str], *, steps: int = 480) -> Params:
         learn, judge = full & (owner % 2 == half), full & (owner % 2 != half)
         if learn.any() and judge.any():
             params = train(layout.rows[learn], label[learn], weights[learn], len(LANGUAGES), steps=steps // 3, seed=half)
-            said = cell_log_probs(params, layout.rows[judge]).reshape(-1, STEPS, len(LANGUAGES)).argmax(2)
-            np.add.at(agreed, owner[judge], ((said == label[judge]) * weights[judge]).sum(1))
-            np.add.at(total, owner[judge], weights[judge].sum(1))
+            for lo in range(0, windows, 1024):
+                at = lo + np.flatnonzero(judge[lo : lo + 1024])
+                said = forward(params, layout.rows[at]).argmax(2)
+                np.add.at(agreed, owner[at], ((said == label[at]) * weights[at]).sum(1))
+                np.add.at(total, owner[at], weights[at].sum(1))
     share = agreed / np.maximum(total, 1)
     least = np.array([min(0.8, np.median(share[y == k])) if (y == k).any() else 0.0 for k in range(len(LANGUAGES))])
     clean = full & (share >= least[y])[owner]
@@ -217,7 +220,7 @@ def _labelled(docs: DataFrame, ids: list[str], text: str, params: Params | None,
         letters = letter_points()
         for pdf in batches:
             texts = pdf["__text"].tolist()
-            for lo, hi in slices(texts, 256, 1_000_000):
+            for lo, hi in slices(texts, 256, 500_000):
                 part = pdf.iloc[lo:hi]
                 out = rows(units_of(shipped.value, Layout([without_fences(t) for t in texts[lo:hi]], letters)))
                 out["lang"] = np.array(LANGUAGES, object)[out["lang"].to_numpy().astype(np.int64)]

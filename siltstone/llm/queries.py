@@ -162,23 +162,34 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 # 10: languages
 
+_fitted: dict[tuple[str, str], language.Params | None] = {}
+
+
+def _network(spark: SparkSession, docs: DataFrame, folder: str) -> language.Params | None:
+    """The network of a folder's documents, fitted once a session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _fitted:
+        _fitted[key] = language.fit_sample(docs, "doc_id", "text", "lang")
+    return _fitted[key]
+
+
 def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every language of every document with its share of the letters and a confidence."""
     docs = _table(spark, folder, "documents")
-    return language.document_languages(docs, ["doc_id"], "text", language.fit_sample(docs, "doc_id", "text", "lang"))
+    return language.document_languages(docs, ["doc_id"], "text", _network(spark, docs, folder))
 
 
 def p10_stretches(spark: SparkSession, folder: str) -> DataFrame:
     """Every stretch in one language with a confidence."""
     docs = _table(spark, folder, "documents")
-    return language.stretches(docs, ["doc_id"], "text", language.fit_sample(docs, "doc_id", "text", "lang"))
+    return language.stretches(docs, ["doc_id"], "text", _network(spark, docs, folder))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Languages of the documents that have several, or whose label does not name their one."""
-    docs = _table(spark, folder, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    params = language.fit_sample(docs, "doc_id", "text", "label")
-    own = language.document_languages(docs, ["doc_id", "label"], "text", params)
+    docs = _table(spark, folder, "documents")
+    labelled = docs.select("doc_id", "text", F.col("lang").alias("label"))
+    own = language.document_languages(labelled, ["doc_id", "label"], "text", _network(spark, docs, folder))
     named = language.label_language(F.col("label"))
     return own.where(~F.coalesce((F.col("languages") == 1) & (named == F.col("lang")), F.lit(False))).select("doc_id", "lang")
 

@@ -382,6 +382,31 @@ def test_languages(spark):
     assert all(a["end"] <= b["start"] for a, b in zip(parts, parts[1:], strict=False)) and parts[0]["lang"] == "en" and parts[-1]["lang"] == "de"
 
 
+def test_planted_stretches(spark):
+    """Texts that change language at known places: nearly every letter is in a stretch of its own language."""
+    data, _, _ = language_rows()
+    params = language.fit_sample(spark.createDataFrame(data, "doc_id long, text string, label string"), "doc_id", "text", "label")
+    rng = random.Random(23)
+    planted = {}
+    for i in range(30):
+        parts = [(code, SENTENCES[code] * rng.randrange(1, 4)) for code in rng.choices(list(SENTENCES), k=5)]
+        planted[i] = parts
+    df = spark.createDataFrame([(i, "".join(t for _, t in parts)) for i, parts in planted.items()], "doc_id long, text string")
+    right = total = 0
+    got = defaultdict(list)
+    for r in language.stretches(df, ["doc_id"], "text", params).collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["lang"]))
+    for i, parts in planted.items():
+        truth = [code for code, t in parts for _ in t]
+        body = "".join(t for _, t in parts)
+        said = [None] * len(body)
+        for start, end, code in got[i]:
+            said[start:end] = [code] * (end - start)
+        right += sum(c.isalpha() and x == y for c, x, y in zip(body, said, truth, strict=True))
+        total += sum(c.isalpha() for c in body)
+    assert right >= 0.97 * total
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, "text " * 50, None)], "doc_id long, text string, label string")
     params = language.fit_sample(df, "doc_id", "text", "label")
