@@ -45,37 +45,60 @@ def _both_ways(rows: np.ndarray) -> np.ndarray:
     return np.stack([rows.T, rows.T[::-1] + ROWS], axis=1)
 
 
-def states(p: Params, rows: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States of both directions (windows, STEPS, 2 * HIDDEN) for windows given as (windows, STEPS) table rows."""
+def states(p: Params, rows: np.ndarray) -> np.ndarray:
+    """States of both directions (windows, STEPS, 2 * HIDDEN) for windows given as (windows, STEPS) table rows.
+
+    As :func:`_traced`, without what training needs: biases and the halves of the sigmoids are put into the table and the
+    matrices once, and every step works in the same few arrays.
+    """
     n, steps = rows.shape
     at = _both_ways(rows)
-    kind = p["re"].dtype
-    h = np.zeros((2, n, HIDDEN), kind)
-    out = np.empty((steps, n, 2 * HIDDEN), kind)
-    half = kind.type(0.5)
+    half = np.float32(0.5)
+    table = (p["table"].reshape(2, ROWS, -1) + p["bi"]).reshape(2 * ROWS, -1)
+    gates, inner = np.ascontiguousarray(table[:, : 2 * HIDDEN]) * half, np.ascontiguousarray(table[:, 2 * HIDDEN :])
+    re_gates, re_inner = np.ascontiguousarray(p["re"][..., : 2 * HIDDEN]) * half, np.ascontiguousarray(p["re"][..., 2 * HIDDEN :])
+    h, c, v = (np.zeros((2, n, HIDDEN), np.float32) for _ in range(3))
+    zr, u = (np.empty((2, n, 2 * HIDDEN), np.float32) for _ in range(2))
+    out = np.empty((steps, n, 2 * HIDDEN), np.float32)
     for t in range(steps):
-        g = p["table"][at[t]]
-        g += p["bi"]
-        u = h @ p["re"]
-        zr = g[..., : 2 * HIDDEN] + u[..., : 2 * HIDDEN]
-        zr *= half
+        np.take(gates, at[t], axis=0, out=zr, mode="clip")
+        zr += np.matmul(h, re_gates, out=u)
         np.tanh(zr, out=zr)
         zr *= half
         zr += half
-        z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
-        c = u[..., 2 * HIDDEN :] * r
-        c += g[..., 2 * HIDDEN :]
+        np.take(inner, at[t], axis=0, out=c, mode="clip")
+        np.matmul(h, re_inner, out=v)
+        v *= zr[..., HIDDEN:]
+        c += v
         np.tanh(c, out=c)
-        if keep is not None:
-            keep.append((h, z, r, c, u[..., 2 * HIDDEN :]))
-        h = h - c
-        h *= z
+        h -= c
+        h *= zr[..., :HIDDEN]
         h += c
         out[t, :, :HIDDEN] = h[0]
         out[steps - 1 - t, :, HIDDEN:] = h[1]
     return out.transpose(1, 0, 2)
 
 
+def _traced(p: Params, rows: np.ndarray) -> tuple[np.ndarray, list]:
+    """The states, and of every step what backpropagation needs."""
+    n, steps = rows.shape
+    at, kind = _both_ways(rows), p["re"].dtype
+    h = np.zeros((2, n, HIDDEN), kind)
+    out, trace = np.empty((steps, n, 2 * HIDDEN), kind), []
+    half = kind.type(0.5)
+    for t in range(steps):
+        g = p["table"][at[t]] + p["bi"]
+        u = h @ p["re"]
+        zr = half * np.tanh(half * (g[..., : 2 * HIDDEN] + u[..., : 2 * HIDDEN])) + half
+        z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
+        c = np.tanh(g[..., 2 * HIDDEN :] + r * u[..., 2 * HIDDEN :])
+        trace.append((h, z, r, c, u[..., 2 * HIDDEN :]))
+        h = c + z * (h - c)
+        out[t, :, :HIDDEN] = h[0]
+        out[steps - 1 - t, :, HIDDEN:] = h[1]
+    return out.transpose(1, 0, 2), trace
+
+
 def log_softmax(scores: np.ndarray) -> np.ndarray:
     most = scores[..., 0]
     for k in range(1, scores.shape[-1]):  # a handful of columns: far faster than a reduction over the last axis
@@ -86,11 +109,12 @@ def log_softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def forward(p: Params, rows: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Log-probabilities (windows, STEPS, classes) of windows given as (windows, STEPS) table rows."""
-    trace: list | None = [] if keep is not None else None
-    both = states(p, rows, trace)
-    if keep is not None:
-        keep |= {"both": both, "trace": trace}
+    """Log-probabilities (windows, STEPS, classes) of windows given as (windows, STEPS) table rows; ``keep`` gets what training needs."""
+    if keep is None:
+        both = states(p, rows)
+    else:
+        both, keep["trace"] = _traced(p, rows)
+        keep["both"] = both
     return log_softmax(both @ p["out"] + p["bias"])
 
 

@@ -99,9 +99,10 @@ def log_probs(params: Params, rows: np.ndarray, wanted: np.ndarray, windows: int
     for lo in range(0, len(rows), windows):
         first, last = np.searchsorted(wanted, (lo * STEPS, (lo + windows) * STEPS))
         if first < last:
-            held = states(params, rows[lo : lo + windows])
-            at = wanted[first:last] - lo * STEPS
-            out[first:last] = log_softmax(held[at // STEPS, at % STEPS] @ params["out"] + params["bias"])
+            held = states(params, rows[lo : lo + windows]).transpose(1, 0, 2)  # as it lies in memory: step by step
+            step, window = (wanted[first:last] - lo * STEPS) % STEPS, (wanted[first:last] - lo * STEPS) // STEPS
+            own = held.reshape(-1, held.shape[2]).take(step * held.shape[1] + window, axis=0)
+            out[first:last] = log_softmax(own @ params["out"] + params["bias"])
     return out
 
 
@@ -222,9 +223,12 @@ def _labelled(docs: DataFrame, ids: list[str], text: str, params: Params | None,
             texts = pdf["__text"].tolist()
             for lo, hi in slices(texts, 256, 500_000):
                 part = pdf.iloc[lo:hi]
-                out = rows(units_of(shipped.value, Layout([without_fences(t) for t in texts[lo:hi]], letters)))
+                distinct: dict[str, int] = {}  # copies of a text are read once
+                number = np.array([distinct.setdefault(t, len(distinct)) for t in texts[lo:hi]])
+                found = rows(units_of(shipped.value, Layout([without_fences(t) for t in distinct], letters)))
+                out = pd.DataFrame({"text": number, "__at": np.arange(hi - lo)}).merge(found, on="text", how="inner").sort_values("__at", kind="stable")
                 out["lang"] = np.array(LANGUAGES, object)[out["lang"].to_numpy().astype(np.int64)]
-                owner = out["text"].to_numpy().astype(np.int64)
+                owner = out.pop("__at").to_numpy().astype(np.int64)
                 own = pd.DataFrame({c: part[c].to_numpy()[owner] for c in ids})
                 yield pd.concat([own, out.drop(columns="text").reset_index(drop=True)], axis=1)
 

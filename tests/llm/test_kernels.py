@@ -203,6 +203,15 @@ def test_band_keys_depend_on_the_set_only():
     assert (one[0] == one[1]).all() and len(set(one[0].tolist())) == 6
 
 
+def test_both_ways_of_reading_give_the_same_states():
+    rng = np.random.default_rng(5)
+    p = langnet.new_params(3)
+    p["bi"] += rng.standard_normal(p["bi"].shape).astype(np.float32)
+    rows = rng.integers(0, langnet.ROWS, (7, langnet.STEPS)).astype(np.int32)
+    assert np.allclose(langnet.states(p, rows), langnet._traced(p, rows)[0], atol=1e-5)
+    assert langnet.states(p, rows[:0]).shape == (0, langnet.STEPS, 2 * langnet.HIDDEN)
+
+
 def test_gradients_match_finite_differences():
     rng = np.random.default_rng(4)
     p = {k: v.astype(np.float64) for k, v in langnet.new_params(3).items()}
