@@ -243,7 +243,7 @@ def most_similar(
     approximate in that only the ``probes`` nearest cells are looked at (and by the error bound, which
     holds but for about one in a hundred).  A model has 4 * sqrt(n) cells of its n distinct vectors, fitted on a sample of
     those: ``sample``, or twice the cells if that is more, but at most ``sample_bytes`` of them, which also bounds the broadcast centroids
-    (at 1,024 dimensions that is met at 66 million vectors; beyond, cells grow).  All vectors are indexed.
+    (at 1,024 dimensions that is met at some 240 million vectors; beyond, cells grow).  All vectors are indexed.
     With ``recall`` every model's probes are raised to what :func:`probes_needed` measures for that share on ``recall_sample`` queries.
     An id with several vectors of a model is asked for and found by each of them, at its best score.
     """

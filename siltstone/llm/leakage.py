@@ -63,25 +63,54 @@ def winnow(hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return low[change], change, np.append(change[1:], len(low)) + w - 2
 
 
-def _fingerprints(texts: list[str], keep: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct fingerprints of each text as (text number, value), sorted by text, and the reduced texts end to end with their lengths."""
+def _fingerprints(texts: list[str], keep: np.ndarray, k: int, w: int, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct fingerprints of each text as (text number, value), in order of texts, and the reduced texts end to end with their lengths.
+
+    With ``words``, a Bloom filter, only those it holds.
+    """
     points, lengths = reduced(texts, keep)
     values, firsts, lasts = winnow(window_hashes(points, k), w)
+    if words is not None:
+        held = np.flatnonzero(_in_filter(values, words))
+        values, firsts, lasts = values[held], firsts[held], lasts[held]
     starts = np.cumsum(lengths) - lengths
-    # texts lie end to end, so a window of hashes may reach over an end; the first text that its minimum may belong to and all up to the last get it
+    # texts lie end to end, so a window of hashes may reach over an end; every text that its minimum may belong to gets it
     low, high = np.searchsorted(starts, firsts, "right") - 1, np.searchsorted(starts, lasts, "right") - 1
-    owner = np.repeat(low, high - low + 1)
-    owner = owner + np.arange(len(owner)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
-    pairs = np.unique(np.stack([owner.astype(np.uint64), np.repeat(values, high - low + 1)]), axis=1) if len(values) else np.zeros((2, 0), np.uint64)
-    return pairs[0].astype(np.int64), pairs[1], points, lengths
+    times = high - low + 1
+    owner = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    values = np.repeat(values, times)
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])) if len(owner) else np.zeros(0, bool)
+    return owner[new], values[new], points, lengths
 
 
 def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """Length of the longest run that two code point arrays share, 0 if it is under ``least``."""
+    x, y = window_hashes(a, least), window_hashes(b, least)
+    if not len(x) or not len(y):
+        return 0
+    order = np.argsort(y, kind="stable")
+    y = y[order]
+    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    i = np.flatnonzero(y[place] == x)
+    if not len(i):
+        return 0
+    j = order[place[i]]
+    if (y[1:] == y[:-1]).any():  # b repeats itself, so a window of a may have several partners
+        return _longest_of_repeats(a, b, least)
+    begin = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(j) != 1)))
+    length = np.diff(np.append(begin, len(i)))
+    best = int(length.argmax())
+    p, q, n = int(i[begin[best]]), int(j[begin[best]]), int(length[best]) + least - 1
+    return n if (a[p : p + n] == b[q : q + n]).all() else _longest_of_repeats(a, b, least)
+
+
+def _longest_of_repeats(a: np.ndarray, b: np.ndarray, least: int) -> int:
+    """As :func:`longest_run`, by searching for the largest window that both have."""
 
     def shared(n: int) -> bool:
-        x, y = window_hashes(a, n), window_hashes(b, n)
-        values, at, other = np.intersect1d(x, y, return_indices=True)
+        values, at, other = np.intersect1d(window_hashes(a, n), window_hashes(b, n), return_indices=True)
         return any((a[i : i + n] == b[j : j + n]).all() for i, j in zip(at.tolist(), other.tolist(), strict=True))
 
     low, high = least, min(len(a), len(b))
@@ -108,6 +137,13 @@ def _slots(values: np.ndarray, bits: int) -> list[np.ndarray]:
         return [(values + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(4)]
 
 
+def _in_filter(values: np.ndarray, words: np.ndarray) -> np.ndarray:
+    found = np.ones(len(values), bool)
+    for slot in _slots(values, 64 * len(words)):
+        found &= (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
 def _prints(df: DataFrame, k: int, w: int, words: Broadcast | None = None) -> DataFrame:
     """``(n, key, values, body)``: texts with their fingerprints, those found in the filter if there is one; texts without any are left out.
 
@@ -121,13 +157,7 @@ def _prints(df: DataFrame, k: int, w: int, words: Broadcast | None = None) -> Da
         for pdf in batches:
             keys, texts = pdf["key"].to_numpy(), pdf["text"].tolist()
             for lo, hi in slices(texts, 500):
-                owner, values, points, lengths = _fingerprints(texts[lo:hi], keep, k, w)
-                if words is not None and len(values):
-                    held = words.value
-                    found = np.ones(len(values), bool)
-                    for slot in _slots(values, 64 * len(held)):
-                        found &= (held[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    owner, values = owner[found], values[found]
+                owner, values, points, lengths = _fingerprints(texts[lo:hi], keep, k, w, None if words is None else words.value)
                 if not len(owner):
                     continue
                 turn = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
