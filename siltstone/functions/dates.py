@@ -31,6 +31,11 @@ def iso_millis(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def day_of(ms: Column, zone: str = "UTC") -> Column:
+    """'YYYY-MM-DD' of epoch milliseconds in a time zone."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), zone), "yyyy-MM-dd")
+
+
 def age_hours(now_ms: int, ms: Column) -> Column:
     """Hours since ``ms``, to one decimal."""
     return F.round((F.lit(now_ms) - ms) / 3_600_000.0, 1)

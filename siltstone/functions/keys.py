@@ -44,3 +44,21 @@ def concept_list(c: Column) -> Column:
 def concept_array(c: Column) -> Column:
     """Concepts of an array column, cleaned as :func:`concept_list` does."""
     return F.coalesce(_clean(c), F.array().cast("array<string>"))
+
+
+def string_map(c: Column) -> Column:
+    """The string values of a JSON object as a map; other values are left out, a text that is no object gives an empty map."""
+    parsed = F.try_parse_json(c)
+    fields = F.try_variant_get(parsed, "$", "map<string,variant>")
+    strings = F.map_filter(fields, lambda k, v: F.schema_of_variant(v) == "STRING")
+    out = F.transform_values(strings, lambda k, v: F.try_variant_get(v, "$", "string"))
+    return F.coalesce(out, F.create_map().cast("map<string,string>"))
+
+
+def metadata_is(c: Column, **wanted: str) -> Column:
+    """Whether a JSON object has these string values."""
+    held = string_map(c)
+    out = F.lit(True)
+    for key, value in wanted.items():
+        out = out & F.coalesce(F.try_element_at(held, F.lit(key)) == value, F.lit(False))
+    return out

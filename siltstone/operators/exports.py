@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import dates, markup, text
 from siltstone.functions.text import glob_regex
 
 
@@ -49,3 +50,24 @@ def tree(items: DataFrame, key: str, parent: str) -> DataFrame:
     placed = items.join(known, F.col(parent) == F.col("__p"), "left").withColumn("parent_id", F.col("__p"))
     kids = placed.where("parent_id is not null").groupBy(F.col("parent_id").alias("__k")).agg(F.count("*").alias("children"))
     return placed.join(kids, F.col(key) == F.col("__k"), "left").select(key, "parent_id", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def vault_files(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """``(path, content)`` of a vault: a file a record with front matter and its similar records, a hub a concept, and an index a type.
+
+    ``docs(id, type, title, content, concepts array, project, created_at)``, one row an id; ``links(id, other, score)`` of similar records.
+    """
+    name = text.slug_runs(F.concat_ws(" ", "title", "id"), 80)
+    named = docs.withColumn("path", F.concat_ws("/", "type", F.concat(name, F.lit(".md"))))
+    near = links.join(named.select(F.col("id").alias("other"), F.col("title").alias("__title"), F.col("path").alias("__path")), "other").groupBy("id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "other", F.concat(F.lit("- ["), "__title", F.lit("]("), "__path", F.lit(")")).alias("line")))), lambda s: s["line"]), "\n").alias("__related")
+    )
+    head = markup.rendered_front_matter(id=F.col("id"), type=F.col("type"), project=F.col("project"), created=dates.day_of(F.col("created_at")))
+    related = F.when(F.col("__related").isNotNull(), F.concat(F.lit("\n\n## Related\n\n"), "__related")).otherwise("")
+    records = named.join(near, "id", "left").select("path", F.concat(head, F.lit("\n# "), "title", F.lit("\n\n"), F.coalesce("content", F.lit("")), related, F.lit("\n")).alias("content"))
+    line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("path"), F.lit(")"))
+    each = named.select(F.explode(F.array_distinct("concepts")).alias("concept"), "created_at", "id", "title", "path")
+    hubs = joined_lines(each.withColumn("__late", -F.col("created_at")), "concept", line, ["__late", "id"])
+    hubs = hubs.select(F.concat(F.lit("_concepts/"), text.slug_runs(F.col("concept"), 80), F.lit("-"), markup.short_hash(F.col("concept")), F.lit(".md")).alias("path"), F.concat(F.lit("# "), "concept", F.lit("\n\n"), "body", F.lit("\n")).alias("content"))
+    index = index_markdown(named, "type", "title", "path").select(F.concat("type", F.lit("/_index.md")).alias("path"), F.col("markdown").alias("content"))
+    return records.unionByName(hubs).unionByName(index)

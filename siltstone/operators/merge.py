@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import project_of_source
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, *, keep: list[str]) -> DataFrame:
     """The table after ``new`` is written over ``old``: columns in ``keep`` stay those of an existing row.
@@ -103,6 +105,32 @@ def inserted(docs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.unionByName(append_absent(docs, new, "id"), allowMissingColumns=True), new.join(docs.select("id"), "id", "left_semi").select("id")
 
 
+def superseded(docs: DataFrame, pairs: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """The table with ``pairs(old_id, new_id, reason)`` written on the old records, and the log rows; pairs with an unknown side or an id replacing itself are left out.
+
+    Of several pairs for one record the smallest new id counts.
+    """
+    known = docs.select("id").distinct()
+    good = pairs.where("old_id <> new_id").join(known.withColumnRenamed("id", "old_id"), "old_id", "left_semi").join(known.withColumnRenamed("id", "new_id"), "new_id", "left_semi")
+    one = good.groupBy("old_id").agg(F.min(F.struct("new_id", "reason")).alias("p")).select("old_id", "p.new_id", "p.reason")
+    j = docs.join(one.select(F.col("old_id").alias("id"), F.col("new_id").alias("__new"), F.col("reason").alias("__reason")), "id", "left")
+    hit = F.col("__new").isNotNull()
+    put = {"superseded_by": F.col("__new"), "superseded_at": F.lit(now).cast("long"), "superseded_reason": F.col("__reason")}
+    return j.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in put.items()}).select(*docs.columns), one.withColumn("superseded_at", F.lit(now).cast("long"))
+
+
+def repaired_projects(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """``(id, project, found_in)`` of records without a project whose file, or else whose indexed text, names one.
+
+    ``docs(id, source_file, content, project)``, ``files(source_file, content)``.
+    """
+    lacking = docs.where(~F.coalesce(F.col("project") != "", F.lit(False))).select("id", "source_file", "content").distinct()
+    own = files.groupBy("source_file").agg(F.min("content").alias("__file"))
+    j = lacking.join(own, "source_file", "left").select("id", project_of_source(F.col("__file")).alias("__f"), project_of_source(F.col("content")).alias("__c"))
+    found = j.select("id", F.coalesce("__f", "__c").alias("project"), F.when(F.col("__f").isNotNull(), "file").otherwise("index").alias("found_in")).where("project is not null")
+    return found.groupBy("id").agg(F.min(F.struct("found_in", "project")).alias("r")).select("id", "r.project", "r.found_in")
+
+
 def settings(old: DataFrame, new: DataFrame) -> DataFrame:
     """A key-value table with the keys of ``new(key, value)`` replaced."""
     return upsert(old.select("key", "value"), new.select("key", "value"), "key", keep=[])

@@ -88,6 +88,7 @@ def slug_c(t: Tables):
 @query()
 def collection_rebuild(t: Tables):
     """Vectors of all current records by the offline embedder, merged into a collection."""
-    docs = t.oracle_documents.where("content is not null").select("id", "content").distinct()
+    each = t.oracle_documents.where("id is not null and content is not null").select("id", "content").distinct()
+    docs = each.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("content")), "\n").alias("content"))  # an id's texts go into one vector
     new = embed.embedded(docs, "id", "content", "small")
     return embed.upserted(t.vector_documents.where("vector is not null").select("model_key", "id", "vector"), new)

@@ -5,13 +5,12 @@ The test tables have no such state, so it is derived from what they have: events
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import dates, text
-from siltstone.functions.keys import concept_list, norm_key
-from siltstone.operators import graph, indexing, logs, merge, queue, relational as rel, schedule, threads, traces
+from siltstone.functions.keys import concept_list, metadata_is, norm_key, string_map
+from siltstone.operators import exports, graph, indexing, logs, merge, queue, relational as rel, schedule, search, threads, traces
 from siltstone.plans.documents import _CONCEPTS
 from siltstone.plans.registry import NOW, TODAY, Tables, query
 from siltstone.sources import files, sinks
@@ -496,3 +495,84 @@ def supersede_hops(t: Tables):
 def vault_top_concepts(t: Tables):
     d = t.oracle_documents.select("id", concept_list(F.col("concepts")).alias("terms")).distinct()
     return rel.top_counts(d.select(F.explode(F.array_distinct("terms")).alias("concept")), "concept", 30)
+
+
+# what is left of projections, maps and evaluations
+
+@query("SELECT count(DISTINCT user_id) AS active FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 200) WHERE epoch_us(ts) >= (SELECT max(epoch_us(ts)) FROM events) - 3600000000")
+def feed_active(t: Tables):
+    """Identities active in the hour before the last event, on the feed's page of 200."""
+    last = t.events.agg(F.max("ts").alias("last"))
+    page = t.events.orderBy(F.desc("ts"), "event_id").limit(200).crossJoin(F.broadcast(last))
+    return page.where(F.unix_micros(F.col("ts").cast("timestamp")) >= F.unix_micros(F.col("last").cast("timestamp")) - 3_600_000_000).agg(F.countDistinct("user_id").alias("active"))
+
+
+@query(f"SELECT id FROM (SELECT DISTINCT id, coalesce({_CONCEPTS}, []) AS terms FROM oracle_documents) WHERE len(terms) > 0")
+def docs_with_concepts(t: Tables):
+    return t.oracle_documents.select("id", concept_list(F.col("concepts")).alias("terms")).distinct().where(F.size("terms") > 0).select("id")
+
+
+@query("SELECT list_sort(list(type || '=' || n)) AS by_type FROM (SELECT type, count(*) AS n FROM oracle_documents WHERE type IS NOT NULL GROUP BY type)")
+def stats_map(t: Tables):
+    """Counts by type as one map, shown as sorted entries."""
+    counts = rel.counts_by(t.oracle_documents.where("type is not null"), "type")
+    entries = counts.agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("m"))
+    return entries.select(F.sort_array(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))).alias("by_type"))
+
+
+@query("""SELECT model_key, id, list_sort(list_transform(list_filter(json_keys(metadata), lambda k: json_type(metadata, '$."' || k || '"') = 'VARCHAR'), lambda k: k || '=' || json_extract_string(metadata, '$."' || k || '"'))) AS fields
+    FROM (SELECT DISTINCT model_key, id, metadata FROM vector_documents WHERE metadata IS NOT NULL)""")
+def metadata_strings(t: Tables):
+    """The string fields of every vector's metadata."""
+    d = t.vector_documents.where("metadata is not null").select("model_key", "id", "metadata").distinct()
+    return d.select("model_key", "id", F.sort_array(F.transform(F.map_entries(string_map(F.col("metadata"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("fields"))
+
+
+@query("SELECT model_key, count(*) AS n FROM vector_documents WHERE json_extract_string(metadata, '$.type') = 'learning' GROUP BY model_key")
+def metadata_filter(t: Tables):
+    return rel.counts_by(t.vector_documents.where(metadata_is(F.col("metadata"), type="learning")), "model_key")
+
+
+@query("SELECT DISTINCT id, strftime(make_timestamp(created_at * 1000) + INTERVAL 7 HOUR, '%Y-%m-%d') AS local_day, strftime(make_timestamp(created_at * 1000), '%Y-%m-%d') AS utc_day FROM oracle_documents")
+def local_days(t: Tables):
+    d = t.oracle_documents.select("id", "created_at").distinct()
+    return d.select("id", dates.day_of(F.col("created_at"), "Asia/Bangkok").alias("local_day"), dates.day_of(F.col("created_at")).alias("utc_day")).distinct()
+
+
+@query(f"""WITH p AS (SELECT old_id, min((new_id, reason)) AS p FROM supersede_log WHERE old_id <> new_id AND old_id IN (SELECT id FROM oracle_documents) AND new_id IN (SELECT id FROM oracle_documents) GROUP BY old_id)
+    SELECT d.id, CASE WHEN p.old_id IS NOT NULL THEN p.p[1] ELSE d.superseded_by END AS superseded_by, CASE WHEN p.old_id IS NOT NULL THEN {NOW} ELSE d.superseded_at END AS superseded_at FROM (SELECT DISTINCT id, superseded_by, superseded_at, superseded_reason FROM oracle_documents) d LEFT JOIN p ON p.old_id = d.id""")
+def supersede_written(t: Tables):
+    """All pairs of the log written to the records they name exactly."""
+    docs = t.oracle_documents.select("id", "superseded_by", "superseded_at", "superseded_reason").distinct()
+    return merge.superseded(docs, t.supersede_log.select("old_id", "new_id", "reason"), NOW)[0].select("id", "superseded_by", "superseded_at")
+
+
+@query(r"""WITH d AS (SELECT DISTINCT id, content FROM oracle_documents WHERE coalesce(project, '') = '') SELECT id, lower('github.com/' || min(regexp_extract(content, 'github\.com/([^/\s]+/[^/\s]+)', 1))) AS project, 'index' AS found_in FROM d WHERE regexp_matches(content, 'github\.com/[^/\s]+/[^/\s]+') GROUP BY id""")
+def projects_repaired(t: Tables):
+    """Projects found in the texts of records without one."""
+    return merge.repaired_projects(t.oracle_documents.select("id", "source_file", "content", "project"), _empty(t, "source_file string, content string"))
+
+
+_SIM = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+
+
+@query(f"""WITH r AS (SELECT a.vec_id AS q, b.vec_id AS hit, a.label = b.label AS expected, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SIM} DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+    e AS (SELECT q, max(CAST(rn <= 1 AND expected AS INT)) AS one, max(CAST(rn <= 5 AND expected AS INT)) AS five, max(CAST(rn <= 3 AND coalesce(x.lang <> y.lang, false) AS INT)) AS cr FROM r LEFT JOIN documents x ON x.doc_id = q LEFT JOIN documents y ON y.doc_id = hit GROUP BY q)
+    SELECT count(*) AS queries, round(avg(one), 4) AS recall_1, round(avg(five), 4) AS recall_5, round(avg(cr), 4) AS cross_language_3 FROM e""")
+def retrieval_eval(t: Tables):
+    """Recall at 1 and 5, and hits in another language among the first three."""
+    e = t.embeddings
+    links = search.similar_links(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), threshold=-2.0, most=5)
+    ranked = links.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
+    side = lambda name, label: e.join(t.documents.select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id", "left").select(F.col("vec_id").alias(name), F.col("label").alias(label), F.col("lang").alias(f"{label}_lang"))
+    judged = ranked.join(side("id", "x"), "id").join(side("other", "y"), "other")
+    return search.retrieval_scores(judged.select(F.col("id").alias("query"), "rank", (F.col("x") == F.col("y")).alias("expected"), F.coalesce(F.col("x_lang") != F.col("y_lang"), F.lit(False)).alias("other_language")))
+
+
+@query("""SELECT type || '/_index.md' AS path, count(*) AS lines FROM (SELECT DISTINCT id, min(type) AS type FROM oracle_documents WHERE id IS NOT NULL GROUP BY id) WHERE type IS NOT NULL GROUP BY type""")
+def vault_export(t: Tables):
+    """The index files of a whole vault, with the number of records each lists."""
+    d = t.oracle_documents.where("id is not null").groupBy("id").agg(F.min("type").alias("type"), F.min("content").alias("content"), F.min("project").alias("project"), F.min("created_at").alias("created_at"), F.min("concepts").alias("c"))
+    d = d.where("type is not null").select("id", "type", F.col("id").alias("title"), "content", concept_list(F.col("c")).alias("concepts"), "project", "created_at")
+    out = exports.vault_files(d, _empty(t, "id string, other string, score double")).where(F.endswith("path", F.lit("/_index.md")))
+    return out.select("path", (F.size(F.split("content", "\n")) - 1).cast("long").alias("lines"))

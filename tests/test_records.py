@@ -171,3 +171,52 @@ def test_stored_tables_go_with_their_workspace(spark):
     assert all(p != path for _, p in storage._made)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path).count()
+
+
+def test_collections(spark, tmp_path):
+    from siltstone.operators.collections import Collection, health
+
+    c = Collection(spark, f"file://{tmp_path}/vectors", "small")
+    assert tuple(c.stats().first()) == ("small", False, 0, None) and health([c]).first()["status"] == "down"
+    c.ensure()
+    c.add(spark.createDataFrame([("small", "a", [1.0, 0.0]), ("small", "b", [0.6, 0.8])], c.SCHEMA))
+    c.add(spark.createDataFrame([("small", "a", [0.0, 1.0])], c.SCHEMA))
+    assert tuple(c.stats().first()) == ("small", True, 2, 2) and [r["id"] for r in c.query([0.0, 1.0], 5).collect()] == ["a", "b"] and [r["id"] for r in c.query_by_id("a", 5).collect()] == ["b"]
+    assert health([c, Collection(spark, f"file://{tmp_path}/vectors", "large")]).first()["status"] == "degraded"
+    c.delete()
+    assert not c.exists()
+
+
+def test_stream_control(spark, tmp_path):
+    from siltstone.streaming import control
+
+    told = []
+    events = control.Events(lambda kind, fields: told.append(kind))
+    spark.streams.addListener(events)
+    query = spark.readStream.format("rate").option("rowsPerSecond", 5).load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    assert control.stopped(query) and not query.isActive
+    spark.streams.removeListener(events)
+    assert "started" in told
+    now, made = [0.0], []
+    kept = control.Kept(lambda: made.append(1) or spark.range(2), 60, lambda: now[0])
+    assert kept().count() == 2 and kept().count() == 2 and len(made) == 1
+    now[0] = 61
+    assert kept().count() == 2 and len(made) == 2
+
+
+def test_vault_and_repairs(spark):
+    from siltstone.operators import exports
+
+    d = spark.createDataFrame([("a", "learning", "Alpha", "text", ["x"], None, 1), ("b", "learning", "Beta", None, ["x", "y"], "o/r", 2)], "id string, type string, title string, content string, concepts array<string>, project string, created_at long")
+    out = dict(rows(exports.vault_files(d, spark.createDataFrame([("a", "b", 0.9)], "id string, other string, score double"))))
+    assert set(out) > {"learning/alpha-a.md", "learning/beta-b.md", "learning/_index.md"} and len(out) == 5
+    assert "## Related\n\n- [Beta](learning/beta-b.md)" in out["learning/alpha-a.md"] and out["learning/beta-b.md"].startswith("---\nid: b\n")
+    hub = next(v for k, v in out.items() if k.startswith("_concepts/x-"))
+    assert hub.index("Beta") < hub.index("Alpha")  # the newest first
+    lost = spark.createDataFrame([("1", "f.md", "see github.com/A/B", None), ("2", "g.md", "nothing", ""), ("3", "h.md", "rrr: c/d", None), ("4", "h.md", "github.com/x/y", "kept")], "id string, source_file string, content string, project string")
+    found = merge.repaired_projects(lost, spark.createDataFrame([("f.md", "from github.com/q/r")], "source_file string, content string"))
+    assert rows(found) == [("1", "github.com/q/r", "file"), ("3", "github.com/c/d", "index")]
+    docs = spark.createDataFrame([("a", None, None, None), ("b", None, None, None)], "id string, superseded_by string, superseded_at long, superseded_reason string")
+    table, log = merge.superseded(docs, spark.createDataFrame([("a", "b", "old"), ("b", "b", "self"), ("a", "zz", "lost")], "old_id string, new_id string, reason string"), 5)
+    assert rows(table) == [("a", "b", 5, "old"), ("b", None, None, None)] and rows(log) == [("a", "b", "old", 5)]
