@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.langnet import STEPS, Params, forward, log_softmax, states, train, trigram_rows
+from siltstone.llm.langnet import STEPS, Params, forward, states, train, trigram_rows
 from siltstone.llm.textprep import slices
 from siltstone.storage import spread
 
@@ -94,15 +94,18 @@ class Layout:
 
 
 def log_probs(params: Params, rows: np.ndarray, wanted: np.ndarray, windows: int = 1024) -> np.ndarray:
-    """(positions, languages) of the ``wanted`` positions, which are in order; so many windows at a time that their states stay small."""
-    out = np.empty((len(wanted), len(LANGUAGES)), np.float32)
+    """(languages, positions) of the ``wanted`` positions, which are in order; so many windows at a time that their states stay small."""
+    out = np.empty((len(LANGUAGES), len(wanted)), np.float32)
     for lo in range(0, len(rows), windows):
         first, last = np.searchsorted(wanted, (lo * STEPS, (lo + windows) * STEPS))
         if first < last:
             held = states(params, rows[lo : lo + windows]).transpose(1, 0, 2)  # as it lies in memory: step by step
             step, window = (wanted[first:last] - lo * STEPS) % STEPS, (wanted[first:last] - lo * STEPS) // STEPS
             own = held.reshape(-1, held.shape[2]).take(step * held.shape[1] + window, axis=0)
-            out[first:last] = log_softmax(own @ params["out"] + params["bias"])
+            score = params["out"].T @ own.T + params["bias"][:, None]  # languages first: sums over them run along memory
+            score -= score.max(axis=0)
+            score -= np.log(np.exp(score).sum(axis=0))
+            out[:, first:last] = score
     return out
 
 
@@ -120,9 +123,9 @@ def units_of(params: Params, layout: Layout) -> pd.DataFrame:
     some = np.flatnonzero(letters)
     score = np.zeros((len(first), len(LANGUAGES)), np.float32)
     if len(some):
-        score[some] = np.add.reduceat(logp, begin[some], axis=0)
+        score[some] = np.add.reduceat(logp, begin[some], axis=1).T
     lang = score.argmax(1)
-    mass = np.bincount(owner, np.exp(logp[np.arange(len(held)), lang[owner]]), len(first))
+    mass = np.bincount(owner, np.exp(logp[lang[owner], np.arange(len(held))]), len(first))
     text = layout.text[first]
     offset = np.cumsum(layout.lengths) - layout.lengths
     return pd.DataFrame({"text": text, "start": first - offset[text], "end": np.append(first[1:], n) - offset[text], "letters": letters, "lang": lang, "mass": mass})
