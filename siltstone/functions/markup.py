@@ -110,10 +110,11 @@ def rendered_front_matter(**fields: Column) -> Column:
 
 
 def with_project(c: Column, project: Column) -> Column:
-    """The text with ``project`` in its front matter, which is added where there is none; an existing project stays."""
-    has_block, has_field = c.rlike(r"\A---\r?\n"), c.rlike(r"\A---\r?\n(?:(?!---)[^\n]*\n)*?project:")
-    inserted = F.concat(F.lit("---\nproject: "), project, F.lit("\n"), F.regexp_replace(c, r"\A---\r?\n", ""))
-    return F.when(has_block & has_field, c).when(has_block, inserted).otherwise(F.concat(F.lit("---\nproject: "), project, F.lit("\n---\n\n"), c))
+    """The text with ``project`` in its front matter, behind the other fields; added where there is none; an existing project stays."""
+    head = F.regexp_extract(c, r"\A---\n([\s\S]*?)\n---", 1)
+    has_block, has_field = c.rlike(r"\A---\n[\s\S]*?\n---"), head.rlike(r"(?m)^project:\s")
+    rest = F.substr(c, F.length(head) + 5)
+    return F.when(has_block & has_field, c).when(has_block, F.concat(F.lit("---\n"), head, F.lit("\nproject: "), project, rest)).otherwise(F.concat(F.lit("---\nproject: "), project, F.lit("\n---\n\n"), c))
 
 
 def without_generated_sections(c: Column) -> Column:
@@ -136,11 +137,6 @@ def local_path(path: Column, project: Column) -> Column:
     return F.when(F.startswith(path, F.concat(project, F.lit("/"))), F.substr(path, F.length(project) + 2))
 
 
-def author_label(role: Column, model: Column, project: Column) -> Column:
-    """'role (model) @project' of what is known."""
-    return F.concat_ws(" ", role, F.when(model.isNotNull(), F.concat(F.lit("("), model, F.lit(")"))), F.when(project.isNotNull(), F.concat(F.lit("@"), project)))
-
-
 def inferred_project(path: Column) -> Column:
     """host/owner/name of a path that holds a repository, or of '/Code/a/b/c'; else null."""
     hosted = F.regexp_extract(path, r"((?:github\.com|gitlab\.com|bitbucket\.org)/[^/]+/[^/]+)", 1)

@@ -68,13 +68,14 @@ def derived_title(content: Column, path: Column) -> Column:
 
 
 def without_leading_heading(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s*#[ \t]+[^\n]*\n+", "")
+    """The text without a heading of level one at its start and the blank lines behind it."""
+    return F.regexp_replace(c, r"\A\s*#\s+.+?\s*(?:\r?\n|\z)", "")
 
 
 def hashtags(c: Column) -> Column:
-    """Distinct lower-case hashtags outside fenced code, in order."""
-    prose = F.regexp_replace(c, r"(?s)```.*?```", "")
-    return F.array_distinct(F.transform(F.regexp_extract_all(prose, F.lit(r"(?:^|\s)#([A-Za-z][A-Za-z0-9_/-]*)"), 1), lambda t: F.lower(t)))
+    """Distinct lower-case hashtags outside code, fenced or inline, in order."""
+    prose = F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```", ""), r"`[^`]*`", "")
+    return F.array_distinct(F.transform(F.regexp_extract_all(prose, F.lit(r"(?i)(?:^|\s)#([a-z0-9][a-z0-9_\-/]*)"), 1), lambda t: F.lower(t)))
 
 
 def fnv1a(c: Column) -> Column:

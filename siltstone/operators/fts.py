@@ -278,5 +278,7 @@ def stemmed(index: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(stem=[porter(t) for t in pdf["term"]])
 
-    vocabulary = index.select("term").distinct().mapInPandas(stems, "term string, stem string")
+    # few bytes but much work: over all cores, which adaptive execution would not give so small a table
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    vocabulary = index.select("term").distinct().repartition(cores, "term").mapInPandas(stems, "term string, stem string")
     return index.join(vocabulary, "term").groupBy("stem", "doc_id", "col").agg(F.sum("tf").alias("tf"))

@@ -16,7 +16,7 @@ def sections(files: DataFrame, path: str, content: str, marker: str) -> DataFram
     """
     raw = F.filter(F.split(F.col(content), rf"(?m)^{marker}\s+"), lambda s: F.trim(s) != "")
     cut = files.select(F.col(path).alias("path"), F.posexplode(raw).alias("at", "section"))
-    title = F.trim(F.substring_index("section", "\n", 1))
+    title = F.regexp_replace(F.substring_index("section", "\n", 1), r"^\s+|\s+$", "")  # line ends of either style fall away
     body = F.when(F.instr("section", "\n") > 0, F.regexp_replace(F.regexp_replace("section", r"^[^\n]*\n", ""), r"^\s+|\s+$", "")).otherwise("")
     return cut.select("path", "at", title.alias("title"), body.alias("body")).where("body <> ''")
 

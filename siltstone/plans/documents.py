@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import dates, text
+from siltstone.functions import dates, scores, text
 from siltstone.functions.keys import concept_list, norm_key
 from siltstone.operators import ingest, merge, relational as rel
 from siltstone.operators.orphans import millis
@@ -212,7 +212,7 @@ def rebuild_texts(t: Tables):
 @query("""SELECT type, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at, round(100.0 * count(superseded_by) / count(*), 0) AS superseded_percent FROM oracle_documents GROUP BY type""")
 def supersede_share(t: Tables):
     return t.oracle_documents.groupBy("type").agg(
-        F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.round(F.lit(100.0) * F.count("superseded_by") / F.count("*"), 0).alias("superseded_percent")
+        F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), scores.percent(F.count("superseded_by"), F.count("*")).alias("superseded_percent")
     )
 
 
@@ -309,7 +309,7 @@ def iso_times(t: Tables):
 # ingestion
 
 _LINES = r"regexp_replace(regexp_replace(s, '^[^\n]*\n', ''), '^\s+|\s+$', '', 'g')"
-_SECTIONS = rf"""(SELECT doc_id, i - 1 AS place, trim(split_part(s, chr(10), 1)) AS title, CASE WHEN contains(s, chr(10)) THEN {_LINES} ELSE '' END AS body FROM (
+_SECTIONS = rf"""(SELECT doc_id, i - 1 AS place, regexp_replace(split_part(s, chr(10), 1), '^\s+|\s+$', '', 'g') AS title, CASE WHEN contains(s, chr(10)) THEN {_LINES} ELSE '' END AS body FROM (
     SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS s FROM (SELECT doc_id, list_filter(string_split_regex(text, '(?m)^##\s+'), lambda x: trim(x) <> '') AS ss FROM documents WHERE text IS NOT NULL)))"""
 
 

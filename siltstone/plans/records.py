@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import dates, text
+from siltstone.functions import dates, markup, text
 from siltstone.functions.keys import concept_list, metadata_is, norm_key, string_map
-from siltstone.operators import exports, graph, indexing, logs, merge, queue, relational as rel, schedule, search, threads, traces
+from siltstone.operators import exports, graph, indexing, ingest, logs, merge, queue, relational as rel, schedule, search, threads, traces
 from siltstone.plans.documents import _CONCEPTS
 from siltstone.plans.registry import NOW, TODAY, Tables, query
 from siltstone.sources import files, sinks
+from siltstone.storage import new_folder
 
 
 def _empty(t: Tables, schema: str) -> DataFrame:
@@ -576,3 +577,131 @@ def vault_export(t: Tables):
     d = d.where("type is not null").select("id", "type", F.col("id").alias("title"), "content", concept_list(F.col("c")).alias("concepts"), "project", "created_at")
     out = exports.vault_files(d, _empty(t, "id string, other string, score double")).where(F.endswith("path", F.lit("/_index.md")))
     return out.select("path", (F.size(F.split("content", "\n")) - 1).cast("long").alias("lines"))
+
+
+# text functions and parsers over whole tables
+
+_SOME = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
+
+
+def _texts(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null")
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '[\x00-\x1f]', '', 'g'), ' ') AS q FROM {_SOME}")
+def sanitize_route(t: Tables):
+    return _texts(t).select("doc_id", text.sanitize_param(F.col("text")).alias("q"))
+
+
+@query(rf"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '```[\s\S]*?```', '', 'g'), '`[^`]*`', '', 'g'), '(?i)(?:^|\s)#([a-z0-9][a-z0-9_\-/]*)', 1), lambda x: lower(x)))) AS tags FROM {_SOME}")
+def body_hashtags(t: Tables):
+    return _texts(t).select("doc_id", F.array_sort(text.hashtags(F.col("text"))).alias("tags"))
+
+
+@query(rf"SELECT doc_id, regexp_replace(text, '\A\s*#\s+.+?\s*(?:\r?\n|\z)', '') AS body FROM {_SOME}")
+def body_without_title(t: Tables):
+    return _texts(t).select("doc_id", text.without_leading_heading(F.col("text")).alias("body"))
+
+
+@query("SELECT DISTINCT id, lower('gitlab.com/' || split_part(project, '/', 2) || '/' || split_part(project, '/', 3)) AS hosted, lower(project) AS nested FROM oracle_documents WHERE regexp_matches(project, '^[^/]+/[^/]+/[^/]+$')")
+def path_projects(t: Tables):
+    """Projects of paths: of a known host, or below the code folder."""
+    d = t.oracle_documents.where(F.col("project").rlike("^[^/]+/[^/]+/[^/]+$"))
+    part = lambda i: F.get(F.split("project", "/"), F.lit(i))
+    hosted = F.concat(F.lit("/srv/gitlab.com/"), part(1), F.lit("/"), part(2), F.lit("/src/a.md"))
+    return d.select("id", markup.inferred_project(hosted).alias("hosted"), markup.inferred_project(F.concat(F.lit("/home/Code/"), "project", F.lit("/x"))).alias("nested")).distinct()
+
+
+@query(rf"""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\A---\n[\s\S]*?\n---') THEN '---' || chr(10) || 'project: o/r' || chr(10) || '---' || chr(10) || chr(10) || text WHEN regexp_matches(regexp_extract(text, '\A---\n([\s\S]*?)\n---', 1), '(?m)^project:\s') THEN text
+    ELSE regexp_replace(text, '\A---\n([\s\S]*?)\n---', '---' || chr(10) || '\1' || chr(10) || 'project: o/r' || chr(10) || '---') END AS body FROM {_SOME}""")
+def project_ensured(t: Tables):
+    return _texts(t).select("doc_id", markup.with_project(F.col("text"), F.lit("o/r")).alias("body"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(path, '^[A-Za-z0-9_./-]+( [A-Za-z0-9_./-]+)*$') AND NOT regexp_matches(path, '^[0-9.+-]+$') THEN path ELSE '"' || path || '"' END AS path, CASE WHEN regexp_matches(source, '^[A-Za-z0-9_./-]+( [A-Za-z0-9_./-]+)*$') THEN source ELSE '"' || source || '"' END AS source FROM documents WHERE path IS NOT NULL AND source IS NOT NULL""")
+def yaml_values(t: Tables):
+    d = t.documents.where("path is not null and source is not null")
+    return d.select("doc_id", text.yaml_scalar(F.col("path")).alias("path"), text.yaml_scalar(F.col("source")).alias("source"))
+
+
+@query("SELECT input_id, CASE WHEN created_at % 2 = 0 THEN 'user' ELSE coalesce(nullif(source, ''), 'claude') END || CASE WHEN coalesce(project, '') <> '' THEN '@' || project ELSE '' END AS author FROM learn_inputs")
+def author_labels(t: Tables):
+    role = F.when(F.col("created_at") % 2 == 0, "human").otherwise("claude")
+    return t.learn_inputs.select("input_id", threads.author_label(role, F.col("source"), F.col("project")).alias("author"))
+
+
+@query("SELECT DISTINCT substr(regexp_replace(path, '[^a-zA-Z0-9._-]', '-', 'g'), 1, 120) AS safe FROM documents WHERE path IS NOT NULL")
+def safe_ids(t: Tables):
+    return t.documents.where("path is not null").select(text.safe_id(F.col("path")).alias("safe")).distinct()
+
+
+@query("SELECT doc_id, strftime(created_at, '%Y-%m-%dT%H:%M:00') AS at_ FROM documents")
+def file_times(t: Tables):
+    name = F.concat(F.date_format("created_at", "yyyy-MM-dd_HH-mm"), F.lit("_note.md"))
+    return t.documents.select("doc_id", dates.file_timestamp(name).alias("at_"))
+
+
+@query("SELECT id, array_to_string(list_filter(concepts, lambda x: x IS NOT NULL), ' ') AS joined, concepts[1:5] AS first_five, len(list_intersect(list_distinct(list_transform(concepts, lambda x: lower(x))), ['git', 'search', 'memory', 'index'])) AS shared FROM api_docs WHERE concepts IS NOT NULL")
+def concept_arrays(t: Tables):
+    """Concepts joined for the index, cut for a view, and shared with a list."""
+    d = t.api_docs.where("concepts is not null")
+    wanted = F.array(*map(F.lit, ("git", "search", "memory", "index")))
+    return d.select("id", F.array_join("concepts", " ").alias("joined"), F.slice("concepts", 1, 5).alias("first_five"), F.size(F.array_intersect(F.transform("concepts", F.lower), wanted)).cast("long").alias("shared"))
+
+
+_BODY = r"regexp_replace(regexp_replace(s, '^[^\n]*\n', ''), '^\s+|\s+$', '', 'g')"
+
+
+def _cut(marker: str) -> str:
+    return rf"""(SELECT doc_id, i - 1 AS place, regexp_replace(split_part(s, chr(10), 1), '^\s+|\s+$', '', 'g') AS title, CASE WHEN contains(s, chr(10)) THEN {_BODY} ELSE '' END AS body FROM (
+        SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS s FROM (SELECT doc_id, list_filter(string_split_regex(text, '(?m)^{marker}\s+'), lambda x: trim(x, ' ') <> '') AS ss FROM documents WHERE text IS NOT NULL)))"""
+
+
+@query(rf"""WITH s AS (SELECT * FROM {_cut('###')} WHERE body <> ''), b AS (SELECT doc_id, place, title, unnest(range(0, len(items))) AS j, unnest(items) AS item FROM (SELECT doc_id, place, title, regexp_extract_all(body, '(?m)^[-*]\s+([^\r\n]+)\r?$', 1) AS items FROM s))
+    SELECT concat_ws('_', 'resonance', CAST(doc_id AS VARCHAR), CAST(place AS VARCHAR)) AS id, 'principle' AS type, title || ': ' || body AS content FROM s UNION ALL SELECT concat_ws('_', 'resonance', CAST(doc_id AS VARCHAR), CAST(place AS VARCHAR), 'sub', CAST(j AS VARCHAR)), 'principle', title || ': ' || item FROM b""")
+def parse_principles(t: Tables):
+    """Sections of level three and their list items as records."""
+    return ingest.principles(_texts(t).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id", "text")
+
+
+@query(rf"""WITH s AS (SELECT * FROM {_cut('##')} WHERE body <> '' AND place > 0) SELECT concat_ws('_', 'learning', CAST(doc_id AS VARCHAR), CAST(place AS VARCHAR)) AS id, 'learning' AS type, 'T - ' || title || ': ' || body AS content FROM s
+    UNION ALL SELECT concat_ws('_', 'learning', CAST(doc_id AS VARCHAR)), 'learning', text FROM documents WHERE trim(text, ' ') <> '' AND doc_id NOT IN (SELECT doc_id FROM s)""")
+def parse_learnings(t: Tables):
+    """Sections of level two as records, or the whole text where there is none."""
+    return ingest.learnings(_texts(t).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id", "text", F.lit("T"))
+
+
+@query("SELECT doc_id, list_sort(list_distinct(list_concat(list_filter([" + ", ".join(f"'{k}'" for k in text.KEYWORDS) + r"], lambda k: contains(lower(text), k)), list_filter(list_transform(string_split(regexp_extract(regexp_extract(text, '\A---\r?\n([\s\S]*?)\r?\n---', 1), '(?m)^tags:[ \t]*\[?([^\]\r\n]*)', 1), ','), lambda x: lower(trim(x))), lambda x: x <> '')))) AS concepts FROM documents WHERE text IS NOT NULL")
+def concepts_merged(t: Tables):
+    """Keywords of a text and tags of its front matter together."""
+    return ingest.with_concepts(_texts(t).select("doc_id", "text"), "text", F.col("text")).select("doc_id", F.array_sort("concepts").alias("concepts"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'u' || user_id AS oracle, event_type AS event, 's' || event_id AS session_id, props AS message FROM events""")
+def feed_files(t: Tables):
+    """Events appended to feed files and read from them."""
+    e = t.events.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), F.concat(F.lit("u"), "user_id").alias("who"), F.lit("local").alias("host"), "event_type", F.lit("p").alias("project"), F.concat(F.lit("s"), "event_id").alias("session"), "props")
+    folder = new_folder(t.spark, "feed")
+    sinks.append_feed(e.select(sinks.feed_line("time", "who", "host", "event_type", "project", "session", "props").alias("line")), folder)
+    return files.feed(t.spark, folder).select(F.substring("session_id", 2, 20).cast("long").alias("event_id"), "timestamp", "oracle", "event", "session_id", "message")
+
+
+@query("SELECT count(*) AS documents, (SELECT count(*) FROM oracle_documents) AS in_envelope, count(DISTINCT id) AS ids FROM oracle_documents")
+def export_json(t: Tables):
+    """All records exported as JSON, and read again with their envelope."""
+    folder = new_folder(t.spark, "export")
+    sinks.json_export(t.oracle_documents, folder, "2026-03-01T00:00:00Z")
+    back = t.spark.read.schema("id string").json(f"{folder}/documents").agg(F.count("*").alias("documents"), F.countDistinct("id").alias("ids"))
+    return back.crossJoin(t.spark.read.schema("count long").json(f"{folder}/envelope").select(F.col("count").alias("in_envelope"))).select("documents", "in_envelope", "ids")
+
+
+@query("SELECT DISTINCT model_key, id FROM vector_documents WHERE lower(trim(id)) <> ''")
+def collection_written(t: Tables):
+    """Vectors written to a model's collection twice: no id is there more than once."""
+    from siltstone.operators.collections import Collection
+
+    rows = t.vector_documents.where(F.trim("id") != "").groupBy("model_key", "id").agg(F.first("vector").alias("vector"))
+    c = Collection(t.spark, new_folder(t.spark, "vectors"), "all")
+    c.add(rows)
+    c.add(rows)
+    return c.rows().select("model_key", "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scores
 from siltstone.functions.keys import concept_list, norm_key
-from siltstone.operators import fts, search
+from siltstone.operators import fts, relational as rel, search
 from siltstone.plans.documents import _CONCEPTS
 from siltstone.plans.registry import Tables, query
 from siltstone.storage import new_folder, stored
@@ -161,6 +161,19 @@ def hybrid_http(t: Tables):
     return search.fuse_best(text_leg, vector_leg).select("id", F.round("score", 5).alias("score"), "source")
 
 
+@query(f"""SELECT count(*) FILTER (v.id IS NULL) AS fts, count(*) FILTER (f.id IS NULL) AS vector, count(*) FILTER (f.id IS NOT NULL AND v.id IS NOT NULL) AS hybrid FROM (SELECT id FROM {_TOP20}) f FULL OUTER JOIN (SELECT id FROM {_VEC20}) v ON f.id = v.id""")
+def hybrid_mix(t: Tables):
+    """Where the hits of a fused page come from."""
+    return rel.source_mix(hybrid_http(t))
+
+
+@query(r"SELECT CAST(doc_id AS BIGINT) AS doc_id FROM documents WHERE lang = 'en' OR list_contains(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), 'replaced')")
+def fts_updated(t: Tables):
+    """Search after all documents labelled 'en' were indexed again with another text."""
+    change = t.documents.where("lang = 'en'").select("doc_id", F.lit("replaced words").alias("text"))
+    return _index(t).updated(change, "doc_id", ["text"], new_folder(t.spark, "fts-updated")).scored("replaced").select("doc_id")
+
+
 #: A vector is usable if it has its model's usual length and is finite and not zero.
 _KEY = r"lower(regexp_replace(id, '^\s+|\s+$', '', 'g'))"
 _USABLE = f"""(SELECT DISTINCT model_key AS model, {_KEY} AS id, CAST(vector AS DOUBLE[]) AS x FROM vector_documents JOIN (SELECT model_key AS m, arg_max(d, (n, -d)) AS d FROM (SELECT model_key, len(vector) AS d, count(*) AS n FROM vector_documents WHERE vector IS NOT NULL GROUP BY ALL) GROUP BY 1) u ON u.m = model_key AND len(vector) = u.d
