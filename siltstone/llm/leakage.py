@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,25 +86,36 @@ def _fingerprints(texts: list[str], keep: np.ndarray, k: int, w: int, words: np.
     return owner[new], values[new], points, lengths
 
 
+class Windows:
+    """A text's code points and the hashes of its windows of ``least``, sorted; made once for all texts it is compared with."""
+
+    def __init__(self, text: np.ndarray, least: int):
+        self.text, self.hashes, self.least = text, window_hashes(text, least), least
+        self.order = np.argsort(self.hashes, kind="stable")
+        self.values = self.hashes[self.order]
+        self.repeats = bool((self.values[1:] == self.values[:-1]).any())
+
+    def longest_run(self, other: Windows) -> int:
+        """Length of the longest run shared with ``other``, 0 if it is under ``least``."""
+        if not len(self.values) or not len(other.values):
+            return 0
+        place = np.minimum(np.searchsorted(self.values, other.hashes), len(self.values) - 1)
+        j = np.flatnonzero(self.values[place] == other.hashes)
+        if not len(j):
+            return 0
+        if self.repeats:  # a window of the other text may have several partners here
+            return _longest_of_repeats(self.text, other.text, self.least)
+        i = self.order[place[j]]
+        begin = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(j) != 1)))
+        length = np.diff(np.append(begin, len(i)))
+        best = int(length.argmax())
+        p, q, n = int(i[begin[best]]), int(j[begin[best]]), int(length[best]) + self.least - 1
+        return n if (self.text[p : p + n] == other.text[q : q + n]).all() else _longest_of_repeats(self.text, other.text, self.least)
+
+
 def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """Length of the longest run that two code point arrays share, 0 if it is under ``least``."""
-    x, y = window_hashes(a, least), window_hashes(b, least)
-    if not len(x) or not len(y):
-        return 0
-    order = np.argsort(y, kind="stable")
-    y = y[order]
-    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    i = np.flatnonzero(y[place] == x)
-    if not len(i):
-        return 0
-    j = order[place[i]]
-    if (y[1:] == y[:-1]).any():  # b repeats itself, so a window of a may have several partners
-        return _longest_of_repeats(a, b, least)
-    begin = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(j) != 1)))
-    length = np.diff(np.append(begin, len(i)))
-    best = int(length.argmax())
-    p, q, n = int(i[begin[best]]), int(j[begin[best]]), int(length[best]) + least - 1
-    return n if (a[p : p + n] == b[q : q + n]).all() else _longest_of_repeats(a, b, least)
+    return Windows(a, least).longest_run(Windows(b, least))
 
 
 def _longest_of_repeats(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -203,16 +215,26 @@ def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id:
     pairs = suspects.select(F.col("n").alias("doc"), F.explode("values").alias("value")).join(prints, "value").select("doc", "item").distinct()
 
     def longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a document's pairs mostly come one after the other, and the same items again and again
+        doc, own, held = None, None, OrderedDict()
         for pdf in batches:
             if not len(pdf):
                 continue
-            runs = [longest_run(code_points([a])[0], code_points([b])[0], span) for a, b in zip(pdf["own"], pdf["other"], strict=True)]
+            runs = []
+            for n, body, item, other in zip(pdf["doc"].tolist(), pdf["own"], pdf["item"].tolist(), pdf["other"], strict=True):
+                if n != doc:
+                    doc, own = n, Windows(code_points([body])[0], span)
+                if item not in held:
+                    held[item] = Windows(code_points([other])[0], span)
+                    if len(held) > 256:
+                        held.popitem(last=False)
+                runs.append(own.longest_run(held[item]))
             yield pdf[["doc_id", "item_id"]].assign(run=runs)
 
     kinds = f"doc_id {corpus.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}"
     met = (
-        pairs.join(suspects.select(F.col("n").alias("doc"), F.col("key").alias("doc_id"), F.col("body").alias("own")), "doc")
-        .join(asked.select(F.col("n").alias("item"), F.col("key").alias("item_id"), F.col("body").alias("other")), "item")
-        .select("doc_id", "item_id", "own", "other")
+        pairs.join(asked.select(F.col("n").alias("item"), F.col("key").alias("item_id"), F.col("body").alias("other")), "item")
+        .join(suspects.select(F.col("n").alias("doc"), F.col("key").alias("doc_id"), F.col("body").alias("own")), "doc")
+        .select("doc", "doc_id", "item", "item_id", "own", "other")
     )
     return met.mapInPandas(longest, f"{kinds}, run int").where(F.col("run") >= span).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
