@@ -26,7 +26,7 @@ from siltstone.operators.dictionary import encode_keys
 from siltstone.storage import stored
 
 
-def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trees(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All nodes, and the root (the smallest node) of each one's tree.
 
     Union-find with all unions of a round made at once: roots are hooked to the smallest root
@@ -50,22 +50,29 @@ def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[parent]
 
 
+def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest: nodes that are not roots, and the root of each one's tree."""
+    node, root = trees(u, v)
+    tied = node != root
+    return node[tied], root[tied]
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-    """The forest of all links of a partition; what is held between batches is a forest, never the links."""
+    """All nodes of a partition and their roots; what is held between batches is a forest, never the links."""
     u = v = np.zeros(0, np.int64)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def joined() -> tuple[np.ndarray, np.ndarray]:
-        return local_forest(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
+    def joined(find) -> tuple[np.ndarray, np.ndarray]:
+        return find(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
 
     for pdf in batches:
         waiting.append((pdf["u"].to_numpy(), pdf["v"].to_numpy()))
         size += len(pdf)
         if size > max(500_000, len(u)):
-            u, v = joined()
+            u, v = joined(local_forest)
             waiting, size = [], 0
-    return joined()
+    return joined(trees)
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

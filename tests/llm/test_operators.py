@@ -142,6 +142,17 @@ def test_merging_in_levels(spark):
     assert len(got) == 60 * 49 + 3000 + 2500
 
 
+def test_the_log_in_three_levels_and_in_one(spark):
+    log = spark.read.parquet("/root/testdata/sf0.1/supersede_log.parquet").select(*(queries.norm_key(F.col(c)).alias(c) for c in ("old_id", "new_id")))
+    pairs = {tuple(r) for r in log.where("old_id is not null and new_id is not null and old_id <> new_id").collect()}
+    number = {k: i for i, k in enumerate(sorted({k for p in pairs for k in p}))}
+    links = spark.createDataFrame([(number[a], number[b]) for a, b in sorted(pairs)], "u long, v long")
+    levels: list[int] = []
+    deep = dict(rows(components.components(links.repartition(60), max_links=60, levels=levels)))
+    flat = dict(rows(components.components(links)))
+    assert len(levels) >= 3 and levels[0] > 20 and deep == flat and len(deep) > 3000
+
+
 def test_groups_of_nothing(spark):
     assert components.group_ids(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
