@@ -183,7 +183,7 @@ def log_learn_rows(t: Tables):
     return logs.learn_rows(learned, NOW).withColumn("concepts", F.size(F.from_json("concepts", "array<string>")))
 
 
-@query("SELECT count(*) AS searches, round(avg(CAST(round(value) AS BIGINT)), 4) AS avg_ms, sum(user_id) AS results FROM events")
+@query("SELECT count(*) AS searches, round(avg(CAST(round(value) AS BIGINT)), 4) AS avg_ms, CAST(sum(user_id) AS BIGINT) AS results FROM events")
 def log_search_totals(t: Tables):
     return logs.search_totals(t.events.select(F.round("value").cast("long").alias("search_time_ms"), F.col("user_id").alias("results_count")))
 

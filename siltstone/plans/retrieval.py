@@ -223,7 +223,7 @@ def agree_top1(t: Tables):
     return search.agreement_at(_models(t), 1)
 
 
-@query(f"SELECT round(count(*) FILTER (m = 2) / count(*), 4) AS jaccard FROM (SELECT id, count(DISTINCT model) AS m FROM {_MODELS} WHERE rank <= 5 GROUP BY id)")
+@query(f"SELECT round(coalesce(count(*) FILTER (m = 2) / nullif(count(*), 0), 0), 4) AS jaccard FROM (SELECT id, count(DISTINCT model) AS m FROM {_MODELS} WHERE rank <= 5 GROUP BY id)")
 def agree_jaccard5(t: Tables):
     return search.top_jaccard(_models(t), 5)
 
