@@ -239,7 +239,7 @@ def agree_shared_ids(t: Tables):
 
 
 @query(f"""SELECT (SELECT round(coalesce(max(n) / sum(n), 0), 4) FROM (SELECT id, count(*) AS n FROM {_MODELS} WHERE rank = 1 GROUP BY id)) AS agreement,
-    (SELECT round(count(*) FILTER (m = 2) / count(*), 4) FROM (SELECT id, count(DISTINCT model) AS m FROM {_MODELS} WHERE rank <= 5 GROUP BY id)) AS jaccard,
+    (SELECT round(coalesce(count(*) FILTER (m = 2) / nullif(count(*), 0), 0), 4) FROM (SELECT id, count(DISTINCT model) AS m FROM {_MODELS} WHERE rank <= 5 GROUP BY id)) AS jaccard,
     (SELECT round(coalesce(avg(s), 0), 4) FROM (SELECT max(rank) - min(rank) AS s FROM {_MODELS} GROUP BY id HAVING count(*) >= 2)) AS avg_shift""")
 def compare_bundle(t: Tables):
     m = stored(_models(t), "models")
